@@ -42,3 +42,50 @@ select w.doc_id, len(ws)::bigint as n_words, coalesce(n_removed, 0)::bigint as n
   sha256(coalesce(kept, array_to_string(ws, ' '))) as kept_sha256
 from w left join cut on cut.doc_id = w.doc_id
 """
+
+OP2_SOURCE_MIXING = rf"""
+with d as (
+  select doc_id, source, len({_WORDS})::bigint as size,
+    0.25::double + 0.75::double * case when length(text) > 0
+      then length(translate(text, '0123456789%&$#*|@=<>{{}}[]()!~^_+/\', ''))::double / length(text) else 0.0::double end as w from documents
+), k as (
+  select *, -ln((('0x' || substr(md5('42:' || doc_id::varchar), 1, 13))::ubigint::double + 0.5::double) / 4503599627370496.0::double) / w as key from d
+), s as (select source, sum(size)::bigint as source_size, row_number() over (order by source asc nulls last) as rk from k group by source
+), wt as (select *, 1 + (rk - 1) % 3 as weight, source_size * 3 as lim from s
+), o as (select *, row_number() over (order by lim::double / weight, rk) as ahead, lim::double / weight as ratio from wt
+), f as (
+  select *, ((sum(source_size) over () - coalesce(sum(lim) over (order by ahead rows between unbounded preceding and 1 preceding), 0))::double
+    / (sum(weight) over (order by ahead rows between current row and unbounded following))::double) as share from o
+), st as (select min(ahead) as open_at from f where ratio > share
+), t as (
+  select source, source_size, case when open_at is null or ahead < open_at then lim::double
+    else (select share from f x where x.ahead = open_at) * weight end as target from f, st
+), p as (
+  select k.doc_id, k.size, t.source_size, t.target,
+    coalesce(sum(k.size) over (partition by k.source order by key, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint as ahead,
+    case when t.source_size > 0 then floor(target)::bigint // t.source_size else 0 end as epochs
+  from k join t on k.source is not distinct from t.source
+)
+select doc_id, size, source_size, target,
+  (epochs * size + greatest(0, least(size, floor(target)::bigint - epochs * source_size - ahead)))::bigint as taken from p
+"""
+
+OP3_CHAT_PERSPECTIVES = r"""
+with m as (
+  select conv_id, coalesce(turn // 256, -1)::bigint as block, coalesce(turn, 9223372036854775807) as turn,
+    coalesce(role, 'unknown') as speaker, coalesce(text, '') as content from conversations
+), p as (select distinct conv_id, speaker as perspective from m where speaker <> 'system'
+), r as (
+  select m.conv_id, block, perspective, turn, speaker, content,
+    case when speaker = 'system' then '<|im_start|>system' || chr(10) when speaker = perspective then '<|im_start|>assistant' || chr(10)
+      else '<|im_start|>user name=' || speaker || chr(10) end as head from m join p on m.conv_id is not distinct from p.conv_id
+), o as (
+  select *, coalesce(sum(length(head) + length(content) + 11) over w, 0) + length(head) as start,
+    row_number() over (partition by conv_id, block, perspective order by turn, speaker, content) as i from r
+  window w as (partition by conv_id, block, perspective order by turn, speaker, content rows between unbounded preceding and 1 preceding)
+)
+select conv_id, block, perspective, string_agg(head || content || '<|im_end|>' || chr(10), '' order by i) as text,
+  coalesce(string_agg(start::bigint || ':' || (start + length(content) + 10)::bigint, ',' order by i) filter (speaker = perspective), '') as mask,
+  count(*) as n_messages, coalesce(sum(length(content) + 10) filter (speaker = perspective), 0)::bigint as n_trained
+from o group by conv_id, block, perspective
+"""

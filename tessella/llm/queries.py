@@ -19,6 +19,18 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.mixing import mix_sources
+
+    return mix_sources(_table(spark, sf_dir, "documents"))
+
+
+def op3_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.chat import perspectives
+
+    return perspectives(_table(spark, sf_dir, "conversations"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm.substring import remove_repeats
 
@@ -26,7 +38,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_minhash_near_dedup, op4_substring_dedup]
+    found = [op1_minhash_near_dedup, op2_source_mixing, op3_chat_perspectives, op4_substring_dedup]
     return {f.__name__: f for f in found}
 
 
