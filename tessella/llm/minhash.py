@@ -33,6 +33,8 @@ class Banding:
     #: Of all 2 * halves * rows minhashes, in one byte each, so many must agree before texts are compared. A pair at
     #: 0.75 agrees in 90 +- 4.7 of 120, so that 64 loses fewer than one in ten millions.
     least_agreeing: int = 64
+    #: Heads of buckets that a document is compared with before components are formed: those of most of its buckets.
+    partners: int = 3
     #: Components of one bucket that are compared with all the bucket's documents in one pass.
     leaders: int = 16
 
@@ -175,9 +177,9 @@ def near_duplicates(docs: DataFrame, banding: Banding | None = None) -> DataFram
     Documents whose sets of word shingles are equal form a class. The least document of each class gets minhashes in
     two small collections; a table's key is a half key of the one with a half key of the other. In each bucket, all
     documents are paired with the least one; pairs pass a filter on one byte of each minhash and are then confirmed
-    on the full sets. First every document's best pair is confirmed, then all pairs that are still in different
-    components, and at last, in buckets that hold several components, the heads of these with all documents of the
-    others. So a bucket of n documents in c components costs n * c pairs, not n * n, and no bucket is capped.
+    on the full sets. First every document is compared with the head of most of its buckets, then with the next ones
+    that are still in another component, and at last, in buckets that hold several components, all documents with
+    the heads of the other components. So a bucket of n documents in c components costs n * c pairs, not n * n, and no bucket is capped.
 
     Null, empty and wordless texts have the size 0, are linked with nothing and stay. Ties go to the least doc_id; a
     repeated doc_id counts once per row. An empty table gives an empty result. Other columns of docs are ignored.
@@ -190,21 +192,21 @@ def near_duplicates(docs: DataFrame, banding: Banding | None = None) -> DataFram
     tables = materialize(tensored_tables(sketched.select("doc_id", "halves").join(first, "doc_id", "left_semi"), banding), "half-keys")
     least = _buckets(tables).groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
     buckets = materialize(_buckets(tables).join(least, "key"), "buckets")
-    pairs = buckets.where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
+    pairs = buckets.where("a <> doc_id").groupBy("a", F.col("doc_id").alias("b")).agg(F.count("*").alias("n"))
+    ranked = pairs.select("a", "b", F.expr("row_number() over (partition by b order by n desc, a)").alias("place"))
     unique = sketched.select("doc_id", "n_shingles", "sketch")
-    pairs = materialize(_agreeing(pairs, unique, banding), "pairs")
+    pairs = materialize(ranked.where(F.col("place") <= banding.partners), "pairs")
 
-    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(buckets.select("doc_id")).distinct()
+    ends = buckets.select("doc_id").distinct()
     texts = materialize(docs.select("doc_id", "text").join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a")).select("a", "b")
-    links = materialize(_linked(best, texts, banding), "links")
+    confirmed = lambda found: materialize(_linked(_agreeing(found.select("a", "b"), unique, banding).select("a", "b"), texts, banding), "links")
+    links = confirmed(pairs.where("place = 1"))
     labels = connected_components(links)
-    rest = _components_of(pairs.join(best, ["a", "b"], "left_anti").select("a", "b"), labels).where("ca <> cb").select("a", "b")
-    links = materialize(links.unionByName(_linked(rest, texts, banding)), "links")
+    rest = _components_of(pairs.where("place > 1").select("a", "b"), labels).where("ca <> cb")
+    links = links.unionByName(confirmed(rest))
     labels = connected_components(links)
     for across in _across_buckets(buckets.select("key", "doc_id"), labels, banding):
-        new = _agreeing(across.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), unique, banding).select("a", "b")
-        links = links.unionByName(materialize(_linked(new, texts, banding), "links"))
+        links = links.unionByName(confirmed(across.join(pairs.select("a", "b"), ["a", "b"], "left_anti")))
     labels = connected_components(links)
     for table in (tables, buckets, pairs, texts, sketched):
         discard(table)
