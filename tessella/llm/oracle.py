@@ -89,3 +89,11 @@ select conv_id, block, perspective, string_agg(head || content || '<|im_end|>' |
   count(*) as n_messages, coalesce(sum(length(content) + 10) filter (speaker = perspective), 0)::bigint as n_trained
 from o group by conv_id, block, perspective
 """
+
+OP9_LEGACY_ARCHIVE = """
+with p as (select page_id, strlen(coalesce(html, ''))::bigint as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages
+), f as (select payload_digest, min(page_id) as first from p where payload_bytes >= 100 group by 1)
+select page_id, payload_bytes, p.payload_digest, case when first <> page_id then 'revisit' else 'response' end as record_type,
+  case when first <> page_id then first end as refers_to
+from p left join f on f.payload_digest = p.payload_digest and payload_bytes >= 100
+"""

@@ -37,14 +37,26 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op5_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.audio import media_features
+
+    return media_features(_table(spark, sf_dir, "documents"))
+
+
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm.pii import private_spans, span_digests
 
     return span_digests(private_spans(_table(spark, sf_dir, "documents")))
 
 
+def op9_legacy_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.warc import archive_pages
+
+    return archive_pages(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_minhash_near_dedup, op2_source_mixing, op3_chat_perspectives, op4_substring_dedup, op6_personal_data]
+    found = [op1_minhash_near_dedup, op2_source_mixing, op3_chat_perspectives, op4_substring_dedup, op5_telephony_audio, op6_personal_data, op9_legacy_archive]
     return {f.__name__: f for f in found}
 
 
