@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.shared import materialize
+from tessella.llm.weak import fit_reliabilities, sigmoid
 
 #: What a text must contain, and the pattern, of each kind. All are written so that matching takes linear time and no
 #: recursion: runs are possessive, a match starts at a run's first sign, and long repetitions are of single signs.
@@ -170,37 +170,6 @@ def _votes(s: Column) -> Column:
     )
 
 
-def fit_reliabilities(rows: list[tuple], rounds: int) -> tuple[list[float], list]:
-    """Posterior of each row (kind, votes, count) by expectation-maximisation of a two-class model.
-
-    Every kind has a share of true spans, and every labeler the probabilities of its three answers given the class,
-    in common for all kinds. It starts from the share of votes in favour. Returns the posteriors and reliabilities.
-    """
-    kinds = sorted({r[0] for r in rows})
-    post = [(1 + sum(v > 0 for v in r[1])) / (2 + sum(v != 0 for v in r[1])) for r in rows]
-    table: list = []
-    for _ in range(rounds):
-        prior = {}
-        for k in kinds:
-            n = sum(r[2] for r in rows if r[0] == k)
-            prior[k] = (1 + sum(p * r[2] for p, r in zip(post, rows, strict=True) if r[0] == k)) / (2 + n)
-        table = []
-        for j in range(len(VOTERS)):
-            given = {}
-            for c in (0, 1):
-                mass = {v: 1.0 for v in (-1, 0, 1)}
-                for p, r in zip(post, rows, strict=True):
-                    mass[r[1][j]] += (p if c else 1 - p) * r[2]
-                total = sum(mass.values())
-                given[c] = {v: m / total for v, m in mass.items()}
-            table.append(given)
-        post = []
-        for kind, votes, _n in rows:
-            odds = math.log(prior[kind]) - math.log(1 - prior[kind]) + sum(math.log(table[j][1][v]) - math.log(table[j][0][v]) for j, v in enumerate(votes))
-            post.append(1 / (1 + math.exp(-max(-40.0, min(40.0, odds)))))
-    return post, table
-
-
 def fit_classifier(rows: list[tuple[list[str], float, int]], steps: int, rate: float = 1.0, decay: float = 1e-3) -> dict[str, float]:
     """Weights of a logistic model over named features, from rows of (features, probability, count), by gradient descent."""
     weights = {name: 0.0 for row in rows for name in row[0]}
@@ -208,8 +177,7 @@ def fit_classifier(rows: list[tuple[list[str], float, int]], steps: int, rate: f
     for _ in range(steps):
         slope = {name: decay * w for name, w in weights.items()}
         for names, p, n in rows:
-            z = sum(weights[x] for x in names)
-            error = (1 / (1 + math.exp(-max(-40.0, min(40.0, z)))) - p) * n / total
+            error = (sigmoid(sum(weights[x] for x in names)) - p) * n / total
             for x in names:
                 slope[x] += error
         for x, g in slope.items():

@@ -49,14 +49,43 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digests(private_spans(_table(spark, sf_dir, "documents")))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.quality import quality_scores
+
+    return quality_scores(_table(spark, sf_dir, "documents"))
+
+
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.decontaminate import decontamination
+
+    return decontamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_legacy_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm.warc import archive_pages
 
     return archive_pages(_table(spark, sf_dir, "pages"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.langid import languages
+
+    return languages(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_minhash_near_dedup, op2_source_mixing, op3_chat_perspectives, op4_substring_dedup, op5_telephony_audio, op6_personal_data, op9_legacy_archive]
+    found = [
+        op1_minhash_near_dedup,
+        op2_source_mixing,
+        op3_chat_perspectives,
+        op4_substring_dedup,
+        op5_telephony_audio,
+        op6_personal_data,
+        op7_quality_classifier,
+        op8_benchmark_decontamination,
+        op9_legacy_archive,
+        op10_language_id,
+    ]
     return {f.__name__: f for f in found}
 
 
