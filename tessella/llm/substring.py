@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.shared import discard, materialize
+from tessella.llm.shared import discard, materialize, release
 from tessella.llm.text import WordHashes, mix, sequence_digest, window_hashes, words_of
 
 
@@ -29,7 +29,7 @@ class Sketch:
     log2_cells: int = 29
     log2_block: int = 21
     #: Windows that a task gathers before it sends them on.
-    flush: int = 4_000_000
+    flush: int = 1_500_000
     #: Tasks whose counters meet in one merger.
     fan_in: int = 64
 
@@ -198,6 +198,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, sketch: Sketch | None = No
     """
     sketch = sketch or Sketch()
     seen = materialize(candidate_windows(docs, window, sketch), "candidates")
+    release(docs.sparkSession)
     first = seen.groupBy("d1", "d2", "n_words").agg(F.min("doc_id").alias("first"))
     copies = seen.select("doc_id", "n_words", "d1", "d2", "sha").join(first, ["d1", "d2", "n_words"])
     later = (F.col("n_words") >= window) & (F.col("doc_id") > F.col("first"))
@@ -209,8 +210,9 @@ def remove_repeats(docs: DataFrame, window: int = 50, sketch: Sketch | None = No
     owner = own.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").drop("last")
     covered = own.join(owner, ["h1", "h2"]).where("doc_id > owner").groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
     covered = materialize(covered, "covered")
-    cut = materialize(_without(docs, covered, window), "cut")
     discard(seen)
+    release(docs.sparkSession)
+    cut = materialize(_without(docs, covered, window), "cut")
     discard(covered)
     rest = ruled.join(cut.select("doc_id").distinct(), "doc_id", "left_anti")
     empty = hashlib.sha256(b"").hexdigest()
