@@ -1 +1 @@
-
+"""The catalogue of queries and the SQL that they are compared with."""

@@ -1 +1 @@
-
+"""Readers, writers and scratch space."""
