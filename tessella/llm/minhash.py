@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.components import connected_components
-from tessella.llm.shared import discard, materialize
+from tessella.llm.shared import discard, materialize, release
 from tessella.llm.text import WordHashes, mix, sequence_digest
 
 #: Multipliers of the five words of a shingle.
@@ -33,10 +33,9 @@ class Banding:
     #: Of all 2 * halves * rows minhashes, in one byte each, so many must agree before texts are compared. A pair at
     #: 0.75 agrees in 90 +- 4.7 of 120, so that 64 loses fewer than one in ten millions.
     least_agreeing: int = 64
-    #: Heads of buckets that a document is compared with before components are formed: those of most of its buckets.
-    partners: int = 3
-    #: Components of one bucket that are compared with all the bucket's documents in one pass.
-    leaders: int = 16
+    #: Heads of buckets, and neighbours within buckets, that a document is compared with: those of most of its buckets.
+    heads: int = 3
+    neighbours: int = 24
 
 
 def shingle_set(text: str | None, hashes: WordHashes, words: int = 5) -> np.ndarray:
@@ -90,7 +89,7 @@ def sketches(docs: DataFrame, banding: Banding) -> DataFrame:
 
 
 def tensored_tables(sketched: DataFrame, banding: Banding) -> DataFrame:
-    """(doc_id, first, second): per document the half keys of either collection that another document shares.
+    """(doc_id, sketch, first, second): per document the half keys of either collection that another document shares.
 
     A table's key needs both its halves to be shared, so that half keys which one document alone has are dropped
     before the halves ** 2 combinations are formed.
@@ -100,16 +99,46 @@ def tensored_tables(sketched: DataFrame, banding: Banding) -> DataFrame:
     kept = half.join(shared, "half")
     side = lambda first: F.collect_list(F.when((F.col("i") < banding.halves) == F.lit(first), F.col("half")))
     both = kept.groupBy("doc_id").agg(side(True).alias("first"), side(False).alias("second"))
-    return both.where("size(first) > 0 and size(second) > 0")
+    return both.where("size(first) > 0 and size(second) > 0").join(sketched.select("doc_id", "sketch"), "doc_id")
 
 
-def _buckets(tables: DataFrame) -> DataFrame:
-    keys = tables.select("doc_id", "second", F.explode("first").alias("a")).select("doc_id", "a", F.explode("second").alias("b"))
-    return keys.select("doc_id", F.xxhash64("a", "b").alias("key"))
+def bucket_pairs(tables: DataFrame, banding: Banding) -> DataFrame:
+    """(a, b, near, n): b with the least document of a bucket (near 0) or with one of the two before it (near 1), in n buckets.
+
+    A bucket's rows are sorted by eight more bytes of the sketch, at a place that depends on the key, so that those next
+    to each other are the most alike. Rows are dealt out by ranges of key and bytes: a large bucket is spread over many
+    tasks, and each of its parts, a batch at least, has a head of its own. Every row gives three pairs at most.
+    """
+    k = 2 * banding.halves * banding.rows
+    keys = tables.select("doc_id", "sketch", "second", F.explode("first").alias("a")).select("doc_id", "sketch", "a", F.explode("second").alias("b"))
+    keys = keys.select("doc_id", "sketch", F.xxhash64("a", "b").alias("key"))
+    rows = keys.select("key", F.expr(f"substring(sketch, cast(pmod(key, {k - 8}) as int) + 1, 8)").alias("more"), "doc_id")
+    rows = rows.repartitionByRange("key", "more").sortWithinPartitions("key", "more", "doc_id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last_key, last_doc, last_head = None, 0, 0
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            key, doc = pdf["key"].to_numpy(np.int64), pdf["doc_id"].to_numpy(np.int64)
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            heads = np.minimum.reduceat(doc, starts)
+            before = np.concatenate([[last_doc], doc[:-1]])
+            first = np.zeros(len(key), bool)
+            first[starts] = True
+            if key[0] == last_key:
+                heads[0], first[0] = min(heads[0], last_head), False
+            head = np.repeat(heads, np.diff(np.append(starts, len(key))))
+            last_key, last_doc, last_head = key[-1], doc[-1], head[-1]
+            far, near = head != doc, ~first & (before != head) & (doc != head)
+            two = near[1:] & near[:-1]  # and the one before that
+            yield pd.DataFrame({"a": np.concatenate([head[far], before[near], before[:-1][two]]), "b": np.concatenate([doc[far], doc[near], doc[1:][two]]), "near": np.repeat([0, 1], [far.sum(), near.sum() + two.sum()])})
+
+    return rows.select("key", "doc_id").mapInPandas(run, "a long, b long, near int").groupBy("b", "a", "near").agg(F.count("*").alias("n"))
 
 
 def _agreeing(pairs: DataFrame, sketched: DataFrame, banding: Banding) -> DataFrame:
-    """Of pairs (a, b), those whose sizes and sketches allow the similarity, with the number of agreeing bytes."""
+    """Of pairs (a, b, place), those whose sizes and sketches allow the similarity."""
     one = sketched.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na"))
     two = sketched.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb"))
     joined = pairs.join(one, "a").join(two, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * banding.percent)
@@ -119,10 +148,9 @@ def _agreeing(pairs: DataFrame, sketched: DataFrame, banding: Banding) -> DataFr
         for pdf in batches:
             if len(pdf):
                 sa, sb = (np.frombuffer(b"".join(pdf[c]), np.uint8).reshape(-1, k) for c in ("sa", "sb"))
-                agree = (sa == sb).sum(axis=1)
-                yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "agree": agree})[agree >= least]
+                yield pdf[["a", "b", "place"]][(sa == sb).sum(axis=1) >= least]
 
-    return joined.select("a", "b", "sa", "sb").mapInPandas(run, "a long, b long, agree long")
+    return joined.select("a", "b", "place", "sa", "sb").mapInPandas(run, "a long, b long, place long")
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, banding: Banding) -> DataFrame:
@@ -141,8 +169,9 @@ def _linked(pairs: DataFrame, texts: DataFrame, banding: Banding) -> DataFrame:
                 keep.append(100 * both >= percent * (len(held) + len(other) - both))
             yield pdf[["a", "b"]][keep]
 
+    pairs = pairs.hint("merge")  # their number grows with the input, so they are never broadcast
     joined = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    joined = joined.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+    joined = joined.hint("merge").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     return joined.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
 
 
@@ -152,34 +181,15 @@ def _components_of(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(one, "a", "left").join(two, "b", "left").select(*pairs.columns, F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
 
 
-def _across_buckets(buckets: DataFrame, labels: DataFrame, banding: Banding) -> Iterator[DataFrame]:
-    """Pairs of a document and the least document of each other component in its bucket, `leaders` components at a time."""
-    held = buckets.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-    held = held.select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    heads = held.groupBy("key", "component").agg(F.min("doc_id").alias("head"))
-    several = heads.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    held = materialize(held.join(several, "key"), "mixed-buckets")
-    heads = held.groupBy("key", "component").agg(F.min("doc_id").alias("head"))
-    # The components of one bucket are numbered by a running count over its heads, which are few next to its documents.
-    rank = "row_number() over (partition by key order by head) - 1"
-    heads = materialize(heads.selectExpr("key", "component as other", "head", f"cast(({rank}) / {banding.leaders} as int) as turn"), "heads")
-    turns = heads.agg(F.max("turn")).first()[0]
-    for turn in range(0 if turns is None else turns + 1):
-        pairs = held.join(heads.where(F.col("turn") == turn), "key").where("component <> other")
-        yield pairs.select(F.least("doc_id", "head").alias("a"), F.greatest("doc_id", "head").alias("b")).distinct()
-    discard(held)
-    discard(heads)
-
-
 def near_duplicates(docs: DataFrame, banding: Banding | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document of docs(doc_id, text).
 
     Documents whose sets of word shingles are equal form a class. The least document of each class gets minhashes in
-    two small collections; a table's key is a half key of the one with a half key of the other. In each bucket, all
-    documents are paired with the least one; pairs pass a filter on one byte of each minhash and are then confirmed
-    on the full sets. First every document is compared with the head of most of its buckets, then with the next ones
-    that are still in another component, and at last, in buckets that hold several components, all documents with
-    the heads of the other components. So a bucket of n documents in c components costs n * c pairs, not n * n, and no bucket is capped.
+    two small collections; a table's key is a half key of the one with a half key of the other. In its buckets, a
+    document is paired with the heads and with the neighbours in an order by further minhashes; those of most of its
+    buckets are candidates. They pass a filter on one byte of each minhash and are then confirmed on the full sets:
+    first each document's first head, then the other candidates that are still in another component. So every
+    document costs a bounded number of comparisons however many copies it has, and no bucket is capped.
 
     Null, empty and wordless texts have the size 0, are linked with nothing and stay. Ties go to the least doc_id; a
     repeated doc_id counts once per row. An empty table gives an empty result. Other columns of docs are ignored.
@@ -189,26 +199,24 @@ def near_duplicates(docs: DataFrame, banding: Banding | None = None) -> DataFram
     classes = sketched.where("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"))
     member = materialize(sketched.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["n_shingles", "d1", "d2"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "classes")
     first = member.where("n_shingles > 0 and doc_id = rep").select("doc_id").distinct()
-    tables = materialize(tensored_tables(sketched.select("doc_id", "halves").join(first, "doc_id", "left_semi"), banding), "half-keys")
-    least = _buckets(tables).groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
-    buckets = materialize(_buckets(tables).join(least, "key"), "buckets")
-    pairs = buckets.where("a <> doc_id").groupBy("a", F.col("doc_id").alias("b")).agg(F.count("*").alias("n"))
-    ranked = pairs.select("a", "b", F.expr("row_number() over (partition by b order by n desc, a)").alias("place"))
-    unique = sketched.select("doc_id", "n_shingles", "sketch")
-    pairs = materialize(ranked.where(F.col("place") <= banding.partners), "pairs")
+    tables = materialize(tensored_tables(sketched.select("doc_id", "halves", "sketch").join(first, "doc_id", "left_semi"), banding), "half-keys")
+    release(docs.sparkSession)
+    ranked = bucket_pairs(tables, banding).withColumn("place", F.expr("row_number() over (partition by b, near order by n desc, a)"))
+    chosen = ranked.where(F.col("place") <= F.when(F.col("near") == 0, banding.heads).otherwise(banding.neighbours))
+    pairs = materialize(chosen.groupBy("a", "b").agg(F.min(F.col("near") * 1000 + F.col("place")).alias("place")), "pairs")
+    discard(tables)
+    release(docs.sparkSession)
 
-    ends = buckets.select("doc_id").distinct()
-    texts = materialize(docs.select("doc_id", "text").join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    confirmed = lambda found: materialize(_linked(_agreeing(found.select("a", "b"), unique, banding).select("a", "b"), texts, banding), "links")
-    links = confirmed(pairs.where("place = 1"))
-    labels = connected_components(links)
-    rest = _components_of(pairs.where("place > 1").select("a", "b"), labels).where("ca <> cb")
-    links = links.unionByName(confirmed(rest))
+    unique = sketched.select("doc_id", "n_shingles", "sketch")
+    pairs = materialize(_agreeing(pairs.select("a", "b", "place"), unique, banding), "likely")
+    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    texts = materialize(docs.select("doc_id", "text").join(ends.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    links = materialize(_linked(pairs.where("place = 1").select("a", "b"), texts, banding), "links")
     labels = connected_components(links)
-    for across in _across_buckets(buckets.select("key", "doc_id"), labels, banding):
-        links = links.unionByName(confirmed(across.join(pairs.select("a", "b"), ["a", "b"], "left_anti")))
+    rest = _components_of(pairs.where("place > 1").select("a", "b"), labels).where("ca <> cb").select("a", "b")
+    links = links.unionByName(materialize(_linked(rest, texts, banding), "links"))
     labels = connected_components(links)
-    for table in (tables, buckets, pairs, texts, sketched):
+    for table in (pairs, texts, sketched):
         discard(table)
     out = member.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))

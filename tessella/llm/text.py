@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: The largest number of words that a worker remembers hashes of.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 100_000
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers = {1: np.ones(1, np.uint64), -1: np.ones(1, np.uint64)}
