@@ -34,7 +34,7 @@ class Banding:
     #: 0.75 agrees in 90 +- 4.7 of 120, so that 64 loses fewer than one in ten millions.
     least_agreeing: int = 64
     #: Heads of buckets, and neighbours within buckets, that a document is compared with: those of most of its buckets.
-    heads: int = 3
+    heads: int = 16
     neighbours: int = 24
 
 
@@ -138,7 +138,7 @@ def bucket_pairs(tables: DataFrame, banding: Banding) -> DataFrame:
 
 
 def _agreeing(pairs: DataFrame, sketched: DataFrame, banding: Banding) -> DataFrame:
-    """Of pairs (a, b, place), those whose sizes and sketches allow the similarity."""
+    """Of pairs (a, b), those whose sizes and sketches allow the similarity, with the number of agreeing bytes."""
     one = sketched.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na"))
     two = sketched.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb"))
     joined = pairs.join(one, "a").join(two, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * banding.percent)
@@ -148,9 +148,10 @@ def _agreeing(pairs: DataFrame, sketched: DataFrame, banding: Banding) -> DataFr
         for pdf in batches:
             if len(pdf):
                 sa, sb = (np.frombuffer(b"".join(pdf[c]), np.uint8).reshape(-1, k) for c in ("sa", "sb"))
-                yield pdf[["a", "b", "place"]][(sa == sb).sum(axis=1) >= least]
+                agree = (sa == sb).sum(axis=1)
+                yield pdf[["a", "b"]].assign(agree=agree)[agree >= least]
 
-    return joined.select("a", "b", "place", "sa", "sb").mapInPandas(run, "a long, b long, place long")
+    return joined.select("a", "b", "sa", "sb").mapInPandas(run, "a long, b long, agree long")
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, banding: Banding) -> DataFrame:
@@ -188,7 +189,7 @@ def near_duplicates(docs: DataFrame, banding: Banding | None = None) -> DataFram
     two small collections; a table's key is a half key of the one with a half key of the other. In its buckets, a
     document is paired with the heads and with the neighbours in an order by further minhashes; those of most of its
     buckets are candidates. They pass a filter on one byte of each minhash and are then confirmed on the full sets:
-    first each document's first head, then the other candidates that are still in another component. So every
+    first each document's most agreeing one, then the others that are still in another component. So every
     document costs a bounded number of comparisons however many copies it has, and no bucket is capped.
 
     Null, empty and wordless texts have the size 0, are linked with nothing and stay. Ties go to the least doc_id; a
@@ -203,12 +204,13 @@ def near_duplicates(docs: DataFrame, banding: Banding | None = None) -> DataFram
     release(docs.sparkSession)
     ranked = bucket_pairs(tables, banding).withColumn("place", F.expr("row_number() over (partition by b, near order by n desc, a)"))
     chosen = ranked.where(F.col("place") <= F.when(F.col("near") == 0, banding.heads).otherwise(banding.neighbours))
-    pairs = materialize(chosen.groupBy("a", "b").agg(F.min(F.col("near") * 1000 + F.col("place")).alias("place")), "pairs")
+    pairs = materialize(chosen.select("a", "b").distinct(), "pairs")
     discard(tables)
     release(docs.sparkSession)
 
     unique = sketched.select("doc_id", "n_shingles", "sketch")
-    pairs = materialize(_agreeing(pairs.select("a", "b", "place"), unique, banding), "likely")
+    likely = _agreeing(pairs, unique, banding).withColumn("place", F.expr("row_number() over (partition by b order by agree desc, a)"))
+    pairs = materialize(likely.select("a", "b", "place"), "likely")
     ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     texts = materialize(docs.select("doc_id", "text").join(ends.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     links = materialize(_linked(pairs.where("place = 1").select("a", "b"), texts, banding), "links")
