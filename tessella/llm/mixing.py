@@ -106,14 +106,15 @@ def mix_sources(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
 def mixed_documents(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
     """docs with a row for each time that the mix takes a document, and `copy` from 0; the last may hold only its first words.
 
-    Documents of which nothing is taken go. doc_id must identify a row.
+    Documents of which nothing is taken go. doc_id must identify a row; a column `copy` of docs is replaced.
     """
-    taken = mix_sources(docs, mix).where("taken > 0").select("doc_id", "size", "taken")
-    times = F.expr("sequence(0, cast(ceil(taken / size) as int) - 1)")
-    out = docs.join(taken, "doc_id").withColumn("copy", F.explode(times))
-    left = F.col("taken") - F.col("copy") * F.col("size")
+    taken = mix_sources(docs, mix).where("taken > 0").select("doc_id", F.col("size").alias("__size"), F.col("taken").alias("__taken"))
+    times = F.expr("sequence(0, cast(ceil(__taken / __size) as int) - 1)")
+    columns = [c for c in docs.columns if c != "copy"]
+    out = docs.select(*columns).join(taken, "doc_id").withColumn("copy", F.explode(times))
+    left = F.col("__taken") - F.col("copy") * F.col("__size")
     first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), left.cast("int")), " ")
-    out = out.withColumn("text", F.when(left < F.col("size"), first).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
+    out = out.withColumn("text", F.when(left < F.col("__size"), first).otherwise(F.col("text")))
+    if "n_chars" in columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns, "copy")
+    return out.select(*columns, "copy")

@@ -259,8 +259,8 @@ def redact(docs: DataFrame, how: Supervision | None = None) -> DataFrame:
     Where spans overlap, the first (then the longest) is replaced, and the rest of the others with it. doc_id must
     identify a row.
     """
-    found = private_spans(docs, how).where("size(spans) > 0")
-    first = F.array_sort("spans", lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
+    found = private_spans(docs, how).where("size(spans) > 0").withColumnRenamed("spans", "__spans")
+    first = F.array_sort("__spans", lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
     text = F.col("text")
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
@@ -270,7 +270,7 @@ def redact(docs: DataFrame, how: Supervision | None = None) -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(new, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
 
     made = F.aggregate(first, zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1, F.length(text))))
-    out = docs.join(found, "doc_id", "left").withColumn("text", F.when(F.col("spans").isNotNull(), made).otherwise(text))
+    out = docs.join(found, "doc_id", "left").withColumn("text", F.when(F.col("__spans").isNotNull(), made).otherwise(text))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col("__spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
