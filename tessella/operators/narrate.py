@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tessella.functions.scalar import percent
 
@@ -84,7 +85,7 @@ def generate(texts: DataFrame, call: Callable[[str], str] | None = None) -> Data
                     out.append(f"[fallback] {type(e).__name__}\n{template}")
             yield pd.concat([pdf, pd.DataFrame({"mode": "api", "response": out}, index=pdf.index)], axis=1)
 
-    return texts.mapInPandas(run, texts.schema.add("mode", "string").add("response", "string"))
+    return texts.mapInPandas(run, StructType([*texts.schema.fields, StructField("mode", StringType()), StructField("response", StringType())]))
 
 
 def rubric(df: DataFrame, text: str) -> DataFrame:
