@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, NumericType, StringType
 
 from tessella.functions.scalar import to_number
+from tessella.operators.quantiles import exact_quantiles
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -35,9 +36,8 @@ def coerce(df: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
-    """Exact medians, one row for all columns; a column without values has none."""
-    row = df.agg(*[F.median(F.col(f"`{c}`").cast("double")).alias(c) for c in columns]).first()
-    return {c: row[c] for c in columns if row is not None and row[c] is not None}
+    """Exact medians; a column without values has none."""
+    return {c: v[0] for c, v in exact_quantiles(df, columns, [0.5]).items() if v[0] is not None}
 
 
 def impute_median(df: DataFrame, columns: list[str], fit_on: DataFrame | None = None) -> DataFrame:

@@ -7,6 +7,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators.quantiles import exact_quantiles
+
 
 def _long(row: DataFrame, items: list[tuple[str, list[Column]]], names: list[str]) -> DataFrame:
     """One aggregated row turned into a row for each item: (first name: the item, the others its values)."""
@@ -32,14 +34,14 @@ def null_profile(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def describe(df: DataFrame, columns: list[str], digits: int = 4) -> DataFrame:
     """(column, n, mean, std, min, q25, q50, q75, max): sample deviation, exact interpolated quartiles."""
-    aggs, items = [], []
+    aggs, items, quartiles = [], [], exact_quantiles(df, columns, [0.25, 0.5, 0.75])
     for i, c in enumerate(columns):
         x = F.col(c).cast("double")
-        parts = {"n": F.count(x), "mean": F.avg(x), "std": F.stddev_samp(x), "min": F.min(x), "q": F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))), "max": F.max(x)}
+        parts = {"n": F.count(x), "mean": F.avg(x), "std": F.stddev_samp(x), "min": F.min(x), "max": F.max(x)}
         aggs += [v.alias(f"{k}{i}") for k, v in parts.items()]
         r = lambda v: F.round(v, digits)
-        q = F.col(f"q{i}")
-        items.append((c, [F.col(f"n{i}"), r(F.col(f"mean{i}")), r(F.col(f"std{i}")), F.col(f"min{i}"), r(q[0]), r(q[1]), r(q[2]), F.col(f"max{i}")]))
+        q = [r(F.lit(v).cast("double")) for v in quartiles[c]]
+        items.append((c, [F.col(f"n{i}"), r(F.col(f"mean{i}")), r(F.col(f"std{i}")), F.col(f"min{i}"), *q, F.col(f"max{i}")]))
     return _long(df.agg(*aggs), items, ["column", "n", "mean", "std", "min", "q25", "q50", "q75", "max"])
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from tessella.functions.scalar import snake, to_number
 from tessella.operators import clean, explain, features, ga, metrics, models, narrate, profile, solver, split
+from tessella.operators.quantiles import exact_quantiles
 from tessella.plans import fits
 from tessella.sources import files
 
@@ -41,6 +42,15 @@ def test_hormone_miniature(spark):
     assert clean.drop_tolerant(df, ["amh", "absent"]).columns == ["id", "y", "hcg"]
 
 
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(4)
+    probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0]
+    for x in (rng.normal(size=5000), rng.integers(0, 3, 999).astype(float), np.array([1.0, 2.0, 3.0, 4.0]), np.array([7.0])):
+        df = spark.createDataFrame([(float(v), None) for v in x] + [(None, None), (float("nan"), None)], "x double, e double").repartition(5)
+        got = exact_quantiles(df, ["x", "e"], probs)
+        assert np.allclose(got["x"], np.quantile(x, probs), rtol=1e-12) and got["e"] == [None] * len(probs)
+
+
 def test_splits_and_folds(spark):
     df = spark.range(541).select("id", (F.col("id") < 177).cast("int").alias("y"))
     parts = split.stratified_split(df, "y", "id", {"train": 0.6, "val": 0.2, "test": 0.2})
