@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,12 +13,70 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from tessella.functions.scalar import percent
 
-#: Fixed values of the rubric: words that earn the higher mark on each axis.
+# The words that earn the higher mark on each axis of the rubric (any of them, for the last axis all), and
+# the texts of the prompt and of the template.
 RUBRIC = {
-    "medical_precision": ("probab", "risk", "model"),
-    "cultural_sensitivity": ("culture", "social", "context"),
-    "language_adequacy": ("recommend", "next", "please"),
+    "medical_precision": ("critérios", "clínic"),
+    "cultural_sensitivity": ("saúde da mulher", "acolhedora", "sensível"),
+    "language_adequacy": ("recomendações", "limites"),
 }
+ALL_NEEDED = ("language_adequacy",)
+SOCIAL_CONTEXT = {
+    "faixa_etaria": ("adulta jovem", "adulta"),
+    "necessidade_linguagem": "clara, acolhedora e não alarmista",
+    "confidencialidade": "não incluir identificadores diretos e evitar exposição desnecessária de dados",
+}
+YOUNG_BELOW, AGE_IF_UNKNOWN = 35, 30
+PROMPT = """Você é um assistente clínico para saúde da mulher.
+
+Contexto:
+- Paciente anonimizada: {case_id}
+- Probabilidade de PCOS prevista pelo modelo: {p}
+- Predição binária do modelo (1=PCOS, 0=Não PCOS): {label}
+
+Dados clínicos resumidos (anonimizados):
+{features}
+
+Principais features (contribuição local para a predição):
+{top}
+
+Contexto social e de comunicação:
+{context}
+
+Tarefas:
+1) Explique a predição em linguagem natural para profissional de saúde.
+2) Explique os fatores mais relevantes do caso.
+3) Traga recomendações práticas e próximos passos clínicos sugeridos.
+4) Inclua um aviso de confidencialidade e limitação do modelo.
+5) Use linguagem sensível ao contexto de saúde da mulher.
+
+Responda em português com 4 seções:
+- Interpretação do caso
+- Fatores relevantes
+- Recomendações práticas
+- Confidencialidade e limites"""
+RISK = ("baixa a moderada", "elevada")
+TEMPLATE = """Interpretação do caso:
+- O modelo sugere probabilidade {p} de PCOS, com risco {risk}.
+
+Fatores relevantes:
+- Variáveis com maior contribuição local: {factors}.
+- Esses sinais devem ser interpretados junto ao histórico clínico e exame físico.
+
+Recomendações práticas:
+- Confirmar critérios clínicos/laboratoriais e ultrassonográficos de PCOS.
+- Revisar risco metabólico (glicemia, perfil lipídico, IMC, estilo de vida).
+- Planejar seguimento com abordagem multiprofissional e educação em saúde.
+
+Confidencialidade e limites:
+- Esta interpretação usa dados anonimizados e não substitui decisão médica.
+- O modelo pode errar; usar apenas como apoio à triagem e priorização."""
+
+
+def filled(text: str, **values: Column) -> Column:
+    """text with its names in braces replaced by columns; null where any of them is null."""
+    parts = re.split(r"\{(\w+)\}", text)
+    return F.concat(*[values[x].cast("string") if i % 2 else F.lit(x) for i, x in enumerate(parts)])
 
 
 def anonymize(df: DataFrame, identifiers: list[str]) -> DataFrame:
@@ -42,30 +103,22 @@ def payload(*columns: str) -> Column:
     return F.to_json(F.struct(*columns))
 
 
-def prompt(case_id: Column, p: Column, features: Column, top: Column, young: Column) -> Column:
-    """The prompt of a case: role, data, the factors that count most, social context and tasks."""
-    context = F.when(young, "The person is under 35.").otherwise("The person is 35 or older.")
-    return F.concat_ws(
-        "\n",
-        F.lit("You explain the result of a statistical model to a clinician."),
-        F.format_string("Case %s: probability %.3f.", case_id, F.round(p, 3)),
-        F.concat(F.lit("Features: "), features),
-        F.concat(F.lit("Main factors: "), top),
-        context,
-        F.lit("Write four sections: summary, factors, context, next steps."),
-    )
+def social_context(age: Column) -> Column:
+    """The context of a person of an age, as JSON."""
+    young = F.coalesce(age, F.lit(AGE_IF_UNKNOWN)) < YOUNG_BELOW
+    band = F.when(young, SOCIAL_CONTEXT["faixa_etaria"][0]).otherwise(SOCIAL_CONTEXT["faixa_etaria"][1])
+    return F.to_json(F.struct(*[(band if k == "faixa_etaria" else F.lit(v)).alias(k) for k, v in SOCIAL_CONTEXT.items()]))
+
+
+def prompt(case_id: Column, p: Column, label: Column, features: Column, top: Column, age: Column) -> Column:
+    """The prompt of a case; features and top are JSON."""
+    return filled(PROMPT, case_id=case_id, p=F.format_string("%.3f", F.round(p, 3)), label=label, features=features, top=top, context=social_context(age))
 
 
 def template_text(p: Column, label: Column, factors: Column) -> Column:
-    """The text that stands in for a generated one: summary, factors, context and next steps."""
+    """The text that stands in for a generated one; factors is an array of (feature, contribution)."""
     names = F.array_join(F.transform(factors, lambda f: F.concat(f["feature"], F.format_string(" (%+.2f)", F.round(f["contribution"].cast("decimal(18,6)"), 2).cast("double")))), ", ")
-    return F.concat_ws(
-        "\n",
-        F.concat(F.lit("Summary: the model's probability is "), percent(p), F.when(label == 1, ", above").otherwise(", below"), F.lit(" the threshold.")),
-        F.concat(F.lit("Factors: "), names),
-        F.lit("Context: the social context was considered."),
-        F.lit("Next: a clinician should confirm."),
-    )
+    return filled(TEMPLATE, p=percent(p), risk=F.when(label == 1, RISK[1]).otherwise(RISK[0]), factors=names)
 
 
 def generate(texts: DataFrame, call: Callable[[str], str] | None = None) -> DataFrame:
@@ -91,7 +144,11 @@ def generate(texts: DataFrame, call: Callable[[str], str] | None = None) -> Data
 def rubric(df: DataFrame, text: str) -> DataFrame:
     """Adds a mark of 4 or 3 on each axis and `overall`, their mean rounded."""
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    mark = lambda words: F.when(F.array_contains(F.array(*[F.contains(low, F.lit(w)) for w in words]), True), 4).otherwise(3)
-    marked = df.withColumns({axis: mark(words) for axis, words in RUBRIC.items()})
+
+    def mark(axis: str, words: tuple[str, ...]) -> Column:
+        tests = [F.contains(low, F.lit(w)) for w in words]
+        return F.when(reduce(and_ if axis in ALL_NEEDED else or_, tests), 4).otherwise(3)
+
+    marked = df.withColumns({axis: mark(axis, words) for axis, words in RUBRIC.items()})
     total = sum((F.col(a) for a in RUBRIC), F.lit(0))
     return marked.withColumn("overall", F.when(total >= 11, 4).otherwise(3))

@@ -609,7 +609,8 @@ def prompt_payload_json(spark: SparkSession, sf: str) -> DataFrame:
 def prompt_text(spark: SparkSession, sf: str) -> DataFrame:
     """T2x F9"""
     p = F.round(F.col("value") / 500, 3)
-    made = narrate.prompt(F.format_string("P_%03d", F.col("event_id")), p, narrate.payload("user_id", "event_type"), F.col("event_type"), F.col("user_id") < 35)
+    top = F.to_json(F.array(F.struct(F.lit("value").alias("feature"), F.col("event_id").alias("contribution"))))
+    made = narrate.prompt(F.format_string("P_%03d", F.col("event_id")), p, (p >= 0.5).cast("int"), narrate.payload("user_id", "event_type"), top, F.when(F.col("user_id") % 3 != 0, F.col("user_id")))
     return load_table(spark, sf, "events").select("event_id", made.alias("prompt"))
 
 
@@ -626,7 +627,7 @@ def fallback_text(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def rubric_scores(spark: SparkSession, sf: str) -> DataFrame:
     """T4x F6 F7"""
-    rows = load_table(spark, sf, "conversations").withColumn("text", F.concat_ws(" ", "text", F.when(F.col("turn") % 2 == 0, "Risk and next steps"), F.when(F.col("turn") % 3 == 0, "social context")))
+    rows = load_table(spark, sf, "conversations").withColumn("text", F.concat_ws(" ", "text", F.when(F.col("turn") % 2 == 0, "Recomendações e LIMITES"), F.when(F.col("turn") % 3 == 0, "linguagem acolhedora"), F.when(F.col("turn") % 5 == 0, "Critérios")))
     return narrate.rubric(rows, "text").select("conv_id", "turn", *narrate.RUBRIC, "overall")
 
 

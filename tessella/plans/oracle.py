@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+from tessella.operators.narrate import PROMPT, TEMPLATE
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 _LABELLED = "labelled as (select l.doc_id, l.quality, l.toxic, d.n_chars from labels l join documents d on d.doc_id = l.doc_id)"
 _SCORED = f"""{_LABELLED}, scored as (
   select 'a' as model, doc_id as row_id, quality as y, n_chars::double as grp, toxic,
@@ -83,11 +90,11 @@ from r join s using (threshold, fold) group by threshold"""
 
 
 _RUBRIC = """marks as (
-  select conv_id, turn, lower(concat_ws(' ', text, case when turn % 2 = 0 then 'Risk and next steps' end, case when turn % 3 = 0 then 'social context' end)) as t from conversations
+  select conv_id, turn, lower(concat_ws(' ', text, case when turn % 2 = 0 then 'Recomendações e LIMITES' end, case when turn % 3 = 0 then 'linguagem acolhedora' end, case when turn % 5 = 0 then 'Critérios' end)) as t from conversations
 ), marked as (
-  select conv_id, turn, case when contains(t, 'probab') or contains(t, 'risk') or contains(t, 'model') then 4 else 3 end as medical_precision,
-    case when contains(t, 'culture') or contains(t, 'social') or contains(t, 'context') then 4 else 3 end as cultural_sensitivity,
-    case when contains(t, 'recommend') or contains(t, 'next') or contains(t, 'please') then 4 else 3 end as language_adequacy from marks
+  select conv_id, turn, case when contains(t, 'critérios') or contains(t, 'clínic') then 4 else 3 end as medical_precision,
+    case when contains(t, 'saúde da mulher') or contains(t, 'acolhedora') or contains(t, 'sensível') then 4 else 3 end as cultural_sensitivity,
+    case when contains(t, 'recomendações') and contains(t, 'limites') then 4 else 3 end as language_adequacy from marks
 ), overall as (select *, case when medical_precision + cultural_sensitivity + language_adequacy >= 11 then 4 else 3 end as overall from marked)"""
 
 ORACLE: dict[str, str] = {
@@ -189,13 +196,14 @@ select ind_id, round(case when gate and {_u("mut:c:hit", "ind_id")} < 0.4 then l
     "union_accumulate": "select o_orderkey, o_orderstatus, o_orderstatus as part from orders where o_orderstatus in ('O', 'F', 'P')",
     "anonymize": """select c_nationkey::double as c_nationkey, c_acctbal, c_mktsegment, md5('salt:' || c_custkey::varchar) as "key" from customer""",
     "prompt_payload_json": """with j as (select o_orderkey, '{"o_custkey":' || o_custkey || ',"o_orderstatus":"' || o_orderstatus || '"}' as payload from orders) select *, length(payload) as n from j""",
-    "prompt_text": r"""select event_id, 'You explain the result of a statistical model to a clinician.' || chr(10) || printf('Case P_%03d: probability %.3f.', event_id, round(round(value / 500, 3), 3)) || chr(10)
-  || 'Features: {"user_id":' || user_id || ',"event_type":"' || event_type || '"}' || chr(10) || 'Main factors: ' || event_type || chr(10)
-  || case when user_id < 35 then 'The person is under 35.' else 'The person is 35 or older.' end || chr(10) || 'Write four sections: summary, factors, context, next steps.' as prompt from events""",
-    "fallback_text": r"""with e as (select event_id, round(value / 500, 6) as p, round(value / 7, 4) as a, -round(user_id / 9, 4) as b from events)
-select event_id, 'Summary: the model''s probability is ' || printf('%.2f%%', round((p * 100)::decimal(18,6), 2)::double) || case when p >= 0.5 then ', above' else ', below' end || ' the threshold.' || chr(10)
-  || 'Factors: value (' || printf('%+.2f', round(a::decimal(18,6), 2)::double) || '), user (' || printf('%+.2f', round(b::decimal(18,6), 2)::double) || ')' || chr(10)
-  || 'Context: the social context was considered.' || chr(10) || 'Next: a clinician should confirm.' as text from e""",
+    "prompt_text": f"""select event_id, replace(replace(replace(replace(replace(replace({_quoted(PROMPT)},
+  '{{case_id}}', printf('P_%03d', event_id)), '{{p}}', printf('%.3f', round(round(value / 500, 3), 3))), '{{label}}', (round(value / 500, 3) >= 0.5)::int::varchar),
+  '{{features}}', '{{"user_id":' || user_id || ',"event_type":"' || event_type || '"}}'), '{{top}}', '[{{"feature":"value","contribution":' || event_id || '}}]'),
+  '{{context}}', '{{"faixa_etaria":"' || case when coalesce(case when user_id % 3 <> 0 then user_id end, 30) < 35 then 'adulta jovem' else 'adulta' end
+    || '","necessidade_linguagem":"clara, acolhedora e não alarmista","confidencialidade":"não incluir identificadores diretos e evitar exposição desnecessária de dados"}}') as prompt from events""",
+    "fallback_text": f"""with e as (select event_id, round(value / 500, 6) as p, round(value / 7, 4) as a, -round(user_id / 9, 4) as b from events)
+select event_id, replace(replace(replace({_quoted(TEMPLATE)}, '{{p}}', printf('%.2f%%', round((p * 100)::decimal(18,6), 2)::double)), '{{risk}}', case when p >= 0.5 then 'elevada' else 'baixa a moderada' end),
+  '{{factors}}', 'value (' || printf('%+.2f', round(a::decimal(18,6), 2)::double) || '), user (' || printf('%+.2f', round(b::decimal(18,6), 2)::double) || ')') as text from e""",
     "rubric_scores": f"with {_RUBRIC} select * from overall",
     "rubric_summary": f"with {_RUBRIC} select count(*) as n, " + ", ".join(f"round(avg({c}), 6) as mean_{c}" for c in ("medical_precision", "cultural_sensitivity", "language_adequacy", "overall")) + " from overall",
 }

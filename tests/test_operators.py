@@ -133,8 +133,11 @@ def test_sampled_shap_adds_up(spark):
 
 
 def test_narratives(spark):
-    df = spark.createDataFrame([("The model gives a high risk. Social context. Next steps.",), ("nothing",), (None,)], "t string")
-    assert [r["overall"] for r in narrate.rubric(df, "t").collect()] == [4, 3, 3]
+    factors = F.array(F.struct(F.lit("AMH").alias("feature"), F.lit(0.5).alias("contribution")))
+    df = spark.createDataFrame([(0.5041,)], "p double").select(narrate.template_text(F.col("p"), F.lit(0), factors).alias("t"))
+    assert "probabilidade 50.41% de PCOS, com risco baixa a moderada" in df.first()["t"] and "AMH (+0.50)" in df.first()["t"]
+    df = df.union(spark.createDataFrame([("nothing",), (None,), ("linguagem SENSÍVEL, critérios; recomendações",)], "t string"))
+    assert [tuple(r)[1:] for r in narrate.rubric(df, "t").collect()] == [(4, 3, 4, 4), (3, 3, 3, 3), (3, 3, 3, 3), (4, 4, 3, 4)]
     texts = spark.createDataFrame([("ask", "plain")], "prompt string, template string")
     assert narrate.generate(texts).first()["response"] == "plain"
 
