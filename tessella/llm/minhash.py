@@ -222,5 +222,5 @@ def near_duplicates(docs: DataFrame, banding: Banding | None = None) -> DataFram
         discard(table)
     out = member.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    return out.select("*", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return out.select("*", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 

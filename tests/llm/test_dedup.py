@@ -59,6 +59,7 @@ def test_near_duplicates_of_odd_rows(odd, odd_rows, none):
     assert all(by[i]["n_shingles"] == 0 and by[i]["component_id"] == i and by[i]["kept"] for i in (1, 2, 3))
     assert [by[i]["component_id"] for i in (6, 7, 8, 15)] == [6, 6, 6, 6] and by[10]["component_id"] == 9 and by[12]["component_id"] == 11
     assert by[4]["n_shingles"] == 1 and by[14]["component_id"] == 14
+    assert by[None]["kept"] and by[None]["component_id"] is None  # a null id is the first of its class where no other is
     assert minhash.near_duplicates(none).collect() == []
 
 

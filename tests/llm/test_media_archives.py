@@ -88,3 +88,12 @@ def test_archives_match_brute_force(spark, sf):
     assert warc.archive_pages(frame.limit(0)).collect() == []
     null = warc.archive_pages(spark.createDataFrame([(None, "u", "q" * 200, "d", 1, 1), (3, "u", "q" * 200, "d", 1, 1)], PAGES)).collect()
     assert {r["page_id"]: r["record_type"] for r in null} == {None: "revisit", 3: "response"}
+
+
+def test_stored_pcm(spark):
+    how = audio.Telephony(target_rate=8000)
+    docs = spark.createDataFrame([(i, chr(97 + i) * 700) for i in range(6)], "doc_id long, text string")
+    for r in audio.resampled(audio.store(docs, how), how).collect():
+        codec, _, align, data = audio.unwrap(bytes(r["media"]))
+        want = audio.decode([(codec, align, data)])[0]
+        assert r["codec"] == codec and bytes(r["samples"]) == data and bytes(r["pcm"]) == want.astype("<i2").tobytes()
