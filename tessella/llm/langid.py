@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.shared import small_batches
+
 
 @dataclass(frozen=True)
 class Languages:
@@ -77,7 +79,9 @@ def fit(docs: DataFrame, how: Languages) -> Model | None:
             yield pd.DataFrame(rows, columns=["lang", "at", "n"])
 
     chosen = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(how.sample).distinct()
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("lang", "text").mapInPandas(run, "lang string, at array<int>, n array<long>").collect()
+    rows = docs.join(F.broadcast(chosen), "doc_id").select("lang", "text").mapInPandas(run, "lang string, at array<int>, n array<long>")
+    with small_batches(docs.sparkSession):
+        rows = rows.collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r["lang"], r["at"], r["n"]))

@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.shared import small_batches
 from tessella.llm.text import MEMO_WORDS, words_of
 from tessella.llm.weak import fit_reliabilities
 
@@ -112,7 +113,9 @@ def vote_counts(docs: DataFrame, how: Quality) -> dict[tuple[int, ...], int]:
                     counts[got[0]] = counts.get(got[0], 0) + 1
         yield pd.DataFrame([(list(k), n) for k, n in counts.items()], columns=["votes", "n"])
 
-    rows = docs.select("text").mapInPandas(run, "votes array<int>, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()
+    counted = docs.select("text").mapInPandas(run, "votes array<int>, n long").groupBy("votes").agg(F.sum("n").alias("n"))
+    with small_batches(docs.sparkSession):
+        rows = counted.collect()
     return {tuple(r["votes"]): r["n"] for r in sorted(rows, key=lambda r: r["votes"])}
 
 
@@ -132,7 +135,9 @@ def fit(docs: DataFrame, how: Quality) -> Scorer:
             yield pd.DataFrame({"p": [posterior.get(x[0], 0.5) for x in read], "at": [x[1] for x in read], "share": [x[2] for x in read]})
 
     chosen = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(how.sample).distinct()
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text").mapInPandas(run, "p double, at array<int>, share array<double>").collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text").mapInPandas(run, "p double, at array<int>, share array<double>")
+    with small_batches(docs.sparkSession):
+        rows = rows.collect()
     p = np.array([r["p"] for r in rows])
     row = np.repeat(np.arange(len(rows)), [len(r["at"]) for r in rows])
     at, share = (np.concatenate([r[c] for r in rows]) for c in ("at", "share"))

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.shared import discard, materialize, release
+from tessella.llm.shared import discard, materialize, release, small_batches
 from tessella.llm.text import WordHashes, mix, sequence_digest, window_hashes, words_of
 
 
@@ -130,10 +130,11 @@ def repeated_cells(docs: DataFrame, window: int, sketch: Sketch) -> bytes:
     merged = merged_counts(counts, sketch, ["row", "block"])
     bits = np.zeros((sketch.rows, 1 << (sketch.log2_cells - 3)), np.uint8)
     each = 1 << (sketch.log2_block - 3)
-    for row, block, twice in merged.select("row", "block", "twice").toLocalIterator(prefetchPartitions=True):
-        own = np.zeros(1 << sketch.log2_block, np.uint8)
-        own[_unpack(bytes(twice))] = 1
-        bits[row, block * each : (block + 1) * each] = np.packbits(own, bitorder="little")
+    with small_batches(docs.sparkSession):
+        for row, block, twice in merged.select("row", "block", "twice").toLocalIterator(prefetchPartitions=True):
+            own = np.zeros(1 << sketch.log2_block, np.uint8)
+            own[_unpack(bytes(twice))] = 1
+            bits[row, block * each : (block + 1) * each] = np.packbits(own, bitorder="little")
     return zlib.compress(bits.tobytes(), 1)
 
 
@@ -179,7 +180,7 @@ def _without(docs: DataFrame, found: DataFrame, window: int) -> DataFrame:
                 out.append((doc_id, len(words), len(words) - len(keep), kept.decode("utf-8", "surrogatepass"), hashlib.sha256(kept).hexdigest()))
             yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"])
 
-    return docs.select("doc_id", "text").join(found, "doc_id").mapInPandas(run, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
+    return docs.select("doc_id", "text").join(found.hint("merge"), "doc_id").mapInPandas(run, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, sketch: Sketch | None = None) -> DataFrame:
