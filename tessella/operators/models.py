@@ -156,21 +156,65 @@ def learning_curve(df: DataFrame, features: list[str], label: str, key: str, fol
     return spread.groupBy("step", "part").applyInPandas(fit, "step long, fold long, n_train long, f1_train double, f1_val double")
 
 
-def export_baselines(df: DataFrame, features: list[str], label: str, key: str, path: str, depths: range = range(2, 6)) -> dict:
-    """Train logistic regression and tree on 60 %, tune the depth on 20 %, save both, and return metadata with F1 on the last 20 %.
+def _vectors(df: DataFrame, key: str, z: list[str], name: str) -> DataFrame:
+    return df.select(F.col(key).cast("long").alias(name), F.array(*[F.col(c).cast("double") for c in z]).alias("vector"))
 
-    df has a column split of train, val and test.
+
+def tune_k(train: DataFrame, key: str, label: str, z: list[str], most_k: int, folds: int = 5, most: int = 20_000) -> tuple[int, float]:
+    """The k up to most_k with the highest mean F1 over the folds, the smallest among ties, and that F1.
+
+    train has scaled columns z and a column fold. One list of neighbours a fold gives all k. The `most` first rows in
+    the random order are tuned on at most.
+    """
+    from tessella.operators import knn
+    from tessella.operators.split import order_key
+
+    rows = train.orderBy(order_key(F.col(key)), key).limit(most).select(key, label, "fold", *z)
+    labels = rows.select(F.col(key).cast("long").alias("tid"), F.col(label).cast("long").alias("y"))
+    sweeps = None
+    for k in range(folds):
+        inside = F.col("fold") == k
+        near = knn.knn(_vectors(rows.where(inside), key, z, "qid"), _vectors(rows.where(~inside), key, z, "tid"), most_k)
+        sweep = knn.k_sweep(knn.votes(near, labels), labels.withColumnRenamed("tid", "qid")).select("k", "f1")
+        sweeps = sweep if sweeps is None else sweeps.unionByName(sweep)
+    best = sweeps.groupBy("k").agg(F.round(F.avg("f1"), 9).alias("f1")).orderBy(F.col("f1").desc(), "k").first()
+    return int(best["k"]), float(best["f1"])
+
+
+def knn_predictions(train: DataFrame, rows: DataFrame, key: str, label: str, z: list[str], k: int) -> DataFrame:
+    """The long table of predictions of k nearest neighbours; p is the share of votes."""
+    from tessella.operators import knn
+
+    labels = train.select(F.col(key).cast("long").alias("tid"), F.col(label).cast("long").alias("y"))
+    voted = knn.votes(knn.knn(_vectors(rows, key, z, "qid"), _vectors(train, key, z, "tid"), k), labels).where(F.col("k") == k)
+    truth = rows.select(F.col(key).cast("long").alias("qid"), F.col(label).cast("int").alias("y"))
+    joined = voted.join(truth, "qid")
+    return joined.select(F.lit("knn").alias("model"), F.col("qid").alias("row_id"), "y", (F.col("votes") / F.col("k")).alias("p"), F.col("yhat").cast("int").alias("yhat"))
+
+
+def export_baselines(df: DataFrame, features: list[str], label: str, key: str, path: str, depths: range = range(2, 6), most_k: int = 15) -> dict:
+    """Train logistic regression, neighbours and tree on 60 %, save all three, and return metadata with F1 on the last 20 %.
+
+    df has the columns split (train, val, test) and fold. The depth is tuned on val, the number of neighbours by
+    cross-validation on train; the neighbours' artifact is the scaled training table with its k.
     """
-    train, val, test = (df.where(F.col("split") == s) for s in ("train", "val", "test"))
     scaled = scale(df, features, F.col("split") == "train")
     z = [f + "_z" for f in features]
+    train, val, test = (scaled.where(F.col("split") == s) for s in ("train", "val", "test"))
     depth, _ = tune_depth(train, val, features, label, depths, key)
-    lr = lr_pipeline(z, label, train.count()).fit(scaled.where("split = 'train'"))
+    k, _ = tune_k(train, key, label, z, most_k)
+    lr = lr_pipeline(z, label, train.count()).fit(train)
     tree = tree_pipeline(features, label, depth).fit(train)
     save_model(lr, f"{path}/lr", {"threshold": 0.5})
     save_model(tree, f"{path}/tree", {"threshold": 0.5, "depth": depth})
-    f1 = lambda m, rows: rates(confusion(predictions(m, rows, "m", key, label, key), "model")).first()["f1"]
-    return run_metadata(42, path, [], 0, depth, {"lr_test_f1": f1(lr, scaled.where("split = 'test'")), "dt_test_f1": f1(tree, test)})
+    train.select(key, label, *z).write.mode("overwrite").parquet(f"{path}/knn_k{k}")
+    f1 = lambda predicted: rates(confusion(predicted, "model")).first()["f1"]
+    scores = {
+        "lr_test_f1": f1(predictions(lr, test, "lr", key, label, key)),
+        "knn_test_f1": f1(knn_predictions(train, test, key, label, z, k)),
+        "dt_test_f1": f1(predictions(tree, test, "tree", key, label, key)),
+    }
+    return run_metadata(42, path, [], k, depth, scores)
 
 
 def knn_predictor(train: np.ndarray, y: np.ndarray, k: int):

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.operators import clean, explain, features, ga, models, split
+from tessella.plans import report
 from tessella.plans.catalog import Query
 from tessella.session import load_table
 from tessella.sources import files
@@ -110,11 +111,11 @@ def learning_curve(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def baseline_export(spark: SparkSession, sf: str) -> DataFrame:
-    """M15 M40 S7"""
+    """M11 M12 M15 M40 S7"""
     path = files.scratch_path(spark, "baselines")
     meta = models.export_baselines(modelling_table(spark, sf), FEATURES, "quality", "doc_id", path)
     files.write_document(spark, f"{path}/metadata", meta)
-    return spark.createDataFrame([(meta["best_depth"], *meta["test_metrics"].values())], "best_depth int, lr_test_f1 double, dt_test_f1 double")
+    return spark.createDataFrame([(meta["best_k"], meta["best_depth"], *meta["test_metrics"].values())], "best_k int, best_depth int, lr_test_f1 double, knn_test_f1 double, dt_test_f1 double")
 
 
 @query
@@ -123,3 +124,24 @@ def ga_run(spark: SparkSession, sf: str) -> DataFrame:
     how = ga.Experiment("small", 12, 3, 0.7, 0.5, 3, "uniform", 0.4, 2, 4)
     found = ga.run_experiment(spark, modelling_table(spark, sf), FEATURES, "quality", "n_chars", "doc_id", how, 3000)
     return spark.createDataFrame([tuple(found.values())], "exp_id string, generations_run int, best_fitness double, best_c double, best_penalty string, best_class_weight string, best_threshold double, test_recall double, test_specificity double, test_f1 double, test_disparity double, n_train int, runtime_seconds double")
+
+
+@query
+def case_report(spark: SparkSession, sf: str) -> DataFrame:
+    """T6x T2x T3x T4x M35: explained and graded cases, written as CSV, matrix and JSON lines, and the CSV read back"""
+    rows = _scaled(spark, sf)
+    weights, intercept = models.fit_lr(rows.where("split = 'train'"), _Z, "quality")
+    cases = report.build_cases(rows.where("split = 'test'"), "doc_id", "quality", dict(zip(FEATURES, _Z, strict=True)), {f: weights[z] for f, z in zip(FEATURES, _Z, strict=True)}, intercept, 8)
+    path = files.scratch_path(spark, "cases")
+    report.write_cases(report.explain_cases(cases, 0.5, "lr", "20240101T000000Z"), path)
+    return files.read_table(spark, f"{path}/responses", "csv", report.RESPONSE_SCHEMA)
+
+
+@query
+def search_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Two small experiments against a baseline, written as CSV and summary, and the CSV read back"""
+    rows = modelling_table(spark, sf)
+    hows = [ga.Experiment(f"small_{c}", 8, 2, 0.7, 0.5, 3, c, 0.4, 2, 4) for c in ("uniform", "one_point")]
+    path = files.scratch_path(spark, "search")
+    report.run_search(spark, rows, FEATURES, "quality", "n_chars", "doc_id", hows, path, 2000)
+    return files.read_table(spark, f"{path}/experiments", "csv", report.SEARCH_SCHEMA)

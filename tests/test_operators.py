@@ -176,3 +176,19 @@ def test_fits_give_rows(spark, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 12
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_case_report_files(spark):
+    rows = fits.case_report(spark, "/root/testdata/sf0.01").collect()
+    assert len(rows) == 8 and [r["patient_id"] for r in rows] == [f"P_{i:03d}" for i in range(1, 9)]
+    assert all((r["medical_precision"], r["cultural_sensitivity"], r["language_adequacy"], r["overall"]) == (4, 3, 4, 4) for r in rows)
+    assert all(r["llm_response"].startswith("Interpretação do caso:\n") and r["mode"] == "local_fallback" and r["top_features"].count("[") == 5 for r in rows)
+
+
+def test_command_line(spark, capsys, tmp_path):
+    from tessella.__main__ import main
+
+    main(["table_shape", "/root/testdata/sf0.001"])
+    assert "n_rows" in capsys.readouterr().out
+    main(["head_n", "/root/testdata/sf0.001", "--out", str(tmp_path / "o"), "--format", "csv"])
+    assert spark.read.option("header", True).csv(str(tmp_path / "o")).count() == 5
