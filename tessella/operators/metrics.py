@@ -57,22 +57,34 @@ def _score_steps(scores: DataFrame) -> DataFrame:
     return scores.groupBy("model", "p").agg(F.sum("y").cast("long").alias("pos"), F.sum(1 - F.col("y")).cast("long").alias("neg"))
 
 
+def _running(steps: DataFrame, names: list[str], descending: bool, bins: int = 4096) -> DataFrame:
+    """Adds before_NAME, the sum over the model's rows that come before in order of p, and all_NAME.
+
+    Sums of bins of p, `bins` + 1 rows a model at most, give where each bin starts; windows hold one bin's rows. So no
+    task holds all scores of a model. Scores beyond [0, 1] fall into the outer bins.
+    """
+    rows = steps.withColumn("_bin", F.floor(F.least(F.greatest(F.col("p"), F.lit(0.0)), F.lit(1.0)) * bins))
+    turn = lambda c: F.col(c).desc() if descending else F.col(c).asc()
+    earlier = Window.partitionBy("model").orderBy(turn("_bin")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("model", "_bin").agg(*[F.sum(n).alias(n) for n in names])
+    starts = sums.select("model", "_bin", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_s_{n}") for n in names], *[F.sum(n).over(Window.partitionBy("model")).alias(f"all_{n}") for n in names])
+    within = Window.partitionBy("model", "_bin").orderBy(turn("p")).rowsBetween(Window.unboundedPreceding, -1)
+    before = {f"before_{n}": F.col(f"_s_{n}") + F.coalesce(F.sum(n).over(within), F.lit(0)) for n in names}
+    return rows.join(starts, ["model", "_bin"]).select("*", *[v.alias(k) for k, v in before.items()])
+
+
 def roc_curve(scores: DataFrame, digits: int = 6) -> DataFrame:
-    """(model, threshold, fpr, tpr), a point for each distinct score; rows of a score are summed before the window."""
-    steps = _score_steps(scores)
-    down = Window.partitionBy("model").orderBy(F.col("p").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy("model")
-    point = lambda c: F.round(ratio(F.sum(c).over(down), F.sum(c).over(every)), digits)
-    return steps.select("model", F.col("p").alias("threshold"), point("neg").alias("fpr"), point("pos").alias("tpr"))
+    """(model, threshold, fpr, tpr), a point for each distinct score; rows of a score are summed first."""
+    sums = _running(_score_steps(scores), ["pos", "neg"], True)
+    point = lambda n: F.round(ratio(F.col(f"before_{n}") + F.col(n), F.col(f"all_{n}")), digits)
+    return sums.select("model", F.col("p").alias("threshold"), point("neg").alias("fpr"), point("pos").alias("tpr"))
 
 
 def auc(scores: DataFrame, digits: int = 6) -> DataFrame:
     """(model, auc): the share of pairs of a positive and a negative that are in order, ties as a half."""
-    steps = _score_steps(scores)
-    up = Window.partitionBy("model").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("neg").over(up), F.lit(0))
-    parts = steps.select("model", "pos", "neg", (F.col("pos") * (below + F.col("neg") / 2.0)).alias("won"))
-    out = parts.groupBy("model").agg(F.sum("won").alias("won"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    sums = _running(_score_steps(scores), ["neg"], False)
+    won = F.col("pos") * (F.col("before_neg") + F.col("neg") / 2.0)
+    out = sums.groupBy("model").agg(F.sum(won).alias("won"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     return out.select("model", F.round(ratio(F.col("won"), F.col("pos") * F.col("neg")), digits).alias("auc"))
 
 
