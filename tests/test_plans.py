@@ -9,6 +9,7 @@ from tessella.plans.oracle import ORACLE
 
 
 def plan(spark, sf, name):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     return catalog.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
 
 
