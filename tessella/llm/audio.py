@@ -159,21 +159,26 @@ def store(docs: DataFrame, how: Telephony) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_bytes long, media binary")
 
 
+def _opened(batches: Iterator[pd.DataFrame], how: Telephony) -> Iterator[tuple[pd.DataFrame, list[tuple[str, int, int, bytes]], list[np.ndarray]]]:
+    """Rows of media with their containers' contents and resampled PCM, as many rows at once as memory should hold decoded."""
+    for whole in batches:
+        at = 0
+        sizes = whole["media"].map(len).cumsum()
+        while at < len(whole):
+            end = max(at + 1, int(sizes.searchsorted((sizes.iloc[at - 1] if at else 0) + how.at_once, "right")))
+            pdf = whole.iloc[at:end]
+            read = [unwrap(x) for x in pdf["media"]]
+            pcm = decode([(codec, align, data) for codec, _, align, data in read], how.at_once)
+            yield pdf, read, [resample(x, r[1], how.target_rate) for x, r in zip(pcm, read, strict=True)]
+            at = end
+
+
 def resampled(media: DataFrame, how: Telephony) -> DataFrame:
     """media(doc_id, n_bytes, media) with codec, samples (the stored bytes) and pcm, 16-bit little-endian at the target rate."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for whole in batches:
-            at = 0
-            sizes = whole["media"].map(len).cumsum()
-            while at < len(whole):  # as many rows at once as memory should hold decoded
-                end = max(at + 1, int(sizes.searchsorted((sizes.iloc[at - 1] if at else 0) + 2 * how.at_once, "right")))
-                pdf = whole.iloc[at:end]
-                read = [unwrap(x) for x in pdf["media"]]
-                pcm = decode([(codec, align, data) for codec, _, align, data in read], how.at_once)
-                pcm = [resample(x, rate, how.target_rate).astype("<i2").tobytes() for x, (_, rate, _, _) in zip(pcm, read, strict=True)]
-                yield pdf.assign(codec=[r[0] for r in read], samples=[r[3] for r in read], pcm=pcm)
-                at = end
+        for pdf, read, pcm in _opened(batches, how):
+            yield pdf.assign(codec=[r[0] for r in read], samples=[r[3] for r in read], pcm=[x.astype("<i2").tobytes() for x in pcm])
 
     return media.mapInPandas(run, "doc_id long, n_bytes long, media binary, codec string, samples binary, pcm binary")
 
@@ -192,15 +197,14 @@ def media_features(docs: DataFrame, how: Telephony | None = None) -> DataFrame:
     stored = materialize(store(docs, how), "media")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf, read, pcms in _opened(batches, how):
             out = []
-            for doc_id, n, media, codec, data, pcm in pdf.itertuples(index=False):
-                x = np.frombuffer(pcm, "<i2").astype(np.int64)
+            for (doc_id, n, media), (codec, _, _, data), pcm in zip(pdf.itertuples(index=False), read, pcms, strict=True):
+                x = pcm.astype(np.int64)
                 level = int(np.sqrt((x * x).mean())) if len(x) else 0
                 crossings = int(((x[1:] >= 0) != (x[:-1] >= 0)).sum())
-                feature = f"{codec}:{len(x)}:{level}:{int(np.abs(x).max(initial=0))}:{crossings}:{hashlib.sha256(pcm).hexdigest()[:16]}"
+                feature = f"{codec}:{len(x)}:{level}:{int(np.abs(x).max(initial=0))}:{crossings}:{hashlib.sha256(pcm.astype('<i2').tobytes()).hexdigest()[:16]}"
                 out.append((doc_id, n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature))
             yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    opened = resampled(stored.select("doc_id", "n_bytes", "media"), how)
-    return opened.mapInPandas(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return stored.select("doc_id", "n_bytes", "media").mapInPandas(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
