@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 _unset: list[str] = []
@@ -66,3 +67,20 @@ def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of queries that have ended: it acts when the driver collects its garbage."""
     gc.collect()
     spark._jvm.System.gc()
+
+
+#: A value that is given to more than 1 / HOT_PARTS of all rows is hot: there are fewer than HOT_PARTS such values.
+HOT_PARTS = 1000
+
+
+def join_by_class(rows: DataFrame, classes: DataFrame, keys: list[str], total: int, how: str = "left") -> DataFrame:
+    """rows with the columns of classes(keys..., n, ...) by equal keys, n being the rows of a class, of `total` in all.
+
+    Classes of more than total / HOT_PARTS rows are fewer than HOT_PARTS, so they are broadcast; only the rows of the
+    others are dealt out by key, and no task receives a large class. rows is read twice.
+    """
+    hot = classes.where(F.col("n") * HOT_PARTS > total)
+    cold = classes.where(F.col("n") * HOT_PARTS <= total)
+    found = rows.join(F.broadcast(hot), keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how)
+    return found.unionByName(rest).drop("n")

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.shared import new_path
+from tessella.llm.shared import join_by_class, materialize, new_path
 
 #: Names of the fields of a record's header line, of each version of the format.
 ARC_FIELDS = {
@@ -152,9 +152,10 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, archive: Archive
     is a response and the others are revisits of it; only digests are grouped.
     """
     small = read_arc(spark, arc_path, payload=False).select("page_id", "digest", "n")
-    first = small.where(F.col("n") >= archive.least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("times"))
-    first = first.where("times > 1").select("digest", "first")
-    records = read_arc(spark, arc_path).join(first, "digest", "left")
+    first = materialize(small.groupBy("digest", F.col("n").alias("bytes")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")), "payloads")
+    total = first.agg(F.sum("n")).first()[0] or 0
+    first = first.where((F.col("bytes") >= archive.least) & (F.col("n") > 1)).select("digest", "first", "n")
+    records = join_by_class(read_arc(spark, arc_path).withColumnRenamed("n", "bytes"), first, ["digest"], total).withColumnRenamed("bytes", "n")
     warc_values(records).write.option("compression", "gzip").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", archive.records).text(warc_path)
 
 
