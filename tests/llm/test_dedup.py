@@ -114,3 +114,14 @@ def test_sketch_packing_and_windows():
     h = WordHashes().of([b"a", b"b", b"c", b"a", b"b", b"c"])
     w = window_hashes(h, 3)
     assert len(w) == 4 and w[0] == w[3] and len(set(w.tolist())) == 3 and len(window_hashes(h, 7)) == 0
+
+
+@pytest.mark.parametrize("parts", [1, 3, 1000])
+def test_classes_are_joined_alike_hot_or_not(spark, monkeypatch, parts):
+    from tessella.llm import shared
+
+    monkeypatch.setattr(shared, "HOT_PARTS", parts)
+    rows = spark.createDataFrame([(i, k) for i, k in enumerate("aaaaaaabbc")] + [(10, None)], "id long, k string")
+    classes = spark.createDataFrame([("a", 7, "x"), ("b", 2, "y")], "k string, n long, v string")
+    got = {r["id"]: r["v"] for r in shared.join_by_class(rows, classes, ["k"], 11).collect()}
+    assert got == {**dict.fromkeys(range(7), "x"), 7: "y", 8: "y", 9: None, 10: None}
