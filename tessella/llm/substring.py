@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.shared import discard, materialize, release, small_batches
+from tessella.llm.shared import discard, join_by_class, materialize, release, small_batches
 from tessella.llm.text import WordHashes, mix, sequence_digest, window_hashes, words_of
 
 
@@ -200,8 +200,9 @@ def remove_repeats(docs: DataFrame, window: int = 50, sketch: Sketch | None = No
     sketch = sketch or Sketch()
     seen = materialize(candidate_windows(docs, window, sketch), "candidates")
     release(docs.sparkSession)
-    first = seen.groupBy("d1", "d2", "n_words").agg(F.min("doc_id").alias("first"))
-    copies = seen.select("doc_id", "n_words", "d1", "d2", "sha").join(first, ["d1", "d2", "n_words"])
+    keys = ["d1", "d2", "n_words"]
+    first = seen.groupBy(*keys).agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    copies = join_by_class(seen.select("doc_id", "n_words", "d1", "d2", "sha"), first, keys, seen.count(), "inner")
     later = (F.col("n_words") >= window) & (F.col("doc_id") > F.col("first"))
     ruled = materialize(copies.select("doc_id", "n_words", "sha", later.alias("whole")), "ruled")
 
