@@ -14,11 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.shared import small_batches
-from tessella.llm.text import MEMO_WORDS, words_of
+from tessella.llm.text import words_of
 from tessella.llm.weak import fit_reliabilities
 
 LABELERS = ("signs", "letters", "capitals", "repetition", "variety", "stops")
 _SIGN = re.compile(r"[%&$#*|@=<>{}\\^~_]|!!|\?\?")
+#: The largest number of words that a worker remembers shapes of.
+MEMO_SHAPES = 300_000
 _RUN = re.compile(r"(.)\1+")
 
 
@@ -33,6 +35,18 @@ class Quality:
     least: float = 0.5
 
 
+class _Classes(dict):
+    """A for upper-case letters, a for others, 0 for digits, and other signs themselves: a table for str.translate()."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        value = self[code] = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
+        return value
+
+
+_CLASSES = _Classes()
+
+
 class _Shapes(dict):
     """A word's hashed shape (letters' case, digits and signs, runs as one), with bits for a sign, capitals and a stop at its end, its length and its letters and digits."""
 
@@ -41,13 +55,14 @@ class _Shapes(dict):
         self.mask = (1 << log2_features) - 1
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_WORDS:
+        if len(self) >= MEMO_SHAPES:
             self.clear()
         text = word.decode("utf-8", "replace")
-        shape = _RUN.sub(r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in text[:40]))
+        kinds = text.translate(_CLASSES)
+        shape = _RUN.sub(r"\1", kinds[:40])
         value = (xxhash.xxh3_64_intdigest(shape.encode()) & self.mask) << 3
         value |= bool(_SIGN.search(text)) | (len(text) > 1 and text.isupper()) << 1 | (text[-1] in ".,;:!?") << 2
-        value |= min(len(text), 4095) << 20 | min(sum(map(str.isalnum, text)), 4095) << 32
+        value |= min(len(text), 4095) << 20 | min(kinds.count("a") + kinds.count("A") + kinds.count("0"), 4095) << 32
         self[word] = value
         return value
 
@@ -63,8 +78,8 @@ class Reader:
     def __init__(self, how: Quality):
         self.shapes, self.size = _Shapes(how.log2_features), 1 << how.log2_features
 
-    def read(self, text: str | None) -> tuple[tuple[int, ...], np.ndarray, np.ndarray] | None:
-        """The labelers' votes, and indices and square roots of the shares of the features; None for a text without words."""
+    def read(self, text: str | None, features: bool = True) -> tuple[tuple[int, ...], np.ndarray | None, np.ndarray | None] | None:
+        """The labelers' votes and, if asked for, indices and square roots of the shares of the features; None for a text without words."""
         words = words_of(text)
         if not words:
             return None
@@ -83,9 +98,11 @@ class Reader:
             0 if few else 1 if variety >= 0.35 else -1 if variety < 0.2 else 0,
             0 if few else 1 if 0.03 <= stops <= 0.4 else -1 if stops < 0.01 or stops > 0.7 else 0,
         )
+        if not features:
+            return votes, None, None
         shape = codes >> 3 & (self.size - 1)
         pair = (shape[1:] * 31 + shape[:-1] * 17 + same * 7 + 1) & (self.size - 1)
-        counts = np.bincount(shape, minlength=self.size) + np.bincount(pair, minlength=self.size)
+        counts = np.bincount(np.concatenate([shape, pair]), minlength=self.size)
         at = np.flatnonzero(counts)
         return votes, at, np.sqrt(counts[at] / (2 * n - 1))
 
@@ -109,7 +126,7 @@ def vote_counts(docs: DataFrame, how: Quality) -> dict[tuple[int, ...], int]:
         reader, counts = Reader(how), {}
         for pdf in batches:
             for text in pdf["text"]:
-                if (got := reader.read(text)) is not None:
+                if (got := reader.read(text, features=False)) is not None:
                     counts[got[0]] = counts.get(got[0], 0) + 1
         yield pd.DataFrame([(list(k), n) for k, n in counts.items()], columns=["votes", "n"])
 
