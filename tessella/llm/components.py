@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from tessella.llm.shared import materialize
 
 
+#: Links that one file of the loop's tables holds at least: few links make few files, whatever the shuffle partitions.
+FILE_LINKS = 100_000
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of links(a, b), component being the smallest node reachable.
 
@@ -18,17 +22,19 @@ def connected_components(links: DataFrame) -> DataFrame:
     """
     links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
     links = materialize(links, "links")
+    parts = max(8, links.count() // FILE_LINKS)
+    write = lambda df, name: materialize(df.coalesce(parts), name)
     labels = None
     while not links.isEmpty():
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("component"))
-        up = _roots(materialize(up, "pointers"))
+        up = _roots(write(up, "pointers"), write)
         labels = up if labels is None else _follow(labels, up)
-        labels = materialize(labels, "labels")
+        labels = write(labels, "labels")
         left = up.select(F.col("node").alias("a"), F.col("component").alias("ra"))
         right = up.select(F.col("node").alias("b"), F.col("component").alias("rb"))
         across = links.join(left, "a").join(right, "b").where("ra <> rb")
-        links = materialize(across.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "links")
+        links = write(across.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "links")
     return labels if labels is not None else links.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
@@ -37,11 +43,11 @@ def _follow(labels: DataFrame, up: DataFrame) -> DataFrame:
     return labels.join(step, "component", "left").select("node", F.coalesce("next", "component").alias("component"))
 
 
-def _roots(up: DataFrame) -> DataFrame:
+def _roots(up: DataFrame, write) -> DataFrame:
     """Pointer jumping until every node points at a root."""
     while True:
         step = up.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        jumped = materialize(up.join(step, "component").select("node", F.col("next").alias("component"), (F.col("next") < F.col("component")).alias("moved")), "pointers")
+        jumped = write(up.join(step, "component").select("node", F.col("next").alias("component"), (F.col("next") < F.col("component")).alias("moved")), "pointers")
         up = jumped.drop("moved")
         if jumped.where("moved").isEmpty():
             return up
