@@ -33,9 +33,11 @@ class Banding:
     #: Of all 2 * halves * rows minhashes, in one byte each, so many must agree before texts are compared. A pair at
     #: 0.75 agrees in 90 +- 4.7 of 120, so that 64 loses fewer than one in ten millions.
     least_agreeing: int = 64
-    #: Heads of buckets, and neighbours within buckets, that a document is compared with: those of most of its buckets.
+    #: Heads of buckets, and neighbours within buckets, that a document is compared with first: those of most of its buckets.
     heads: int = 16
     neighbours: int = 24
+    #: Documents on either side of a block in which buckets with several components are compared.
+    block: int = 256
 
 
 def shingle_set(text: str | None, hashes: WordHashes, words: int = 5) -> np.ndarray:
@@ -89,7 +91,7 @@ def sketches(docs: DataFrame, banding: Banding) -> DataFrame:
 
 
 def tensored_tables(sketched: DataFrame, banding: Banding) -> DataFrame:
-    """(doc_id, sketch, first, second): per document the half keys of either collection that another document shares.
+    """(doc_id, n_shingles, sketch, first, second): per document the half keys of either collection that another document shares.
 
     A table's key needs both its halves to be shared, so that half keys which one document alone has are dropped
     before the halves ** 2 combinations are formed.
@@ -99,7 +101,13 @@ def tensored_tables(sketched: DataFrame, banding: Banding) -> DataFrame:
     kept = half.join(shared, "half")
     side = lambda first: F.collect_list(F.when((F.col("i") < banding.halves) == F.lit(first), F.col("half")))
     both = kept.groupBy("doc_id").agg(side(True).alias("first"), side(False).alias("second"))
-    return both.where("size(first) > 0 and size(second) > 0").join(sketched.select("doc_id", "sketch"), "doc_id")
+    return both.where("size(first) > 0 and size(second) > 0").join(sketched.select("doc_id", "n_shingles", "sketch"), "doc_id")
+
+
+def _keys(tables: DataFrame, *columns: str) -> DataFrame:
+    """(key, columns...): a row for each bucket that a row of tables is in."""
+    one = tables.select(*columns, "second", F.explode("first").alias("_a")).select(*columns, "_a", F.explode("second").alias("_b"))
+    return one.select(F.xxhash64("_a", "_b").alias("key"), *columns)
 
 
 def bucket_pairs(tables: DataFrame, banding: Banding) -> DataFrame:
@@ -110,9 +118,7 @@ def bucket_pairs(tables: DataFrame, banding: Banding) -> DataFrame:
     tasks, and each of its parts, a batch at least, has a head of its own. Every row gives three pairs at most.
     """
     k = 2 * banding.halves * banding.rows
-    keys = tables.select("doc_id", "sketch", "second", F.explode("first").alias("a")).select("doc_id", "sketch", "a", F.explode("second").alias("b"))
-    keys = keys.select("doc_id", "sketch", F.xxhash64("a", "b").alias("key"))
-    rows = keys.select("key", F.expr(f"substring(sketch, cast(pmod(key, {k - 8}) as int) + 1, 8)").alias("more"), "doc_id")
+    rows = _keys(tables, "doc_id", "sketch").select("key", F.expr(f"substring(sketch, cast(pmod(key, {k - 8}) as int) + 1, 8)").alias("more"), "doc_id")
     rows = rows.repartitionByRange("key", "more").sortWithinPartitions("key", "more", "doc_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -182,6 +188,71 @@ def _components_of(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(one, "a", "left").join(two, "b", "left").select(*pairs.columns, F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
 
 
+def _texts_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    return materialize(docs.select("doc_id", "text").join(ends.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+
+
+def across_buckets(tables: DataFrame, labels: DataFrame, banding: Banding) -> DataFrame:
+    """(a, b, agree): all pairs of a bucket and of different components whose sizes and sketches allow the similarity.
+
+    Of the buckets that hold several components, one of each set of documents is kept. Documents outside a bucket's
+    largest component are paired with all of the bucket in blocks of some `block` documents by `block`, each a group of
+    its own, so that no task holds a large bucket; a bucket of n documents, m of them outside, costs n * m comparisons
+    of sketches.
+    """
+    k, least, percent, block = 2 * banding.halves * banding.rows, banding.least_agreeing, banding.percent, banding.block
+    held = tables.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    several = _keys(held, "component").groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    held = held.withColumn("row", F.xxhash64("doc_id", "sketch"))
+    mixed = materialize(_keys(held, "doc_id", "component", "row").join(several, "key"), "mixed")
+    sizes = mixed.groupBy("key", "component").agg(F.count("*").alias("n"), F.expr("bit_xor(row)").alias("r1"), F.expr("bit_xor(xxhash64(row))").alias("r2"))
+    sizes = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most"), F.expr("bit_xor(r1)").alias("r1"), F.expr("bit_xor(r2)").alias("r2"))
+    blocks = lambda n: F.ceil(n / F.lit(block))
+    chosen = sizes.groupBy("n", "r1", "r2").agg(F.min_by(F.struct("key", "most"), "key").alias("x"))
+    chosen = chosen.select("x.key", F.col("x.most.component").alias("major"), blocks(F.col("n")).alias("n_all"), blocks(F.col("n") - F.col("x.most.n")).alias("n_minor"))
+    rows = mixed.join(chosen, "key").select("key", "doc_id", "component", "row", "n_all", "n_minor", (F.col("component") != F.col("major")).alias("outside"))
+    place = lambda n: F.expr(f"pmod(xxhash64(row, 7), {n})")
+    left = rows.where("outside").withColumn("i", place("n_minor")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_all") - 1)))
+    right = rows.withColumn("j", place("n_all")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_minor") - 1)))
+    both = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
+    both = both.select("key", "i", "j", "side", "doc_id", "row", "component", "outside").join(tables.select("doc_id", F.xxhash64("doc_id", "sketch").alias("row"), "n_shingles", "sketch"), ["doc_id", "row"])
+
+    def compare(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        doc, component, outside, size, side = (rows[c].to_numpy() for c in ("doc_id", "component", "outside", "n_shingles", "side"))
+        sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, k)
+        out = [np.zeros((0, 3), np.int64)]
+        for start, end in zip(starts, np.append(starts[1:], len(rows)), strict=True):
+            middle = start + int(np.searchsorted(side[start:end], 1))
+            d, c, o, n = (x[middle:end] for x in (doc, component, outside, size))
+            for x in range(start, middle):
+                at = np.flatnonzero((c != component[x]) & (~o | (d > doc[x])) & (np.minimum(n, size[x]) * 100 >= np.maximum(n, size[x]) * percent))
+                if len(at):
+                    agree = (sketch[middle + at] == sketch[x]).sum(axis=1)
+                    at, agree = at[agree >= least], agree[agree >= least]
+                    out.append(np.column_stack([np.minimum(d[at], doc[x]), np.maximum(d[at], doc[x]), agree]))
+        return pd.DataFrame(np.concatenate(out), columns=["a", "b", "agree"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None  # the last block, which the next batch may go on with
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            at = pdf[["key", "i", "j"]].to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]).any(axis=1)]))
+            rest = pdf.iloc[starts[-1] :]
+            yield compare(pdf.iloc[: starts[-1]], starts[:-1]) if len(starts) > 1 else pd.DataFrame({"a": [], "b": [], "agree": []}).astype("int64")
+        if rest is not None:
+            yield compare(rest, np.zeros(1, np.int64))
+
+    dealt = both.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+    found = dealt.select("key", "i", "j", "side", "doc_id", "component", "outside", "n_shingles", "sketch").mapInPandas(run, "a long, b long, agree long")
+    found = materialize(found.groupBy("a", "b").agg(F.max("agree").alias("agree")), "across")
+    discard(mixed)
+    return found
+
+
 def near_duplicates(docs: DataFrame, banding: Banding | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document of docs(doc_id, text).
 
@@ -189,8 +260,9 @@ def near_duplicates(docs: DataFrame, banding: Banding | None = None) -> DataFram
     two small collections; a table's key is a half key of the one with a half key of the other. In its buckets, a
     document is paired with the heads and with the neighbours in an order by further minhashes; those of most of its
     buckets are candidates. They pass a filter on one byte of each minhash and are then confirmed on the full sets:
-    first each document's most agreeing one, then the others that are still in another component. So every
-    document costs a bounded number of comparisons however many copies it has, and no bucket is capped.
+    first each document's most agreeing one, then the others that are still in another component. That costs a bounded
+    number of comparisons for each document and leaves few buckets with several components; in those, all pairs of
+    different components follow, block by block, so that no pair that shares a bucket is left out.
 
     Null, empty and wordless texts have the size 0, are linked with nothing and stay. Ties go to the least doc_id; a
     repeated doc_id counts once per row. An empty table gives an empty result. Other columns of docs are ignored.
@@ -200,25 +272,35 @@ def near_duplicates(docs: DataFrame, banding: Banding | None = None) -> DataFram
     classes = sketched.where("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"))
     member = materialize(sketched.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["n_shingles", "d1", "d2"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "classes")
     first = member.where("n_shingles > 0 and doc_id = rep").select("doc_id").distinct()
-    tables = materialize(tensored_tables(sketched.select("doc_id", "halves", "sketch").join(first, "doc_id", "left_semi"), banding), "half-keys")
+    tables = materialize(tensored_tables(sketched.select("doc_id", "n_shingles", "halves", "sketch").join(first, "doc_id", "left_semi"), banding), "half-keys")
     release(docs.sparkSession)
     ranked = bucket_pairs(tables, banding).withColumn("place", F.expr("row_number() over (partition by b, near order by n desc, a)"))
     chosen = ranked.where(F.col("place") <= F.when(F.col("near") == 0, banding.heads).otherwise(banding.neighbours))
     pairs = materialize(chosen.select("a", "b").distinct(), "pairs")
-    discard(tables)
     release(docs.sparkSession)
 
     unique = sketched.select("doc_id", "n_shingles", "sketch")
     likely = _agreeing(pairs, unique, banding).withColumn("place", F.expr("row_number() over (partition by b order by agree desc, a)"))
     pairs = materialize(likely.select("a", "b", "place"), "likely")
-    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = materialize(docs.select("doc_id", "text").join(ends.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    texts = _texts_of(pairs, docs)
     links = materialize(_linked(pairs.where("place = 1").select("a", "b"), texts, banding), "links")
-    labels = connected_components(links)
-    rest = _components_of(pairs.where("place > 1").select("a", "b"), labels).where("ca <> cb").select("a", "b")
+    rest = _components_of(pairs.where("place > 1").select("a", "b"), connected_components(links)).where("ca <> cb").select("a", "b")
     links = links.unionByName(materialize(_linked(rest, texts, banding), "links"))
     labels = connected_components(links)
-    for table in (pairs, texts, sketched):
+    discard(texts)
+    release(docs.sparkSession)
+
+    found = across_buckets(tables, labels, banding)
+    discard(tables)
+    release(docs.sparkSession)
+    left = materialize(found.join(pairs.select("a", "b").hint("merge"), ["a", "b"], "left_anti"), "left")
+    texts = _texts_of(left, docs)
+    first = left.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a")).select("a", "b")
+    links = links.unionByName(materialize(_linked(first, texts, banding), "links"))
+    rest = _components_of(left.select("a", "b"), connected_components(links)).where("ca <> cb").select("a", "b")
+    links = links.unionByName(materialize(_linked(rest.join(first.hint("merge"), ["a", "b"], "left_anti"), texts, banding), "links"))
+    labels = connected_components(links)
+    for table in (pairs, found, left, texts, sketched):
         discard(table)
     out = member.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))

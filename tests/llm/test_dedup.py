@@ -52,6 +52,26 @@ def test_near_copies_of_one_text_form_one_group(spark):
     assert got == brute_components(rows)
 
 
+def near_copies(seed=7):
+    rng = np.random.default_rng(seed)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(150):
+        own = list(base)
+        for at in rng.integers(0, 150, rng.integers(0, 8)):
+            own[at] = f"v{rng.integers(1000)}"
+        rows.append((i, " ".join(own)))
+    return rows
+
+
+@pytest.mark.parametrize("how", [{"heads": 0, "neighbours": 0, "block": 16}, {"heads": 0, "neighbours": 0}, {"heads": 1, "neighbours": 1, "block": 16}])
+def test_near_duplicates_do_not_depend_on_the_first_candidates(spark, how):
+    rows = near_copies()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(docs, minhash.Banding(**how)).collect()}
+    assert got == brute_components(rows)
+
+
 def test_near_duplicates_of_odd_rows(odd, odd_rows, none):
     got = minhash.near_duplicates(odd).collect()
     assert len(got) == len(odd_rows)
