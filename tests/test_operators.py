@@ -192,3 +192,18 @@ def test_command_line(spark, capsys, tmp_path):
     assert "n_rows" in capsys.readouterr().out
     main(["head_n", "/root/testdata/sf0.001", "--out", str(tmp_path / "o"), "--format", "csv"])
     assert spark.read.option("header", True).csv(str(tmp_path / "o")).count() == 5
+
+
+def test_the_winner_of_a_search_is_refit_and_scored_on_whole_splits(spark):
+    rng = np.random.default_rng(11)
+    y = rng.integers(0, 2, 900)
+    x = rng.normal(size=(900, 2)) + 0.8 * y[:, None]
+    part = np.where(np.arange(900) % 3 == 2, "test", "train")
+    rows = spark.createDataFrame([(i, float(x[i, 0]), float(x[i, 1]), int(y[i]), str(part[i]), i % 5) for i in range(900)], "id long, a double, b double, y int, split string, fold int")
+    got = ga.run_experiment(spark, rows, ["a", "b"], "y", "a", "id", ga.Experiment("t", 6, 1, 0.7, 0.5, 3, "uniform", 0.4), most=60)
+    train, test = part == "train", part == "test"
+    mean, std = x[train].mean(axis=0), x[train].std(axis=0)
+    w = solver.fit_logistic((x[train] - mean) / std, y[train], got["best_C"], got["best_penalty"], solver.balanced(y[train]) if got["best_class_weight"] == "balanced" else None)
+    yhat = (solver.predict_logistic((x[test] - mean) / std, w) >= got["best_threshold"]).astype(int)
+    assert got["n_train"] == 600
+    assert np.allclose([got[f"test_{k}"] for k in ("recall", "specificity", "f1", "disparity")], ga.score(y[test], yhat, x[test, 0]), atol=1e-6)
