@@ -22,6 +22,8 @@ _SIGN = re.compile(r"[%&$#*|@=<>{}\\^~_]|!!|\?\?")
 #: The largest number of words that a worker remembers shapes of.
 MEMO_SHAPES = 300_000
 _RUN = re.compile(r"(.)\1+")
+#: Characters of a piece: longer words count as their consecutive pieces, so that all of a text has a part in its score.
+PIECE = 40
 
 
 @dataclass(frozen=True)
@@ -47,8 +49,19 @@ class _Classes(dict):
 _CLASSES = _Classes()
 
 
+def _flags(text: str) -> int:
+    return bool(_SIGN.search(text)) | (len(text) > 1 and text.isupper()) << 1 | (text[-1] in ".,;:!?") << 2
+
+
+def _pieces(word: bytes) -> list[bytes]:
+    if len(word) <= PIECE:
+        return [word]
+    text = word.decode("utf-8", "replace")
+    return [text[at : at + PIECE].encode() for at in range(0, len(text), PIECE)]
+
+
 class _Shapes(dict):
-    """A word's hashed shape (letters' case, digits and signs, runs as one), with bits for a sign, capitals and a stop at its end, its length and its letters and digits."""
+    """The hashed shape of a word of PIECE characters at most (letters' case, digits and signs, runs as one), with bits for a sign, capitals and a stop at its end, its length and its letters and digits."""
 
     def __init__(self, log2_features: int):
         super().__init__()
@@ -59,10 +72,10 @@ class _Shapes(dict):
             self.clear()
         text = word.decode("utf-8", "replace")
         kinds = text.translate(_CLASSES)
-        shape = _RUN.sub(r"\1", kinds[:40])
+        shape = _RUN.sub(r"\1", kinds)
         value = (xxhash.xxh3_64_intdigest(shape.encode()) & self.mask) << 3
-        value |= bool(_SIGN.search(text)) | (len(text) > 1 and text.isupper()) << 1 | (text[-1] in ".,;:!?") << 2
-        value |= min(len(text), 4095) << 20 | min(kinds.count("a") + kinds.count("A") + kinds.count("0"), 4095) << 32
+        value |= _flags(text)
+        value |= len(text) << 20 | (kinds.count("a") + kinds.count("A") + kinds.count("0")) << 32
         self[word] = value
         return value
 
@@ -84,8 +97,11 @@ class Reader:
         if not words:
             return None
         n = len(words)
-        codes = np.fromiter(map(self.shapes.__getitem__, words), np.int64, n)
-        signs, capitals, stops = ((codes >> bit & 1).sum() / n for bit in range(3))
+        long = max(map(len, words)) > PIECE
+        parts = [part for word in words for part in _pieces(word)] if long else words
+        codes = np.fromiter(map(self.shapes.__getitem__, parts), np.int64, len(parts))
+        flags = np.fromiter((self.shapes[w] & 7 if len(w) <= PIECE else _flags(w.decode("utf-8", "replace")) for w in words), np.int64, n) if long else codes
+        signs, capitals, stops = ((flags >> bit & 1).sum() / n for bit in range(3))
         letters = (codes >> 32).sum() / (codes >> 20 & 4095).sum()
         same = np.fromiter(map(operator.eq, words[1:], words), np.int64, n - 1)
         repetition, variety = same.sum() / n, len(set(words)) / min(n, 2000)
@@ -100,11 +116,13 @@ class Reader:
         )
         if not features:
             return votes, None, None
+        if long:
+            same = np.fromiter(map(operator.eq, parts[1:], parts), np.int64, len(parts) - 1)
         shape = codes >> 3 & (self.size - 1)
         pair = (shape[1:] * 31 + shape[:-1] * 17 + same * 7 + 1) & (self.size - 1)
         counts = np.bincount(np.concatenate([shape, pair]), minlength=self.size)
         at = np.flatnonzero(counts)
-        return votes, at, np.sqrt(counts[at] / (2 * n - 1))
+        return votes, at, np.sqrt(counts[at] / (2 * len(parts) - 1))
 
 
 @dataclass(frozen=True)
@@ -194,7 +212,7 @@ def quality_scores(docs: DataFrame, how: Quality | None = None) -> DataFrame:
     Six overlapping labelers vote on whole texts: shares of words with signs, of letters and digits, of words in capitals and of
     words that repeat the one before, variety, and share of words that end in a stop. Expectation-maximisation over all documents
     estimates how reliable each is; the posteriors label a bounded sample, on which a linear scorer over hashed word
-    shapes and pairs of them is trained; it scores all. kept: the score is `how.least` or more. votes has +, 0 or -
+    shapes and pairs of them is trained; it scores all. Words of more than PIECE characters are scored by all their pieces. kept: the score is `how.least` or more. votes has +, 0 or -
     of each labeler.
 
     Null, empty and wordless texts have null votes and the score 0, and are rejected. Rows are judged by themselves,

@@ -80,6 +80,15 @@ def test_quality_of_odd_rows(odd, odd_rows, none):
     assert quality.quality_scores(none).collect() == [] and quality.good_documents(none).collect() == []
 
 
+def test_all_of_a_long_word_counts():
+    reader = quality.Reader(quality.Quality())
+    plain = "eight plain words that are of no note "
+    assert reader.read(plain + "a" * 10_000)[0][1] == 1 and reader.read(plain + "a" * 5000 + "%" * 5000)[0][1] == -1
+    features = lambda text: dict(zip(*map(np.ndarray.tolist, reader.read(text)[1:]), strict=True))
+    start = "b" * 40
+    assert len({str(features(start + rest)) for rest in ("", "=" * 40, "b" * 80 + "=" * 40, "Zz9" * 3000)}) == 4
+
+
 def brute_tiles(pattern, text, least):
     """Greedy string tiling by comparing every pair of positions."""
     p_free, t_free, out = [True] * len(pattern), [True] * len(text), 0
