@@ -160,16 +160,14 @@ def _vectors(df: DataFrame, key: str, z: list[str], name: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias(name), F.array(*[F.col(c).cast("double") for c in z]).alias("vector"))
 
 
-def tune_k(train: DataFrame, key: str, label: str, z: list[str], most_k: int, folds: int = 5, most: int = 20_000) -> tuple[int, float]:
+def tune_k(train: DataFrame, key: str, label: str, z: list[str], most_k: int, folds: int = 5) -> tuple[int, float]:
     """The k up to most_k with the highest mean F1 over the folds, the smallest among ties, and that F1.
 
-    train has scaled columns z and a column fold. One list of neighbours a fold gives all k. The `most` first rows in
-    the random order are tuned on at most.
+    train has scaled columns z and a column fold. One list of neighbours a fold gives all k, over all rows.
     """
     from tessella.operators import knn
-    from tessella.operators.split import order_key
 
-    rows = train.orderBy(order_key(F.col(key)), key).limit(most).select(key, label, "fold", *z)
+    rows = train.select(key, label, "fold", *z)
     labels = rows.select(F.col(key).cast("long").alias("tid"), F.col(label).cast("long").alias("y"))
     sweeps = None
     for k in range(folds):
@@ -199,6 +197,8 @@ def export_baselines(df: DataFrame, features: list[str], label: str, key: str, p
     cross-validation on train; the neighbours' artifact is the scaled training table with its k.
     """
     scaled = scale(df, features, F.col("split") == "train")
+    scaled.write.mode("overwrite").parquet(f"{path}/scaled")  # every fit and fold reads it, none repeats what made it
+    scaled = df.sparkSession.read.schema(scaled.schema).parquet(f"{path}/scaled")
     z = [f + "_z" for f in features]
     train, val, test = (scaled.where(F.col("split") == s) for s in ("train", "val", "test"))
     depth, _ = tune_depth(train, val, features, label, depths, key)

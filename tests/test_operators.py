@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 import __spark_entry__
 from tessella.functions.scalar import snake, to_number
@@ -207,3 +208,12 @@ def test_the_winner_of_a_search_is_refit_and_scored_on_whole_splits(spark):
     yhat = (solver.predict_logistic((x[test] - mean) / std, w) >= got["best_threshold"]).astype(int)
     assert got["n_train"] == 600
     assert np.allclose([got[f"test_{k}"] for k in ("recall", "specificity", "f1", "disparity")], ga.score(y[test], yhat, x[test, 0]), atol=1e-6)
+
+
+def test_neighbours_are_tuned_on_all_rows(spark):
+    # Only rows beyond the first 20000 in the random order are positives, far from the others.
+    ids = spark.range(20_400)
+    place = F.row_number().over(Window.orderBy(split.order_key(F.col("id")), "id"))
+    rows = ids.withColumn("place", place).withColumn("late", F.col("place") > 20_000)
+    rows = rows.select("id", F.when(F.col("late"), 1).otherwise(0).alias("y"), F.when(F.col("late"), 1e6 + F.col("place")).otherwise(F.col("place").cast("double")).alias("a_z"), (F.col("place") % 5).alias("fold"))
+    assert models.tune_k(rows, "id", "y", ["a_z"], 1) == (1, 1.0)
