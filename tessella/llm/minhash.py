@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.components import connected_components
-from tessella.llm.shared import discard, materialize, release
+from tessella.llm.shared import discard, free_name, join_by_class, map_frames, materialize, numbered, release, type_of
 from tessella.llm.text import WordHashes, mix, sequence_digest
 
 #: Multipliers of the five words of a shingle.
@@ -31,13 +31,14 @@ class Banding:
     words: int = 5
     percent: int = 75
     #: Of all 2 * halves * rows minhashes, in one byte each, so many must agree before texts are compared. A pair at
-    #: 0.75 agrees in 90 +- 4.7 of 120, so that 64 loses fewer than one in ten millions.
-    least_agreeing: int = 64
-    #: Heads of buckets, and neighbours within buckets, that a document is compared with first: those of most of its buckets.
+    #: 0.75 agrees in 90 +- 4.7 of 120, so that 68 loses some three in a million, fewer than the tables do.
+    least_agreeing: int = 68
+    #: Heads of buckets, and neighbours within buckets, that a document is compared with first: those of most of its
+    #: buckets. They only save comparisons; what they leave out is compared afterwards.
     heads: int = 16
     neighbours: int = 24
-    #: Documents on either side of a block in which buckets with several components are compared.
-    block: int = 256
+    #: Documents on either side of a block in which documents of several components are compared.
+    block: int = 2048
 
 
 def shingle_set(text: str | None, hashes: WordHashes, words: int = 5) -> np.ndarray:
@@ -59,7 +60,7 @@ def shingle_set(text: str | None, hashes: WordHashes, words: int = 5) -> np.ndar
 
 
 def sketches(docs: DataFrame, banding: Banding) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2, halves, sketch): the size and digest of each set, its half keys and one byte of each minhash."""
+    """(doc_id, t, n_shingles, d1, d2, halves, sketch): a hash of the text, size and digest of its set, its half keys and one byte of each minhash."""
     k, rows, words = 2 * banding.halves * banding.rows, banding.rows, banding.words
     rng = np.random.default_rng(20240501)
     salts = rng.integers(0, 2**32, k, dtype=np.uint64).astype(np.uint32)[:, None]
@@ -70,10 +71,10 @@ def sketches(docs: DataFrame, banding: Banding) -> DataFrame:
         hashes = WordHashes()
         for pdf in batches:
             out = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+            for text in pdf["text"]:
                 got = shingle_set(text, hashes, words)
                 if not len(got):
-                    out.append((doc_id, 0, 0, 0, [], b""))
+                    out.append((0, 0, 0, [], b""))
                     continue
                 small = (got >> np.uint64(32)).astype(np.uint32)
                 low = np.full(k, 2**32 - 1, np.uint32)
@@ -84,49 +85,60 @@ def sketches(docs: DataFrame, banding: Banding) -> DataFrame:
                 for part in wide.reshape(-1, rows).T:
                     key = mix(key + part)
                 d1, d2 = sequence_digest(got)
-                out.append((doc_id, len(got), d1, d2, key.view(np.int64), (wide & np.uint64(255)).astype(np.uint8).tobytes()))
-            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "d1", "d2", "halves", "sketch"])
+                out.append((len(got), d1, d2, key.view(np.int64), (wide & np.uint64(255)).astype(np.uint8).tobytes()))
+            made = pd.DataFrame(out, columns=["n_shingles", "d1", "d2", "halves", "sketch"], index=pdf.index)
+            yield pd.concat([pdf[["doc_id", "t"]], made], axis=1)
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, d1 long, d2 long, halves array<long>, sketch binary")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
+    return map_frames(texts, run, f"doc_id {type_of(docs, 'doc_id')}, t long, n_shingles long, d1 long, d2 long, halves array<long>, sketch binary")
 
 
-def tensored_tables(sketched: DataFrame, banding: Banding) -> DataFrame:
-    """(doc_id, n_shingles, sketch, first, second): per document the half keys of either collection that another document shares.
+def classes_of(sketched: DataFrame) -> DataFrame:
+    """(node, n_shingles, d1, d2, n, doc_id, t, halves, sketch): a node for each distinct set, its documents' number, and the least of them."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t")).alias("first")
+    made = sketched.where("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(first, F.count("*").alias("n"), F.first("halves").alias("halves"), F.first("sketch").alias("sketch"))
+    return materialize(made.select(F.monotonically_increasing_id().alias("node"), "n_shingles", "d1", "d2", "n", "first.doc_id", "first.t", "halves", "sketch"), "classes")
 
-    A table's key needs both its halves to be shared, so that half keys which one document alone has are dropped
-    before the halves ** 2 combinations are formed.
+
+def tensored_tables(nodes: DataFrame, banding: Banding) -> DataFrame:
+    """(node, n_shingles, sketch, first, second): per node the half keys of either collection that another node shares.
+
+    A table's key needs both its halves to be shared, so that half keys which one node alone has are dropped before the
+    halves ** 2 combinations are formed.
     """
-    half = sketched.select("doc_id", F.posexplode("halves").alias("i", "half"))
-    shared = half.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-    kept = half.join(shared, "half")
+    half = nodes.select("node", F.posexplode("halves").alias("i", "half"))
+    shared = materialize(half.groupBy("half").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    kept = join_by_class(half, shared, ["half"], 2 * banding.halves * nodes.count(), "inner")
     side = lambda first: F.collect_list(F.when((F.col("i") < banding.halves) == F.lit(first), F.col("half")))
-    both = kept.groupBy("doc_id").agg(side(True).alias("first"), side(False).alias("second"))
-    return both.where("size(first) > 0 and size(second) > 0").join(sketched.select("doc_id", "n_shingles", "sketch"), "doc_id")
+    both = kept.groupBy("node").agg(side(True).alias("first"), side(False).alias("second"))
+    out = materialize(both.where("size(first) > 0 and size(second) > 0").join(nodes.select("node", "n_shingles", "sketch"), "node"), "half-keys")
+    discard(shared)
+    return out
 
 
 def _keys(tables: DataFrame, *columns: str) -> DataFrame:
-    """(key, columns...): a row for each bucket that a row of tables is in."""
-    one = tables.select(*columns, "second", F.explode("first").alias("_a")).select(*columns, "_a", F.explode("second").alias("_b"))
-    return one.select(F.xxhash64("_a", "_b").alias("key"), *columns)
+    """(key, half, columns...): a row for each bucket that a row of tables is in, with the bucket's half key of the first collection."""
+    one = tables.select(*columns, "second", F.explode("first").alias("half")).select(*columns, "half", F.explode("second").alias("_b"))
+    return one.select(F.xxhash64("half", "_b").alias("key"), "half", *columns)
 
 
 def bucket_pairs(tables: DataFrame, banding: Banding) -> DataFrame:
-    """(a, b, near, n): b with the least document of a bucket (near 0) or with one of the two before it (near 1), in n buckets.
+    """(a, b, near, n): b with the least node of a bucket (near 0) or with one of the two before it (near 1), in n buckets.
 
     A bucket's rows are sorted by eight more bytes of the sketch, at a place that depends on the key, so that those next
     to each other are the most alike. Rows are dealt out by ranges of key and bytes: a large bucket is spread over many
     tasks, and each of its parts, a batch at least, has a head of its own. Every row gives three pairs at most.
     """
     k = 2 * banding.halves * banding.rows
-    rows = _keys(tables, "doc_id", "sketch").select("key", F.expr(f"substring(sketch, cast(pmod(key, {k - 8}) as int) + 1, 8)").alias("more"), "doc_id")
-    rows = rows.repartitionByRange("key", "more").sortWithinPartitions("key", "more", "doc_id")
+    rows = _keys(tables, "node", "sketch").select("key", F.expr(f"substring(sketch, cast(pmod(key, {k - 8}) as int) + 1, 8)").alias("more"), "node")
+    rows = rows.repartitionByRange("key", "more").sortWithinPartitions("key", "more", "node")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last_key, last_doc, last_head = None, 0, 0
         for pdf in batches:
             if not len(pdf):
                 continue
-            key, doc = pdf["key"].to_numpy(np.int64), pdf["doc_id"].to_numpy(np.int64)
+            key, doc = pdf["key"].to_numpy(np.int64), pdf["node"].to_numpy(np.int64)
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             heads = np.minimum.reduceat(doc, starts)
             before = np.concatenate([[last_doc], doc[:-1]])
@@ -140,13 +152,13 @@ def bucket_pairs(tables: DataFrame, banding: Banding) -> DataFrame:
             two = near[1:] & near[:-1]  # and the one before that
             yield pd.DataFrame({"a": np.concatenate([head[far], before[near], before[:-1][two]]), "b": np.concatenate([doc[far], doc[near], doc[1:][two]]), "near": np.repeat([0, 1], [far.sum(), near.sum() + two.sum()])})
 
-    return rows.select("key", "doc_id").mapInPandas(run, "a long, b long, near int").groupBy("b", "a", "near").agg(F.count("*").alias("n"))
+    return rows.select("key", "node").mapInPandas(run, "a long, b long, near int").groupBy("b", "a", "near").agg(F.count("*").alias("n"))
 
 
-def _agreeing(pairs: DataFrame, sketched: DataFrame, banding: Banding) -> DataFrame:
+def _agreeing(pairs: DataFrame, nodes: DataFrame, banding: Banding) -> DataFrame:
     """Of pairs (a, b), those whose sizes and sketches allow the similarity, with the number of agreeing bytes."""
-    one = sketched.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na"))
-    two = sketched.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb"))
+    one = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na"))
+    two = nodes.select(F.col("node").alias("b"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb"))
     joined = pairs.join(one, "a").join(two, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * banding.percent)
     least, k = banding.least_agreeing, 2 * banding.halves * banding.rows
 
@@ -177,8 +189,8 @@ def _linked(pairs: DataFrame, texts: DataFrame, banding: Banding) -> DataFrame:
             yield pdf[["a", "b"]][keep]
 
     pairs = pairs.hint("merge")  # their number grows with the input, so they are never broadcast
-    joined = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    joined = joined.hint("merge").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+    joined = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+    joined = joined.hint("merge").join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
     return joined.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
 
 
@@ -188,49 +200,70 @@ def _components_of(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(one, "a", "left").join(two, "b", "left").select(*pairs.columns, F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
 
 
-def _texts_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    return materialize(docs.select("doc_id", "text").join(ends.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+def _texts_of(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text): the text of the least document of each node in pairs."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = nodes.select("node", F.col("doc_id").alias("id"), F.col("t").alias("h")).join(ends.hint("merge"), "node", "left_semi")
+    found = docs.select("doc_id", "text", F.xxhash64("text").alias("t")).join(wanted.hint("merge"), F.expr("doc_id <=> id and t = h"))
+    return materialize(found.select("node", "text").dropDuplicates(["node"]), "texts")
+
+
+def _with_components(tables: DataFrame, labels: DataFrame) -> DataFrame:
+    return tables.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def across_buckets(tables: DataFrame, labels: DataFrame, banding: Banding) -> DataFrame:
-    """(a, b, agree): all pairs of a bucket and of different components whose sizes and sketches allow the similarity.
+    """(a, b, agree): all pairs of a bucket and of different components whose sizes and sketches allow the similarity, once each.
 
-    Of the buckets that hold several components, one of each set of documents is kept. Documents outside a bucket's
-    largest component are paired with all of the bucket in blocks of some `block` documents by `block`, each a group of
-    its own, so that no task holds a large bucket; a bucket of n documents, m of them outside, costs n * m comparisons
-    of sketches.
+    Buckets that hold several components are found first. Their nodes then meet by the buckets' half keys of the first
+    collection, of which a node has `halves` at most and which hold all of those buckets' pairs; of half keys with the
+    same nodes, one is kept. There, nodes outside the largest component are compared with all of the group, in blocks
+    of some `block` nodes by `block`, each a group of its own, so that no task holds a large one. A pair counts at the
+    least half key that it shares. A group of n nodes, m of them outside, costs n * m comparisons of sketches.
     """
-    k, least, percent, block = 2 * banding.halves * banding.rows, banding.least_agreeing, banding.percent, banding.block
-    held = tables.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    several = _keys(held, "component").groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    held = held.withColumn("row", F.xxhash64("doc_id", "sketch"))
-    mixed = materialize(_keys(held, "doc_id", "component", "row").join(several, "key"), "mixed")
-    sizes = mixed.groupBy("key", "component").agg(F.count("*").alias("n"), F.expr("bit_xor(row)").alias("r1"), F.expr("bit_xor(xxhash64(row))").alias("r2"))
-    sizes = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most"), F.expr("bit_xor(r1)").alias("r1"), F.expr("bit_xor(r2)").alias("r2"))
+    halves, k, least, percent, block = banding.halves, 2 * banding.halves * banding.rows, banding.least_agreeing, banding.percent, banding.block
+    held = _with_components(tables, labels)
+    several = _keys(held, "component").groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high")
+    several = materialize(several.select("key", "n"), "several")
+    total = tables.agg(F.sum(F.size("first").cast("long") * F.size("second"))).first()[0] or 0
+    mixed = join_by_class(_keys(tables, "node"), several, ["key"], total, "inner").select("node", "half").distinct()
+    mixed = materialize(_with_components(mixed, labels), "mixed")
+    sizes = mixed.groupBy("half", "component").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(node))").alias("r1"), F.expr("bit_xor(xxhash64(node, 1))").alias("r2"))
+    sizes = sizes.groupBy("half").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most"), F.expr("bit_xor(r1)").alias("r1"), F.expr("bit_xor(r2)").alias("r2"))
+    chosen = sizes.groupBy("n", "r1", "r2").agg(F.min_by(F.struct("half", "most"), "half").alias("x"))
+    chosen = chosen.where(F.col("n") > F.col("x.most.n"))
     blocks = lambda n: F.ceil(n / F.lit(block))
-    chosen = sizes.groupBy("n", "r1", "r2").agg(F.min_by(F.struct("key", "most"), "key").alias("x"))
-    chosen = chosen.select("x.key", F.col("x.most.component").alias("major"), blocks(F.col("n")).alias("n_all"), blocks(F.col("n") - F.col("x.most.n")).alias("n_minor"))
-    rows = mixed.join(chosen, "key").select("key", "doc_id", "component", "row", "n_all", "n_minor", (F.col("component") != F.col("major")).alias("outside"))
-    place = lambda n: F.expr(f"pmod(xxhash64(row, 7), {n})")
+    chosen = materialize(chosen.select("x.half", "n", F.col("x.most.component").alias("major"), blocks(F.col("n")).alias("n_all"), blocks(F.col("n") - F.col("x.most.n")).alias("n_minor")), "chosen")
+    rows = join_by_class(mixed, chosen, ["half"], mixed.count(), "inner")
+    own = rows.groupBy("node").agg(F.collect_list("half").alias("own")).join(tables.select("node", "n_shingles", "sketch"), "node")
+    rows = rows.select("half", "node", "component", "n_all", "n_minor", (F.col("component") != F.col("major")).alias("outside"))
+    place = lambda n: F.expr(f"pmod(xxhash64(node, 7), {n})")
     left = rows.where("outside").withColumn("i", place("n_minor")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_all") - 1)))
     right = rows.withColumn("j", place("n_all")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_minor") - 1)))
     both = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
-    both = both.select("key", "i", "j", "side", "doc_id", "row", "component", "outside").join(tables.select("doc_id", F.xxhash64("doc_id", "sketch").alias("row"), "n_shingles", "sketch"), ["doc_id", "row"])
+    both = both.select("half", "i", "j", "side", "node", "component", "outside").join(own, "node")
 
     def compare(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
-        doc, component, outside, size, side = (rows[c].to_numpy() for c in ("doc_id", "component", "outside", "n_shingles", "side"))
+        node, component, outside, size, side, at_half = (rows[c].to_numpy() for c in ("node", "component", "outside", "n_shingles", "side", "half"))
         sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, k)
+        none = np.iinfo(np.int64).max
+        own = np.full((len(rows), halves), none, np.int64)
+        for x, got in enumerate(rows["own"]):
+            own[x, : len(got)] = got
         out = [np.zeros((0, 3), np.int64)]
         for start, end in zip(starts, np.append(starts[1:], len(rows)), strict=True):
             middle = start + int(np.searchsorted(side[start:end], 1))
-            d, c, o, n = (x[middle:end] for x in (doc, component, outside, size))
+            d, c, o, n = (x[middle:end] for x in (node, component, outside, size))
             for x in range(start, middle):
-                at = np.flatnonzero((c != component[x]) & (~o | (d > doc[x])) & (np.minimum(n, size[x]) * 100 >= np.maximum(n, size[x]) * percent))
+                at = np.flatnonzero((c != component[x]) & (~o | (d > node[x])) & (np.minimum(n, size[x]) * 100 >= np.maximum(n, size[x]) * percent))
                 if len(at):
                     agree = (sketch[middle + at] == sketch[x]).sum(axis=1)
                     at, agree = at[agree >= least], agree[agree >= least]
-                    out.append(np.column_stack([np.minimum(d[at], doc[x]), np.maximum(d[at], doc[x]), agree]))
+                if len(at):
+                    theirs = own[middle + at]
+                    here = np.where(np.isin(theirs, own[x]), theirs, none).min(axis=1) == at_half[x]
+                    at, agree = at[here], agree[here]
+                    out.append(np.column_stack([np.minimum(d[at], node[x]), np.maximum(d[at], node[x]), agree]))
         return pd.DataFrame(np.concatenate(out), columns=["a", "b", "agree"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -239,70 +272,95 @@ def across_buckets(tables: DataFrame, labels: DataFrame, banding: Banding) -> Da
             if not len(pdf):
                 continue
             pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            at = pdf[["key", "i", "j"]].to_numpy()
+            at = pdf[["half", "i", "j"]].to_numpy()
             starts = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]).any(axis=1)]))
             rest = pdf.iloc[starts[-1] :]
             yield compare(pdf.iloc[: starts[-1]], starts[:-1]) if len(starts) > 1 else pd.DataFrame({"a": [], "b": [], "agree": []}).astype("int64")
         if rest is not None:
             yield compare(rest, np.zeros(1, np.int64))
 
-    dealt = both.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
-    found = dealt.select("key", "i", "j", "side", "doc_id", "component", "outside", "n_shingles", "sketch").mapInPandas(run, "a long, b long, agree long")
-    found = materialize(found.groupBy("a", "b").agg(F.max("agree").alias("agree")), "across")
-    discard(mixed)
+    dealt = both.repartition("half", "i", "j").sortWithinPartitions("half", "i", "j", "side")
+    found = dealt.select("half", "i", "j", "side", "node", "component", "outside", "n_shingles", "sketch", "own").mapInPandas(run, "a long, b long, agree long")
+    found = materialize(found, "across")
+    for table in (several, mixed, chosen):
+        discard(table)
     return found
 
 
 def near_duplicates(docs: DataFrame, banding: Banding | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document of docs(doc_id, text).
 
-    Documents whose sets of word shingles are equal form a class. The least document of each class gets minhashes in
-    two small collections; a table's key is a half key of the one with a half key of the other. In its buckets, a
-    document is paired with the heads and with the neighbours in an order by further minhashes; those of most of its
-    buckets are candidates. They pass a filter on one byte of each minhash and are then confirmed on the full sets:
-    first each document's most agreeing one, then the others that are still in another component. That costs a bounded
-    number of comparisons for each document and leaves few buckets with several components; in those, all pairs of
-    different components follow, block by block, so that no pair that shares a bucket is left out.
-
-    Null, empty and wordless texts have the size 0, are linked with nothing and stay. Ties go to the least doc_id; a
-    repeated doc_id counts once per row. An empty table gives an empty result. Other columns of docs are ignored.
+    Documents whose sets of word shingles are equal form a node. Each node gets minhashes in two small collections; a
+    table's key is a half key of the one with a half key of the other. In its buckets, a node is paired with the heads
+    and with the neighbours in an order by further minhashes; those of most of its buckets are candidates. They pass a
+    filter on one byte of each minhash and are then confirmed on the full sets: first each node's most agreeing one,
+    then the others that are still in another component. That costs a bounded number of comparisons for each node and
+    leaves few buckets with several components; in those, all pairs of different components follow, block by block, so
+    that no pair that shares a bucket is left out.
+
+    Null, empty and wordless texts have the size 0, are linked with nothing and stay. Each row is a document: rows that
+    share a doc_id are judged by their own texts. A null doc_id is linked like others, but a component is named by
+    its least id that is not null, and is null where it has none. An empty table gives an empty result. Other columns
+    of docs are ignored.
     """
     banding = banding or Banding()
+    spark = docs.sparkSession
     sketched = materialize(sketches(docs, banding), "sketches")
-    classes = sketched.where("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    member = materialize(sketched.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["n_shingles", "d1", "d2"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "classes")
-    first = member.where("n_shingles > 0 and doc_id = rep").select("doc_id").distinct()
-    tables = materialize(tensored_tables(sketched.select("doc_id", "n_shingles", "halves", "sketch").join(first, "doc_id", "left_semi"), banding), "half-keys")
-    release(docs.sparkSession)
+    nodes = classes_of(sketched)
+    tables = tensored_tables(nodes, banding)
+    release(spark)
     ranked = bucket_pairs(tables, banding).withColumn("place", F.expr("row_number() over (partition by b, near order by n desc, a)"))
     chosen = ranked.where(F.col("place") <= F.when(F.col("near") == 0, banding.heads).otherwise(banding.neighbours))
-    pairs = materialize(chosen.select("a", "b").distinct(), "pairs")
-    release(docs.sparkSession)
+    first = materialize(chosen.select("a", "b").distinct(), "pairs")
+    release(spark)
 
-    unique = sketched.select("doc_id", "n_shingles", "sketch")
-    likely = _agreeing(pairs, unique, banding).withColumn("place", F.expr("row_number() over (partition by b order by agree desc, a)"))
+    likely = _agreeing(first, nodes, banding).withColumn("place", F.expr("row_number() over (partition by b order by agree desc, a)"))
     pairs = materialize(likely.select("a", "b", "place"), "likely")
-    texts = _texts_of(pairs, docs)
+    discard(first)
+    texts = _texts_of(pairs, nodes, docs)
     links = materialize(_linked(pairs.where("place = 1").select("a", "b"), texts, banding), "links")
     rest = _components_of(pairs.where("place > 1").select("a", "b"), connected_components(links)).where("ca <> cb").select("a", "b")
     links = links.unionByName(materialize(_linked(rest, texts, banding), "links"))
     labels = connected_components(links)
     discard(texts)
-    release(docs.sparkSession)
+    release(spark)
 
     found = across_buckets(tables, labels, banding)
     discard(tables)
-    release(docs.sparkSession)
+    release(spark)
     left = materialize(found.join(pairs.select("a", "b").hint("merge"), ["a", "b"], "left_anti"), "left")
-    texts = _texts_of(left, docs)
-    first = left.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a")).select("a", "b")
-    links = links.unionByName(materialize(_linked(first, texts, banding), "links"))
-    rest = _components_of(left.select("a", "b"), connected_components(links)).where("ca <> cb").select("a", "b")
-    links = links.unionByName(materialize(_linked(rest.join(first.hint("merge"), ["a", "b"], "left_anti"), texts, banding), "links"))
-    labels = connected_components(links)
-    for table in (pairs, found, left, texts, sketched):
+    discard(found)
+    if not left.isEmpty():
+        texts = _texts_of(left, nodes, docs)
+        best = left.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a")).select("a", "b")
+        links = links.unionByName(materialize(_linked(best, texts, banding), "links"))
+        rest = _components_of(left.select("a", "b"), connected_components(links)).where("ca <> cb").select("a", "b")
+        links = links.unionByName(materialize(_linked(rest.join(best.hint("merge"), ["a", "b"], "left_anti"), texts, banding), "links"))
+        labels = connected_components(links)
+        discard(texts)
+    for table in (pairs, left):
         discard(table)
-    out = member.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+
+    keys = ["n_shingles", "d1", "d2"]
+    named = _with_components(nodes.select("node", "doc_id", *keys, F.col("n").alias("rows")), labels)
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
+    named = join_by_class(named, least, ["component"], nodes.count()).select(*keys, F.col("rows").alias("n"), "component_id")
+    named = materialize(named, "named")
+    discard(nodes)
+    rows = sketched.select("doc_id", *keys)
+    with_words = join_by_class(rows.where("n_shingles > 0"), named, keys, rows.count(), "inner").select("doc_id", "n_shingles", "component_id")
+    out = with_words.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.select("*", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
+
+def distinct_documents(docs: DataFrame, banding: Banding | None = None) -> DataFrame:
+    """The rows of docs, with all columns, without all but one of each component of near duplicates: the one of the least doc_id.
+
+    Null ids come last, and of equal ids one is kept. Texts without words are no duplicates of each other and stay.
+    """
+    row, null = free_name(docs, "row"), F.col("doc_id").isNull()
+    rows = numbered(docs, row, "rows")
+    found = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), banding).select(F.col("doc_id").alias(row), "component_id")
+    ids = rows.select(row, "doc_id").join(found, row)
+    kept = ids.groupBy("component_id").agg(F.min(F.struct(null.alias("no_id"), "doc_id", row)).alias("first")).select(F.col(f"first.{row}").alias(row))
+    return rows.join(kept.hint("merge"), row, "left_semi").select(*docs.columns)

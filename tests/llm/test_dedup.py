@@ -72,6 +72,50 @@ def test_near_duplicates_do_not_depend_on_the_first_candidates(spark, how):
     assert got == brute_components(rows)
 
 
+def fast_components(rows):
+    """brute_components() of many documents, all pairs by a product of incidence matrices in blocks."""
+    sets = [brute_shingles(t) for _, t in rows]
+    number = {g: i for i, g in enumerate(sorted(set().union(*sets)))}
+    have = np.zeros((len(rows), len(number)), np.float32)
+    for i, own in enumerate(sets):
+        have[i, [number[g] for g in own]] = 1
+    size = have.sum(axis=1)
+    label = np.arange(len(rows))
+    both = have @ have.T
+    link = (100 * both >= 75 * (size[:, None] + size[None, :] - both)) & (both > 0)
+    while True:
+        low = np.where(link, label[None, :], len(rows)).min(axis=1)
+        low = np.minimum(low, label)
+        if (low == label).all():
+            break
+        label = low
+    ids = np.array([i for i, _ in rows])
+    return {i: (len(s), int(ids[r])) for (i, _), s, r in zip(rows, sets, label, strict=True)}
+
+
+def test_a_large_group_of_one_template_is_whole(spark):
+    """1500 texts of one template with three edits each: most pairs are links, many others share buckets."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(1500):
+        own = [f"w{j}" for j in range(150)]
+        for at in rng.integers(0, 150, 3 if i % 3 else 9):
+            own[at] = f"v{rng.integers(100_000)}"
+        rows.append((i, " ".join(own)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == fast_components(rows)
+
+
+def test_rows_that_share_an_id_are_judged_by_their_own_texts(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(2, a), (2, b), (2**60 + 1, a), (None, b), (None, "x y"), (7, b), (None, b)]
+    docs = spark.createDataFrame([(*r, 2**60 + 3, "k") for r in rows], "doc_id long, text string, node long, row string")
+    got = sorted(map(tuple, minhash.near_duplicates(docs).select("doc_id", "component_id", "kept").collect()), key=str)
+    assert got == sorted([(2, 2, True), (2, 2, True), (2**60 + 1, 2, False), (None, 2, False), (None, None, True), (7, 2, False), (None, 2, False)], key=str)
+    kept = minhash.distinct_documents(docs)
+    assert kept.columns == docs.columns and sorted(((r["doc_id"], r["text"], r["node"]) for r in kept.collect()), key=str) == sorted([(2, a, 2**60 + 3), (2, b, 2**60 + 3), (None, "x y", 2**60 + 3)], key=str)
+
+
 def test_near_duplicates_of_odd_rows(odd, odd_rows, none):
     got = minhash.near_duplicates(odd).collect()
     assert len(got) == len(odd_rows)
