@@ -134,27 +134,30 @@ def test_components(spark):
 
 
 def brute_repeats(docs, size=50):
-    words = {i: words_of(t) for i, t in docs}
+    """Of rows, each a document: (doc_id, words, removed words, SHA-256 of the others)."""
+    words = [(i, words_of(t)) for i, t in docs]
     owner = {}
-    for i in sorted(words):
-        for j in range(len(words[i]) - size + 1):
-            owner.setdefault(tuple(words[i][j : j + size]), i)
-    out = {}
-    for i, w in words.items():
+    for i, w in words:
+        for j in range(len(w) - size + 1):
+            if i is not None:
+                h = tuple(w[j : j + size])
+                owner[h] = min(i, owner.get(h, i))
+    out = []
+    for i, w in words:
         gone = np.zeros(len(w), bool)
         for j in range(len(w) - size + 1):
-            if owner[tuple(w[j : j + size])] < i:
+            if i is not None and owner[tuple(w[j : j + size])] < i:
                 gone[j : j + size] = True
         kept = b" ".join(x for x, g in zip(w, gone, strict=True) if not g)
-        out[i] = (len(w), int(gone.sum()), hashlib.sha256(kept).hexdigest())
-    return out
+        out.append((i, len(w), int(gone.sum()), hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=str)
 
 
 def digests(df):
-    return {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in df.collect()}
+    return sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in df.collect()), key=str)
 
 
-@pytest.mark.parametrize("sketch", [substring.Sketch(log2_cells=22, log2_block=18), substring.Sketch(log2_cells=10, log2_block=8, flush=500, fan_in=1)])
+@pytest.mark.parametrize("sketch", [substring.Sketch(log2_cells=22, log2_block=18), substring.Sketch(log2_cells=10, log2_block=8, flush=500, fan_in=1, load=3000)])
 def test_repeats_match_brute_force_whatever_the_sketch(spark, sf, sketch):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").repartition(3)
     assert digests(substring.remove_repeats(docs, sketch=sketch)) == brute_repeats([tuple(r) for r in docs.collect()])
@@ -162,15 +165,34 @@ def test_repeats_match_brute_force_whatever_the_sketch(spark, sf, sketch):
 
 def test_repeats_of_odd_rows(odd, odd_rows, none):
     sketch = substring.Sketch(log2_cells=20, log2_block=16)
-    out = substring.remove_repeats(odd, sketch=sketch)
-    assert out.count() == len(odd_rows)
-    got = digests(out.where("doc_id is not null"))
-    want = brute_repeats([(r[0], r[1]) for r in odd_rows if r[0] is not None])
-    assert got == want
-    assert got[7][1] == 120 and got[16][1] == 120 and got[14][1] == 0
+    got = digests(substring.remove_repeats(odd, sketch=sketch))
+    assert got == brute_repeats([(r[0], r[1]) for r in odd_rows])
+    by = {r[0]: r for r in got}
+    assert by[7][2] == 120 and by[16][2] == 120 and by[14][2] == 0
     assert substring.remove_repeats(none, sketch=sketch).collect() == []
 
 
+@pytest.mark.parametrize("parts", [1, 1000])
+def test_repeats_of_rows_that_share_ids(spark, monkeypatch, parts):
+    from tessella.llm import shared
+
+    monkeypatch.setattr(shared, "HOT_PARTS", parts)
+    a, q = [f"a{i}" for i in range(60)], [f"q{i}" for i in range(80)]
+    rows = [(1, " ".join(a)), (2, " ".join(a + ["z0", "z1"])), (2, " ".join(q)), (2, " ".join(q)), (2**60 + 1, " ".join(a[:55])), (None, "  ".join(a)), (2**60 + 3, " ".join(["x"] + a + q))]
+    rows += [(100 + i, " ".join([f"u{i}"] + a)) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert digests(substring.remove_repeats(docs, sketch=substring.Sketch(log2_cells=16, log2_block=12))) == brute_repeats(rows)
+
+
+def test_anchors_are_the_least_runs_of_windows():
+    own = np.random.default_rng(2).integers(0, 2**63, 300).astype(np.uint64)
+    for window, run in ((50, 20), (50, 50), (7, 1), (50, 19)):
+        h = window_hashes(own, run)
+        want = [min(h[i : i + window - run + 1]) for i in range(len(own) - window + 1)]
+        assert substring.anchors(own, window, run).tolist() == [int(x) for x in want]
+    assert len(substring.anchors(own[:49], 50, 20)) == 0 and len(substring.anchors(own[:50], 50, 20)) == 1
+
+
 def test_sketch_packing_and_windows():
     cells = np.unique(np.random.default_rng(1).integers(0, 2**20, 5000)).astype(np.uint64)
     assert (substring._unpack(substring._pack(cells)) == cells.astype(np.int64)).all()
