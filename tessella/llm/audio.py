@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -13,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.shared import materialize
+from tessella.llm.shared import discard, map_frames, materialize, type_of
 
 #: Format tags of the RIFF container.
 TAGS = {"alaw": 6, "mulaw": 7, "adpcm": 17}
@@ -29,10 +30,15 @@ INDEX_CHANGE = np.array([-1, -1, -1, -1, 2, 4, 6, 8], np.int32)
 
 @dataclass(frozen=True)
 class Telephony:
-    """rate: of the stored samples, target_rate: of the PCM, in Hz. pad: bytes of which a payload is a multiple. block: bytes of an ADPCM block."""
+    """rate: of the stored samples, target_rate: of the PCM, in Hz. pad: bytes of which a payload is a multiple. block: bytes of an ADPCM block.
+
+    slices: parts of the documents whose PCM media_features() has stored at a time: at 16 kHz it takes some five times
+    the payload's bytes.
+    """
 
     rate: int = 8000
-    target_rate: int = 4000
+    target_rate: int = 16000
+    slices: int = 16
     pad: int = 576
     block: int = 64
     #: Bytes of ADPCM blocks that are decoded at once.
@@ -75,19 +81,48 @@ def decode_adpcm(blocks: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Sines on either side of a resampling filter's middle, and bits of its taps' fractions.
+LOBES, TAP_BITS = 8, 14
+
+
+def filter_phases(rate: int, target: int) -> tuple[list[np.ndarray], int, int]:
+    """The taps of each phase of a windowed-sinc low-pass at half the lower rate, up and down the steps between the rates.
+
+    Output i is at input place i * down / up; its phase is i * down modulo up, whose taps reach from LOBES * wide before
+    that place to as many after it. Taps are whole numbers that add up to 2 ** TAP_BITS.
+    """
+    common = math.gcd(rate, target)
+    up, down = target // common, rate // common
+    cut = min(1.0, up / down)
+    reach = math.ceil(LOBES / cut)
+    phases = []
+    for phase in range(up):
+        x = np.arange(1 - reach, reach + 1) - phase / up
+        taps = cut * np.sinc(cut * x) * np.where(np.abs(x) < reach, np.cos(np.pi * x / (2 * reach)) ** 2, 0)
+        whole = np.round(taps / taps.sum() * 2**TAP_BITS)
+        whole[reach - 1] += 2**TAP_BITS - whole.sum()
+        phases.append(whole)
+    return phases, up, down
+
+
 def resample(pcm: np.ndarray, rate: int, target: int) -> np.ndarray:
-    """PCM at another rate: means over whole periods where the rates divide, else linear interpolation."""
+    """PCM at another rate by a polyphase windowed-sinc filter; sums are of whole numbers, so that they are the same everywhere.
+
+    There are ceil(n * target / rate) samples; silence stands before the first and after the last.
+    """
     if rate == target or not len(pcm):
         return pcm
-    if rate % target == 0:
-        k = rate // target
-        whole = len(pcm) // k * k
-        parts = pcm[:whole].reshape(-1, k).astype(np.int32).sum(axis=1) // k
-        if whole < len(pcm):
-            parts = np.append(parts, pcm[whole:].astype(np.int32).sum() // (len(pcm) - whole))
-        return parts.astype(np.int16)
-    at = np.arange(int(len(pcm) * target / rate)) * (rate / target)
-    return np.round(np.interp(at, np.arange(len(pcm)), pcm)).astype(np.int16)
+    phases, up, down = filter_phases(rate, target)
+    reach = len(phases[0]) // 2
+    n = -(-len(pcm) * up // down)
+    padded = np.concatenate([np.zeros(reach - 1), pcm, np.zeros(reach + 1)])
+    out = np.empty(n)
+    for first in range(min(up, n)):  # outputs first, first + up, ... are of one phase, `down` inputs apart
+        start, phase = divmod(first * down, up)
+        m = len(range(first, n, up))
+        part = padded[start : start + (m - 1) * down + 2 * reach]
+        out[first::up] = np.correlate(part, phases[phase], "valid")[::down]
+    return np.clip(np.floor((out + 2 ** (TAP_BITS - 1)) / 2**TAP_BITS), -32768, 32767).astype(np.int16)
 
 
 def payload_of(text: str | None, pad: int) -> tuple[bytes, int]:
@@ -146,17 +181,19 @@ def decode(items: list[tuple[str, int, bytes]], at_once: int = 4_000_000) -> lis
 
 
 def store(docs: DataFrame, how: Telephony) -> DataFrame:
-    """(doc_id, n_bytes, media) of docs(doc_id, text): each text's bytes as one of three codecs' samples, by their CRC-32."""
+    """(doc_id, slice, n_bytes, media) of docs(doc_id, text): each text's bytes as one of three codecs' samples, by their CRC-32."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+            for text in pdf["text"]:
                 payload, n = payload_of(text, how.pad)
-                out.append((doc_id, n, wrap(payload, CODECS[zlib.crc32(payload) % 3], how)))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "media"])
+                crc = zlib.crc32(payload)
+                out.append((n, wrap(payload, CODECS[crc % 3], how)))
+            yield pd.concat([pdf[["doc_id", "slice"]], pd.DataFrame(out, columns=["n_bytes", "media"], index=pdf.index)], axis=1)
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_bytes long, media binary")
+    dealt = docs.select("doc_id", F.expr(f"cast(pmod(xxhash64(doc_id, text), {how.slices}) as int)").alias("slice"), "text")
+    return map_frames(dealt, run, f"doc_id {type_of(docs, 'doc_id')}, slice int, n_bytes long, media binary")
 
 
 def _opened(batches: Iterator[pd.DataFrame], how: Telephony) -> Iterator[tuple[pd.DataFrame, list[tuple[str, int, int, bytes]], list[np.ndarray]]]:
@@ -174,37 +211,58 @@ def _opened(batches: Iterator[pd.DataFrame], how: Telephony) -> Iterator[tuple[p
 
 
 def resampled(media: DataFrame, how: Telephony) -> DataFrame:
-    """media(doc_id, n_bytes, media) with codec, samples (the stored bytes) and pcm, 16-bit little-endian at the target rate."""
+    """media(doc_id, n_bytes, media) opened and decoded: codec, digests of container and samples, and pcm, 16-bit little-endian at the target rate."""
+    columns = ["codec", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "pcm"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf, read, pcm in _opened(batches, how):
-            yield pdf.assign(codec=[r[0] for r in read], samples=[r[3] for r in read], pcm=[x.astype("<i2").tobytes() for x in pcm])
+            out = []
+            for stored, (codec, _, _, data), x in zip(pdf["media"], read, pcm, strict=True):
+                out.append((codec, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), x.astype("<i2").tobytes()))
+            yield pd.concat([pdf[["doc_id", "n_bytes"]], pd.DataFrame(out, columns=columns, index=pdf.index)], axis=1)
+
+    schema = f"doc_id {type_of(media, 'doc_id')}, n_bytes long, codec string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, pcm binary"
+    return map_frames(media.select("doc_id", "n_bytes", "media"), run, schema)
 
-    return media.mapInPandas(run, "doc_id long, n_bytes long, media binary, codec string, samples binary, pcm binary")
+
+def feature_of(codec: str, pcm: bytes) -> str:
+    """Codec, number of samples, root mean square, peak, zero crossings and SHA-256 (16 digits) of PCM."""
+    x = np.frombuffer(pcm, "<i2").astype(np.int64)
+    level = int(np.sqrt((x * x).mean())) if len(x) else 0
+    crossings = int(((x[1:] >= 0) != (x[:-1] >= 0)).sum())
+    return f"{codec}:{len(x)}:{level}:{int(np.abs(x).max(initial=0))}:{crossings}:{hashlib.sha256(pcm).hexdigest()[:16]}"
+
+
+def features(stored: DataFrame) -> DataFrame:
+    """The rows of a stored table of resampled(), with `feature` of the PCM that is read back in place of it."""
+    columns = [c for c in stored.columns if c not in ("codec", "pcm")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[columns].assign(feature=[feature_of(codec, pcm) for codec, pcm in zip(pdf["codec"], pdf["pcm"], strict=True)])
+
+    return map_frames(stored, run, ", ".join(f"{c} {type_of(stored, c)}" for c in columns) + ", feature string")
 
 
 def media_features(docs: DataFrame, how: Telephony | None = None) -> DataFrame:
     """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of docs(doc_id, text).
 
     Each text's UTF-8, with bytes 255 up to a positive multiple of 576, is stored as telephony samples in a table of
-    the shared folder; the table is read, its containers are opened, and digests are of the bytes that come back.
-    feature names the codec, and gives the number, root mean square, peak, zero crossings and SHA-256 (16 digits) of the resampled PCM.
+    the shared folder; the table is read, its containers are opened, and digests are of the bytes that come back. The
+    PCM, resampled to `how.target_rate`, is stored in a table as well and read back for `feature`: the codec, and the
+    number, root mean square, peak, zero crossings and SHA-256 (16 digits) of its samples. Documents are taken in
+    `how.slices` slices, and a slice's PCM is deleted when its features are written, which bounds the disk that it
+    needs; store() and resampled() give the tables to who wants to keep them.
 
     Null and empty texts are 576 bytes of padding. Equal texts give equal values; rows are independent, so repeated
-    ids are repeated rows. An empty table gives an empty result. Other columns are ignored.
+    ids are repeated rows, and a null id stays null. An empty table gives an empty result. Other columns are ignored.
     """
     how = how or Telephony()
-    stored = materialize(store(docs, how), "media")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf, read, pcms in _opened(batches, how):
-            out = []
-            for (doc_id, n, media), (codec, _, _, data), pcm in zip(pdf.itertuples(index=False), read, pcms, strict=True):
-                x = pcm.astype(np.int64)
-                level = int(np.sqrt((x * x).mean())) if len(x) else 0
-                crossings = int(((x[1:] >= 0) != (x[:-1] >= 0)).sum())
-                feature = f"{codec}:{len(x)}:{level}:{int(np.abs(x).max(initial=0))}:{crossings}:{hashlib.sha256(pcm.astype('<i2').tobytes()).hexdigest()[:16]}"
-                out.append((doc_id, n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    return stored.select("doc_id", "n_bytes", "media").mapInPandas(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    media, out = materialize(store(docs, how), "media", "slice"), None
+    for x in range(how.slices):
+        pcm = materialize(resampled(media.where(F.col("slice") == x), how), "pcm")
+        part = materialize(features(pcm), "features")
+        discard(pcm)
+        out = part if out is None else out.unionByName(part)
+    discard(media)
+    return out

@@ -1,5 +1,7 @@
 import hashlib
+import math
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -35,10 +37,62 @@ def test_containers_give_back_every_byte(codec):
     assert (name, rate, data) == (codec, 8000, payload)
 
 
+def brute_resample(pcm, rate, target):
+    """A windowed sinc at each output's place, sample by sample; taps are rounded as documented."""
+    out = []
+    cut = min(1, target / rate)
+    reach = math.ceil(audio.LOBES / cut)
+    for i in range(math.ceil(len(pcm) * target / rate)):
+        at = Fraction(i * rate, target)
+        first = math.floor(at) - reach + 1
+        taps = []
+        for k in range(first, first + 2 * reach):
+            x = float(k - at)
+            y = math.pi * cut * x
+            taps.append(cut * (math.sin(y) / y if y else 1) * (math.cos(math.pi * x / (2 * reach)) ** 2 if abs(x) < reach else 0))
+        whole = [round(t / sum(taps) * 2**14) for t in taps]
+        whole[reach - 1] += 2**14 - sum(whole)
+        total = sum(t * int(pcm[k]) for t, k in zip(whole, range(first, first + 2 * reach)) if 0 <= k < len(pcm))
+        out.append(max(-32768, min(32767, (total + 2**13) // 2**14)))
+    return out
+
+
 def test_resampling():
+    rng = np.random.default_rng(4)
+    for n, rate, target in ((200, 8000, 16000), (7, 8000, 16000), (1, 8000, 16000), (300, 8000, 4000), (150, 8000, 11025), (150, 16000, 6000)):
+        pcm = rng.integers(-32768, 32768, n).astype(np.int16)
+        got = audio.resample(pcm, rate, target).tolist()
+        want = brute_resample(pcm, rate, target)
+        assert len(got) == len(want) and max(abs(a - b) for a, b in zip(got, want, strict=True)) <= (0 if target == 16000 else 8)  # a tap at .5 may round either way
     x = (10000 * np.sin(np.arange(8000) * 0.01)).astype(np.int16)
-    assert len(audio.resample(x, 8000, 4000)) == 4000 and len(audio.resample(x, 8000, 16000)) == 16000 and audio.resample(x, 8000, 8000) is x
-    assert abs(int(audio.resample(x, 8000, 4000)[100]) - int(x[200])) < 200 and len(audio.resample(x[:0], 8000, 4000)) == 0
+    assert audio.resample(x, 8000, 8000) is x and len(audio.resample(x[:0], 8000, 4000)) == 0
+    assert abs(int(audio.resample(x, 8000, 4000)[100]) - int(x[200])) < 50 and (audio.resample(x, 8000, 16000)[::2] == x).all()
+    tone = (10000 * np.sin(np.arange(8000) * 2 * np.pi * 3000 / 8000)).astype(np.int16)
+    assert np.abs(audio.resample(tone, 8000, 4000)[100:-100]).max() < 500  # 3 kHz does not fold into 2 kHz
+
+
+def brute_feature(payload):
+    codec = ("mulaw", "alaw", "adpcm")[zlib.crc32(payload) % 3]
+    if codec == "mulaw":
+        pcm = []
+        for byte in payload:
+            c = ~byte & 255
+            size = (((c & 15) * 2 + 33) << (c >> 4 & 7)) - 33
+            pcm.append(4 * (-size if c & 128 else size))
+    elif codec == "alaw":
+        pcm = []
+        for byte in payload:
+            c = byte ^ 0x55
+            e, m = c >> 4 & 7, (c & 15) * 16
+            size = m + 8 if e == 0 else (m + 264) << (e - 1)
+            pcm.append(size if c & 128 else -size)
+    else:
+        pcm = [x for at in range(0, len(payload), 64) for x in brute_adpcm(payload[at : at + 64])]
+    x = brute_resample(pcm, 8000, 16000)
+    level = int((sum(v * v for v in x) / len(x)) ** 0.5)
+    crossings = sum((a >= 0) != (b >= 0) for a, b in zip(x, x[1:]))
+    digest = hashlib.sha256(b"".join(v.to_bytes(2, "little", signed=True) for v in x)).hexdigest()[:16]
+    return f"{codec}:{len(x)}:{level}:{max(map(abs, x))}:{crossings}:{digest}"
 
 
 def test_media_features(odd, odd_rows, none):
@@ -52,9 +106,19 @@ def test_media_features(odd, odd_rows, none):
         assert r["media_bytes"] > r["payload_bytes"] and len(r["media_sha256"]) == 64 and r["feature"].count(":") == 5
     by = {r["doc_id"]: tuple(r)[1:] for r in got}
     assert by[6] == by[7] and by[1] == by[2]
+    assert sum(r["doc_id"] is None for r in got) == 1
+    for r in got:
+        if r["n_bytes"] < 2000:
+            data = (texts[r["doc_id"]] or "").encode()
+            assert r["feature"] == brute_feature(data + b"\xff" * (-len(data) % 576 if data else 576))
     assert audio.media_features(none).collect() == []
 
 
+def test_ids_beside_nulls_stay_whole(spark):
+    docs = spark.createDataFrame([(2**60 + 1, "a"), (None, "b"), (5, "c")], "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"] for r in audio.media_features(docs, audio.Telephony(slices=1)).collect()} == {2**60 + 1, None, 5}
+
+
 def test_arc_versions_and_broken_records():
     for version, names in warc.ARC_FIELDS.items():
         block = f"{version} 0 test\n{names}\n"
@@ -93,7 +157,9 @@ def test_archives_match_brute_force(spark, sf):
 def test_stored_pcm(spark):
     how = audio.Telephony(target_rate=8000)
     docs = spark.createDataFrame([(i, chr(97 + i) * 700) for i in range(6)], "doc_id long, text string")
-    for r in audio.resampled(audio.store(docs, how), how).collect():
-        codec, _, align, data = audio.unwrap(bytes(r["media"]))
-        want = audio.decode([(codec, align, data)])[0]
-        assert r["codec"] == codec and bytes(r["samples"]) == data and bytes(r["pcm"]) == want.astype("<i2").tobytes()
+    media = audio.store(docs, how).persist()
+    stored = {r["doc_id"]: bytes(r["media"]) for r in media.collect()}
+    for r in audio.resampled(media, how).collect():
+        codec, _, align, data = audio.unwrap(stored[r["doc_id"]])
+        want = [x for at in range(0, len(data), 64) for x in brute_adpcm(data[at : at + 64])] if codec == "adpcm" else audio.decode([(codec, align, data)])[0].tolist()
+        assert r["codec"] == codec and np.frombuffer(r["pcm"], "<i2").tolist() == want and r["payload_sha256"] == hashlib.sha256(data).hexdigest()
