@@ -37,8 +37,9 @@ class Banding:
     #: buckets. They only save comparisons; what they leave out is compared afterwards.
     heads: int = 16
     neighbours: int = 24
-    #: Documents on either side of a block in which documents of several components are compared.
+    #: Documents, and bytes of their sets, on either side of a block in which documents of several components are compared.
     block: int = 2048
+    block_bytes: int = 64_000_000
 
 
 def shingle_set(text: str | None, hashes: WordHashes, words: int = 5) -> np.ndarray:
@@ -200,71 +201,40 @@ def _components_of(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(one, "a", "left").join(two, "b", "left").select(*pairs.columns, F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
 
 
-def _texts_of(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, text): the text of the least document of each node in pairs."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = nodes.select("node", F.col("doc_id").alias("id"), F.col("t").alias("h")).join(ends.hint("merge"), "node", "left_semi")
-    found = docs.select("doc_id", "text", F.xxhash64("text").alias("t")).join(wanted.hint("merge"), F.expr("doc_id <=> id and t = h"))
-    return materialize(found.select("node", "text").dropDuplicates(["node"]), "texts")
+def _texts_of(wanted: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, text): the text, of texts(doc_id, text, t), of the least document of each node of wanted(node)."""
+    wanted = nodes.select("node", F.col("doc_id").alias("id"), F.col("t").alias("h")).join(wanted.hint("merge"), "node", "left_semi")
+    return texts.join(wanted.hint("merge"), F.expr("doc_id <=> id and t = h")).select("node", "text").dropDuplicates(["node"])
 
 
 def _with_components(tables: DataFrame, labels: DataFrame) -> DataFrame:
     return tables.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def across_buckets(tables: DataFrame, labels: DataFrame, banding: Banding) -> DataFrame:
-    """(a, b, agree): all pairs of a bucket and of different components whose sizes and sketches allow the similarity, once each.
+def _blocks(rows: DataFrame, about: DataFrame, banding: Banding) -> DataFrame:
+    """rows(node, half, component) with about(node, n_shingles, sketch, own, ...), dealt out in blocks (half, i, j) of two sides.
 
-    Buckets that hold several components are found first. Their nodes then meet by the buckets' half keys of the first
-    collection, of which a node has `halves` at most and which hold all of those buckets' pairs; of half keys with the
-    same nodes, one is kept. There, nodes outside the largest component are compared with all of the group, in blocks
-    of some `block` nodes by `block`, each a group of its own, so that no task holds a large one. A pair counts at the
-    least half key that it shares. A group of n nodes, m of them outside, costs n * m comparisons of sketches.
+    Side 0 has nodes outside the half key's largest component, side 1 all of its nodes; a block has some `block` nodes
+    or `block_bytes` bytes of sets of either side, and each node of side 0 meets each of side 1 in one block.
     """
-    halves, k, least, percent, block = banding.halves, 2 * banding.halves * banding.rows, banding.least_agreeing, banding.percent, banding.block
-    held = _with_components(tables, labels)
-    several = _keys(held, "component").groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high")
-    several = materialize(several.select("key", "n"), "several")
-    total = tables.agg(F.sum(F.size("first").cast("long") * F.size("second"))).first()[0] or 0
-    mixed = join_by_class(_keys(tables, "node"), several, ["key"], total, "inner").select("node", "half").distinct()
-    mixed = materialize(_with_components(mixed, labels), "mixed")
-    sizes = mixed.groupBy("half", "component").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(node))").alias("r1"), F.expr("bit_xor(xxhash64(node, 1))").alias("r2"))
-    sizes = sizes.groupBy("half").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most"), F.expr("bit_xor(r1)").alias("r1"), F.expr("bit_xor(r2)").alias("r2"))
-    chosen = sizes.groupBy("n", "r1", "r2").agg(F.min_by(F.struct("half", "most"), "half").alias("x"))
-    chosen = chosen.where(F.col("n") > F.col("x.most.n"))
-    blocks = lambda n: F.ceil(n / F.lit(block))
-    chosen = materialize(chosen.select("x.half", "n", F.col("x.most.component").alias("major"), blocks(F.col("n")).alias("n_all"), blocks(F.col("n") - F.col("x.most.n")).alias("n_minor")), "chosen")
-    rows = join_by_class(mixed, chosen, ["half"], mixed.count(), "inner")
-    own = rows.groupBy("node").agg(F.collect_list("half").alias("own")).join(tables.select("node", "n_shingles", "sketch"), "node")
+    sized = rows.join(about.select("node", "n_shingles"), "node")
+    sizes = sized.groupBy("half", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("m")).groupBy("half")
+    sizes = sizes.agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.max(F.struct("n", "m", "component")).alias("most"))
+    many = lambda n, m: F.greatest(F.ceil(n / F.lit(banding.block)), F.ceil(m * 8 / F.lit(banding.block_bytes)))
+    sizes = sizes.select("half", "n", F.col("most.component").alias("major"), many(F.col("n"), F.col("m")).alias("n_all"), many(F.col("n") - F.col("most.n"), F.col("m") - F.col("most.m")).alias("n_minor"))
+    sizes = materialize(sizes.where("n_minor > 0"), "sizes")
+    rows = join_by_class(rows, sizes, ["half"], rows.count(), "inner")
     rows = rows.select("half", "node", "component", "n_all", "n_minor", (F.col("component") != F.col("major")).alias("outside"))
     place = lambda n: F.expr(f"pmod(xxhash64(node, 7), {n})")
     left = rows.where("outside").withColumn("i", place("n_minor")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_all") - 1)))
     right = rows.withColumn("j", place("n_all")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_minor") - 1)))
     both = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
-    both = both.select("half", "i", "j", "side", "node", "component", "outside").join(own, "node")
+    both = both.select("half", "i", "j", "side", "node", "component", "outside").join(about, "node")
+    return both.repartition("half", "i", "j").sortWithinPartitions("half", "i", "j", "side")
 
-    def compare(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
-        node, component, outside, size, side, at_half = (rows[c].to_numpy() for c in ("node", "component", "outside", "n_shingles", "side", "half"))
-        sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, k)
-        none = np.iinfo(np.int64).max
-        own = np.full((len(rows), halves), none, np.int64)
-        for x, got in enumerate(rows["own"]):
-            own[x, : len(got)] = got
-        out = [np.zeros((0, 3), np.int64)]
-        for start, end in zip(starts, np.append(starts[1:], len(rows)), strict=True):
-            middle = start + int(np.searchsorted(side[start:end], 1))
-            d, c, o, n = (x[middle:end] for x in (node, component, outside, size))
-            for x in range(start, middle):
-                at = np.flatnonzero((c != component[x]) & (~o | (d > node[x])) & (np.minimum(n, size[x]) * 100 >= np.maximum(n, size[x]) * percent))
-                if len(at):
-                    agree = (sketch[middle + at] == sketch[x]).sum(axis=1)
-                    at, agree = at[agree >= least], agree[agree >= least]
-                if len(at):
-                    theirs = own[middle + at]
-                    here = np.where(np.isin(theirs, own[x]), theirs, none).min(axis=1) == at_half[x]
-                    at, agree = at[here], agree[here]
-                    out.append(np.column_stack([np.minimum(d[at], node[x]), np.maximum(d[at], node[x]), agree]))
-        return pd.DataFrame(np.concatenate(out), columns=["a", "b", "agree"])
+
+def _by_block(dealt: DataFrame, compare, schema: str) -> DataFrame:
+    """compare(block) -> frame for every block of _blocks()."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None  # the last block, which the next batch may go on with
@@ -274,19 +244,116 @@ def across_buckets(tables: DataFrame, labels: DataFrame, banding: Banding) -> Da
             pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
             at = pdf[["half", "i", "j"]].to_numpy()
             starts = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]).any(axis=1)]))
+            for start, end in zip(starts[:-1], starts[1:], strict=True):
+                yield compare(pdf.iloc[start:end])
             rest = pdf.iloc[starts[-1] :]
-            yield compare(pdf.iloc[: starts[-1]], starts[:-1]) if len(starts) > 1 else pd.DataFrame({"a": [], "b": [], "agree": []}).astype("int64")
         if rest is not None:
-            yield compare(rest, np.zeros(1, np.int64))
+            yield compare(rest)
+
+    return dealt.mapInPandas(run, schema)
+
+
+class _Block:
+    """The two sides of a block, and which nodes of side 1 a node of side 0 may be linked with."""
+
+    def __init__(self, rows: pd.DataFrame, banding: Banding):
+        self.least, self.percent, k = banding.least_agreeing, banding.percent, 2 * banding.halves * banding.rows
+        self.node, self.component, self.size = (rows[c].to_numpy(np.int64) for c in ("node", "component", "n_shingles"))
+        self.outside, self.half = rows["outside"].to_numpy(bool), rows["half"].iloc[0]
+        self.middle = int(np.searchsorted(rows["side"].to_numpy(), 1))
+        self.sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, k)
+        self.own = np.full((len(rows), banding.halves), np.iinfo(np.int64).max, np.int64)
+        for x, got in enumerate(rows["own"]):
+            self.own[x, : len(got)] = got
+
+    def partners(self, x: int) -> np.ndarray:
+        """Rows of side 1 of other components than row x that share this as the least half key and whose sizes and sketches allow the similarity, the most agreeing first."""
+        d, c, o, n = (v[self.middle :] for v in (self.node, self.component, self.outside, self.size))
+        small, large = np.minimum(n, self.size[x]), np.maximum(n, self.size[x])
+        at = np.flatnonzero((c != self.component[x]) & (~o | (d > self.node[x])) & (small * 100 >= large * self.percent)) + self.middle
+        agree = (self.sketch[at] == self.sketch[x]).sum(axis=1)
+        at, agree = at[agree >= self.least], agree[agree >= self.least]
+        theirs = self.own[at]
+        here = np.where(np.isin(theirs, self.own[x]), theirs, np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max) == self.half
+        return at[here][np.argsort(-agree[here], kind="stable")]
+
 
-    dealt = both.repartition("half", "i", "j").sortWithinPartitions("half", "i", "j", "side")
-    found = dealt.select("half", "i", "j", "side", "node", "component", "outside", "n_shingles", "sketch", "own").mapInPandas(run, "a long, b long, agree long")
-    found = materialize(found, "across")
-    for table in (several, mixed, chosen):
+def links_across(tables: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame, banding: Banding) -> DataFrame:
+    """(a, b): links that join all components of labels(node, component) which any pair of a common bucket links.
+
+    Buckets that hold several components are found first. Their nodes then meet by the buckets' half keys of the first
+    collection, of which a node has `halves` at most and which hold all of those buckets' pairs; of half keys with the
+    same nodes, one is kept. There, nodes outside the largest component are compared with all of the group, in blocks
+    that are groups of their own, so that no task holds a large one, and a pair counts at the least half key that it
+    shares. A first round finds by sketches which nodes have a partner left at which half key. A second one has the
+    sets of these: each pair of a block that the sketches allow is confirmed on the full sets, unless links of the same
+    block have already joined its components; so a block has fewer links than nodes, and no pairs leave it. A group of
+    n nodes, m of them outside, costs n * m comparisons of sketches.
+    """
+    held = _with_components(tables, labels)
+    several = _keys(held, "component").groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high")
+    several = materialize(several.select("key", "n"), "several")
+    total = tables.agg(F.sum(F.size("first").cast("long") * F.size("second"))).first()[0] or 0
+    mixed = materialize(join_by_class(_keys(tables, "node"), several, ["key"], total, "inner").select("node", "half").distinct(), "mixed")
+    sizes = mixed.groupBy("half").agg(F.count("*").alias("size"), F.expr("bit_xor(xxhash64(node))").alias("r1"), F.expr("bit_xor(xxhash64(node, 1))").alias("r2"))
+    chosen = materialize(sizes.groupBy("size", "r1", "r2").agg(F.min("half").alias("half")).select("half", F.col("size").alias("n")), "chosen")
+    rows = join_by_class(mixed, chosen, ["half"], mixed.count(), "inner")
+    rows = materialize(_with_components(rows, labels), "rows")
+    own = rows.groupBy("node").agg(F.collect_list("half").alias("own"))
+    about = materialize(own.join(tables.select("node", "n_shingles", "sketch"), "node"), "about")
+    columns = ["half", "i", "j", "side", "node", "component", "outside", "n_shingles", "sketch", "own"]
+
+    def with_partners(rows: pd.DataFrame) -> pd.DataFrame:
+        block, seen = _Block(rows, banding), [np.zeros(0, np.int64)]
+        for x in range(block.middle):
+            if len(got := block.partners(x)):
+                seen += [block.node[got], block.node[x : x + 1]]
+        found = np.unique(np.concatenate(seen))
+        return pd.DataFrame({"node": found, "half": np.full(len(found), block.half, np.int64)})
+
+    left = _by_block(_blocks(rows, about, banding).select(*columns), with_partners, "node long, half long").distinct()
+    left = materialize(_with_components(left, labels), "left")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
+    sets = _sets_of(left.select("node").distinct(), nodes, texts, banding)
+
+    def confirmed(rows: pd.DataFrame) -> pd.DataFrame:
+        block, out, joined = _Block(rows, banding), [], {}
+        shingles = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
+
+        def root(c: int) -> int:
+            while (up := joined.get(c, c)) != c:
+                joined[c] = c = joined.get(up, up)
+            return c
+
+        for x in range(block.middle):
+            for y in block.partners(x).tolist():
+                c, d = root(int(block.component[x])), root(int(block.component[y]))
+                if c != d:
+                    small, large = sorted((shingles[x], shingles[y]), key=len)
+                    both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+                    if 100 * both >= banding.percent * (len(small) + len(large) - both):
+                        joined[c] = d
+                        out.append((block.node[x], block.node[y]))
+        return pd.DataFrame(np.array(out, np.int64).reshape(-1, 2), columns=["a", "b"])
+
+    dealt = _blocks(left, about.join(sets, "node"), banding).select(*columns, "shingles")
+    found = materialize(_by_block(dealt, confirmed, "a long, b long"), "links")
+    for table in (several, mixed, chosen, rows, about, left, sets):
         discard(table)
     return found
 
 
+def _sets_of(wanted: DataFrame, nodes: DataFrame, texts: DataFrame, banding: Banding) -> DataFrame:
+    """(node, shingles): the full set of each wanted node, sorted 64-bit hashes one after the other."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for pdf in batches:
+            yield pdf[["node"]].assign(shingles=[shingle_set(text, hashes, banding.words).tobytes() for text in pdf["text"]])
+
+    return materialize(_texts_of(wanted, nodes, texts).mapInPandas(run, "node long, shingles binary"), "sets")
+
+
 def near_duplicates(docs: DataFrame, banding: Banding | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document of docs(doc_id, text).
 
@@ -296,7 +363,7 @@ def near_duplicates(docs: DataFrame, banding: Banding | None = None) -> DataFram
     filter on one byte of each minhash and are then confirmed on the full sets: first each node's most agreeing one,
     then the others that are still in another component. That costs a bounded number of comparisons for each node and
     leaves few buckets with several components; in those, all pairs of different components follow, block by block, so
-    that no pair that shares a bucket is left out.
+    that no link of a pair that shares a bucket is left out.
 
     Null, empty and wordless texts have the size 0, are linked with nothing and stay. Each row is a document: rows that
     share a doc_id are judged by their own texts. A null doc_id is linked like others, but a component is named by
@@ -317,29 +384,22 @@ def near_duplicates(docs: DataFrame, banding: Banding | None = None) -> DataFram
     likely = _agreeing(first, nodes, banding).withColumn("place", F.expr("row_number() over (partition by b order by agree desc, a)"))
     pairs = materialize(likely.select("a", "b", "place"), "likely")
     discard(first)
-    texts = _texts_of(pairs, nodes, docs)
-    links = materialize(_linked(pairs.where("place = 1").select("a", "b"), texts, banding), "links")
-    rest = _components_of(pairs.where("place > 1").select("a", "b"), connected_components(links)).where("ca <> cb").select("a", "b")
-    links = links.unionByName(materialize(_linked(rest, texts, banding), "links"))
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    texts = materialize(_texts_of(ends, nodes, docs.select("doc_id", "text", F.xxhash64("text").alias("t"))), "texts")
+    best = materialize(_linked(pairs.where("place = 1").select("a", "b"), texts, banding), "links")
+    rest = _components_of(pairs.where("place > 1").select("a", "b"), connected_components(best)).where("ca <> cb").select("a", "b")
+    more = materialize(_linked(rest, texts, banding), "links")
+    links = best.unionByName(more)
     labels = connected_components(links)
-    discard(texts)
+    for table in (pairs, texts):
+        discard(table)
     release(spark)
 
-    found = across_buckets(tables, labels, banding)
-    discard(tables)
-    release(spark)
-    left = materialize(found.join(pairs.select("a", "b").hint("merge"), ["a", "b"], "left_anti"), "left")
-    discard(found)
-    if not left.isEmpty():
-        texts = _texts_of(left, nodes, docs)
-        best = left.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a")).select("a", "b")
-        links = links.unionByName(materialize(_linked(best, texts, banding), "links"))
-        rest = _components_of(left.select("a", "b"), connected_components(links)).where("ca <> cb").select("a", "b")
-        links = links.unionByName(materialize(_linked(rest.join(best.hint("merge"), ["a", "b"], "left_anti"), texts, banding), "links"))
-        labels = connected_components(links)
-        discard(texts)
-    for table in (pairs, left):
+    across = links_across(tables, labels, nodes, docs, banding)
+    labels = connected_components(links.unionByName(across))
+    for table in (tables, best, more, across):
         discard(table)
+    release(spark)
 
     keys = ["n_shingles", "d1", "d2"]
     named = _with_components(nodes.select("node", "doc_id", *keys, F.col("n").alias("rows")), labels)
