@@ -10,19 +10,23 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.text import WordHashes, window_hashes
+from tessella.llm.shared import map_frames, materialize, numbered, type_of
+from tessella.llm.text import WordHashes, mix, window_hashes
 
 
 @dataclass(frozen=True)
 class Tiling:
     """tile: the least length of a match in words. coverage: the share of an item's words in tiles from which a document is contaminated.
 
-    block_bytes: of benchmark texts that are sent to the executors at once; a larger benchmark takes several passes.
+    log2_bits: of the filter of seeds, 2 ** log2_bits / 8 bytes that are sent to the executors whatever the benchmark's
+    size; a very large benchmark fills it and lets more seeds through to the join, which decides. group: items that a
+    row of a document with its candidates holds at most; a document with more has several rows.
     """
 
     tile: int = 5
     coverage: float = 0.5
-    block_bytes: int = 32_000_000
+    log2_bits: int = 28
+    group: int = 64
 
 
 def lowered(text: str | None) -> list[bytes]:
@@ -82,103 +86,144 @@ def greedy_tiles(pattern: np.ndarray, text: np.ndarray, least: int) -> list[tupl
         s = max(least, s // 2)
 
 
-class Index:
-    """Words of benchmark items, and which items have each run of `tile` words."""
+def item_seeds(items: DataFrame, how: Tiling) -> DataFrame:
+    """(item, item_id, words, seeds) of the items of a tile or more: word hashes and the hash of each run of `tile` words."""
 
-    def __init__(self, items: list[tuple[int, str]], how: Tiling):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
-        self.how, self.words = how, {}
-        seeds: dict[int, list[tuple[int, int]]] = {}
-        for item, text in items:
-            own = hashes.of(lowered(text))
-            if len(own) >= how.tile:
-                self.words[item] = own
-                for at, h in enumerate(window_hashes(own, how.tile).tolist()):
-                    seeds.setdefault(h, []).append((item, at))
-        self.seeds, self.sorted = seeds, np.sort(np.fromiter(seeds, np.uint64, len(seeds)))
-
-    def best(self, own: np.ndarray) -> tuple[int, float, int, int, int] | None:
-        """Item, coverage, tiles, words in tiles and longest tile of the item of the highest coverage, then the smallest id."""
-        runs = window_hashes(own, self.how.tile)
-        if not len(runs) or not len(self.sorted):
-            return None
-        place = np.searchsorted(self.sorted, runs)
-        place[place == len(self.sorted)] = 0
-        hit = np.flatnonzero(self.sorted[place] == runs)
-        if not len(hit):
-            return None
-        joined: dict[int, set[int]] = {}
-        for h in set(runs[hit].tolist()):
-            for item, at in self.seeds[h]:
-                joined.setdefault(item, set()).update(range(at, at + self.how.tile))
-        found = None
-        for item in sorted(joined, key=lambda i: (-len(joined[i]) / len(self.words[i]), i)):
-            words = self.words[item]
-            if len(joined[item]) < self.how.coverage * len(words) or found and len(joined[item]) / len(words) < found[1]:
-                break  # tiles cover no more of an item than its seeds do
-            tiles = greedy_tiles(words, own, self.how.tile)
-            covered = sum(n for _, _, n in tiles)
-            row = (item, covered / len(words), len(tiles), covered, max((n for _, _, n in tiles), default=0))
-            if row[1] >= self.how.coverage and (found is None or (-row[1], item) < (-found[1], found[0])):
-                found = row
-        return found
-
-
-def _blocks(items: DataFrame, size: int) -> Iterator[list[tuple[int, str]]]:
-    """Items in blocks of about `size` bytes, which pass through the driver one after the other."""
-    held, n = [], 0
-    for row in items.where("text is not null").select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
-        held.append((row["item_id"], row["text"]))
-        n += len(row["text"].encode("utf-8", "surrogatepass"))
-        if n >= size:
-            yield held
-            held, n = [], 0
-    if held:
-        yield held
+        for pdf in batches:
+            own = [hashes.of(lowered(text)) for text in pdf["text"]]
+            long = [len(x) >= how.tile for x in own]
+            made = pdf[["item_id"]][long].reset_index(drop=True)
+            made["words"] = pd.Series([x.view(np.int64) for x in own if len(x) >= how.tile], dtype=object)
+            made["seeds"] = pd.Series([window_hashes(x, how.tile).view(np.int64) for x in own if len(x) >= how.tile], dtype=object)
+            yield made
 
+    kind = type_of(items, "item_id")
+    return numbered(map_frames(items.select("item_id", "text"), run, f"item_id {kind}, words array<long>, seeds array<long>"), "item", "items")
 
-def contaminated(docs: DataFrame, items: DataFrame, how: Tiling | None = None) -> DataFrame:
-    """(doc_id, item_id, coverage, tiles, tiled_words, longest_tile) of the documents that hold items(item_id, text).
 
-    A document is joined with the items that share a run of `tile` words with it; tiles are marked greedily, longest
-    first, so that passages in another order are found as well; it is contaminated if they cover `coverage` of an
-    item's words, A-Z lower-cased. The item of the highest coverage is given, ties by the smallest id.
+def _places(seeds: np.ndarray, how: Tiling) -> np.ndarray:
+    return (mix(seeds) >> np.uint64(64 - how.log2_bits)).astype(np.int64)
+
+
+def seed_filter(seeds: DataFrame, how: Tiling) -> np.ndarray:
+    """The bits at the places of seeds(seed), put together by place on the executors: at most 2 ** log2_bits of them come to the driver."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"place": _places(pdf["seed"].to_numpy(np.int64).view(np.uint64), how) + 1})
+
+    places = seeds.mapInPandas(run, "place long").groupBy(F.bitmap_bucket_number("place").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    out = np.zeros(max(1, (1 << how.log2_bits) // 32768) * 4096, np.uint8)
+    for row in places.toLocalIterator():
+        out[(row["part"] - 1) * 4096 : row["part"] * 4096] = np.frombuffer(bytes(row["bits"]), np.uint8)
+    return out
+
 
-    Documents pass once for each block of the benchmark, which bounds what is broadcast, and no text is shuffled. Null
-    and short texts, and items of fewer words than a tile, match nothing. Rows are judged by themselves; for a repeated
-    doc_id the best row counts. Empty tables give an empty result. Other columns are ignored.
+def shared_seeds(docs: DataFrame, bits: np.ndarray, how: Tiling) -> DataFrame:
+    """(doc_id, t, seeds): of documents, the distinct hashes of runs of `tile` words that the filter lets through; t is a hash of the text."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for pdf in batches:
+            keep, found = [], []
+            for x, text in enumerate(pdf["text"]):
+                own = window_hashes(hashes.of(lowered(text)), how.tile)
+                at = _places(own, how)
+                own = own[shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1]
+                if len(own):
+                    keep.append(x)
+                    found.append(np.unique(own).view(np.int64))
+            yield pdf[["doc_id", "t"]].iloc[keep].reset_index(drop=True).assign(seeds=pd.Series(found, dtype=object))
+
+    texts = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
+    return map_frames(texts, run, f"doc_id {type_of(docs, 'doc_id')}, t long, seeds array<long>")
+
+
+def best_item(own: np.ndarray, items: list[tuple], how: Tiling) -> tuple | None:
+    """(item_id, coverage, tiles, tiled words, longest tile) of the item (item_id, words, seeds) of the highest coverage from how.coverage, then the smallest id, null last."""
+    runs = window_hashes(own, how.tile)
+    ranked = []
+    for item_id, words, seeds in items:
+        words, hit = np.asarray(words, np.int64).view(np.uint64), np.isin(np.asarray(seeds, np.int64).view(np.uint64), runs)
+        edge = np.zeros(len(words) + 1, np.int64)
+        edge[: len(hit)] += hit
+        edge[how.tile : how.tile + len(hit)] -= hit
+        bound = int((np.cumsum(edge[:-1]) > 0).sum()) / len(words)  # tiles cover no more of an item than its seeds do
+        ranked.append((-bound, item_id is None, item_id, words))
+    found = None
+    for bound, no_id, item_id, words in sorted(ranked, key=lambda x: x[:2] + ((x[2],) if x[2] is not None else (0,))):
+        if -bound < how.coverage or found and -bound < found[0][1]:
+            break
+        tiles = greedy_tiles(words, own, how.tile)
+        covered = sum(n for _, _, n in tiles)
+        row = (item_id, covered / len(words), len(tiles), covered, max((n for _, _, n in tiles), default=0))
+        order = (-row[1], no_id, item_id)
+        if row[1] >= how.coverage and (found is None or order[:2] < found[1][:2] or order[:2] == found[1][:2] and not no_id and item_id < found[1][2]):
+            found = (row, order)
+    return found and found[0]
+
+
+def contaminated(docs: DataFrame, items: DataFrame, how: Tiling | None = None) -> DataFrame:
+    """(doc_id, t, item_id, coverage, tiles, tiled_words, longest_tile) of the documents that hold items(item_id, text).
+
+    A document is joined with the items that share runs of `tile` words with it, as many as the coverage needs; tiles
+    are marked greedily, longest first, so that passages in another order are found as well; it is contaminated if they
+    cover `coverage` of an item's words, A-Z lower-cased. The item of the highest coverage is given, ties by the
+    smallest id, null last.
+
+    A filter of the benchmark's seeds, of a fixed size, is broadcast; the documents' seeds that pass it, few for clean
+    ones, are joined with the benchmark's, and only texts with a candidate are shuffled. Null and short texts, and items
+    of fewer words than a tile, match nothing. Each row of items is an item. t is a hash of the text: rows that share
+    doc_id and text give one row, others that share a doc_id are judged by themselves; null ids are as good as others.
+    Empty tables give an empty result. Other columns are ignored.
     """
-    how, spark = how or Tiling(), docs.sparkSession
-    schema = "doc_id long, item_id long, coverage double, tiles long, tiled_words long, longest_tile long"
-    out = None
-    for block in _blocks(items, how.block_bytes):
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            index, hashes = Index(shared.value, how), WordHashes()
-            for pdf in batches:
-                rows = []
-                for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                    if (got := index.best(hashes.of(lowered(text)))) is not None:
-                        rows.append((doc_id, *got))
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "coverage", "tiles", "tiled_words", "longest_tile"])
-
-        hits = docs.select("doc_id", "text").mapInPandas(run, schema)
-        out = hits if out is None else out.unionByName(hits)
-    if out is None:
-        return spark.createDataFrame([], schema)
-    best = F.max_by(F.struct("item_id", "coverage", "tiles", "tiled_words", "longest_tile"), F.struct("coverage", -F.col("item_id")))
-    return out.groupBy("doc_id").agg(best.alias("b")).select("doc_id", "b.item_id", F.round("b.coverage", 6).alias("coverage"), "b.tiles", "b.tiled_words", "b.longest_tile")
+    how = how or Tiling()
+    known = item_seeds(items, how)
+    seeds = known.select("item", F.size("words").alias("n"), F.posexplode("seeds").alias("at", "seed"))
+    bits = seed_filter(seeds.select("seed"), how)
+    own = materialize(shared_seeds(docs, bits, how), "seeds").groupBy("doc_id", "t").agg(F.first("seeds").alias("seeds"))
+    own = own.select("doc_id", "t", F.explode("seeds").alias("seed"))
+    both = own.join(seeds.hint("merge"), "seed").groupBy("doc_id", "t", "item", "n").agg(F.count("*").alias("hits"))
+    pairs = both.where(F.col("hits") * how.tile >= F.col("n") * how.coverage).select("doc_id", "t", "item")
+    pairs = pairs.withColumn("group", F.expr(f"(row_number() over (partition by doc_id, t order by item) - 1) div {how.group}"))
+    pairs = pairs.join(known.hint("merge"), "item").groupBy("doc_id", "t", "group").agg(F.collect_list(F.struct("item_id", "words", "seeds")).alias("items"))
+    pairs = materialize(pairs.select(F.col("doc_id").alias("id"), F.col("t").alias("h"), "items"), "candidates")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
+    joined = texts.join(pairs.hint("merge"), F.expr("doc_id <=> id and t = h"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for pdf in batches:
+            keep, rows = [], []
+            for x, (text, got) in enumerate(zip(pdf["text"], pdf["items"], strict=True)):
+                listed = [(i["item_id"], i["words"], i["seeds"]) for i in got]
+                if (row := best_item(hashes.of(lowered(text)), listed, how)) is not None:
+                    keep.append(x)
+                    rows.append(row)
+            made = pd.DataFrame(rows, columns=["item_id", "coverage", "tiles", "tiled_words", "longest_tile"], dtype=object)
+            yield pd.concat([pdf[["doc_id", "t"]].iloc[keep].reset_index(drop=True), made], axis=1)
+
+    schema = f"doc_id {type_of(docs, 'doc_id')}, t long, item_id {type_of(items, 'item_id')}, coverage double, tiles long, tiled_words long, longest_tile long"
+    out = map_frames(joined.select("doc_id", "t", "text", "items"), run, schema)
+    least = F.struct(-F.col("coverage"), F.col("item_id").isNull(), "item_id")
+    best = F.min_by(F.struct("item_id", "coverage", "tiles", "tiled_words", "longest_tile"), least)
+    found = out.groupBy("doc_id", "t").agg(best.alias("b"))
+    return materialize(found.select("doc_id", "t", "b.item_id", F.round("b.coverage", 6).alias("coverage"), "b.tiles", "b.tiled_words", "b.longest_tile"), "contaminated")
 
 
 def decontamination(docs: DataFrame, items: DataFrame, how: Tiling | None = None) -> DataFrame:
     """contaminated() for every row of docs, with `contaminated`; the other columns are null and the counts 0 where it is false."""
-    hits = contaminated(docs, items, how).withColumn("contaminated", F.lit(True))
-    out = docs.select("doc_id").join(hits, "doc_id", "left")
+    hits = contaminated(docs, items, how).withColumn("contaminated", F.lit(True)).withColumnsRenamed({"doc_id": "id", "t": "h"})
+    out = docs.select("doc_id", F.xxhash64("text").alias("t")).join(hits.hint("merge"), F.expr("doc_id <=> id and t = h"), "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return out.select("doc_id", F.coalesce("contaminated", F.lit(False)).alias("contaminated"), "item_id", F.coalesce("coverage", F.lit(0.0)).alias("coverage"), zero("tiles"), zero("tiled_words"), zero("longest_tile"))
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, how: Tiling | None = None) -> DataFrame:
     """The rows of docs that are not contaminated, with all columns."""
-    return docs.join(contaminated(docs, items, how).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    hits = contaminated(docs, items, how).select(F.col("doc_id").alias("id"), F.col("t").alias("h")).alias("hit")
+    rows = docs.alias("doc")
+    return rows.join(hits.hint("merge"), F.expr("doc.doc_id <=> hit.id and xxhash64(doc.text) = hit.h"), "left_anti")

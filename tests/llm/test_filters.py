@@ -130,7 +130,7 @@ def test_contamination_in_any_order_and_in_blocks(spark, sf, odd, odd_rows, none
     turned = w[len(w) // 2 :] + ["between"] + w[: len(w) // 2]
     docs = [(1, "start " + " ".join(w) + " end"), (2, " ".join(turned).upper()), (3, "nothing of this kind at all here"), (4, " ".join(w[:6])), (5, None)]
     frame = spark.createDataFrame(docs, "doc_id long, text string")
-    for how in (decontaminate.Tiling(), decontaminate.Tiling(block_bytes=500)):
+    for how in (decontaminate.Tiling(), decontaminate.Tiling(log2_bits=15, group=1), decontaminate.Tiling(log2_bits=3)):
         got = {r["doc_id"]: r for r in decontaminate.decontamination(frame, items, how).collect()}
         assert [got[i]["contaminated"] for i in range(1, 6)] == [True, w == [x.lower() for x in w] or got[2]["contaminated"], False, False, False]
         assert got[1]["item_id"] == big and got[1]["coverage"] == 1.0
@@ -139,6 +139,42 @@ def test_contamination_in_any_order_and_in_blocks(spark, sf, odd, odd_rows, none
     assert [r["doc_id"] for r in decontaminate.clean_documents(frame, items).orderBy("doc_id").collect()] == [3, 4, 5]
 
 
+def brute_contaminated(docs, items, least=5, share=0.5):
+    """Every document against every item that it shares a run of words with, by comparing all positions."""
+    runs = lambda w: {tuple(w[i : i + least]) for i in range(len(w) - least + 1)}
+    low = lambda t: [x.lower() for x in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
+    known = [(i, w, runs(w)) for i, w in ((i, low(t)) for i, t in items) if len(w) >= least]
+    out = {}
+    for x, (_, text) in enumerate(docs):
+        own = low(text)
+        mine, found = runs(own), []
+        for i, w, r in known:
+            hit = [k for k in range(len(w) - least + 1) if tuple(w[k : k + least]) in mine]
+            if len({j for k in hit for j in range(k, k + least)}) >= share * len(w):
+                covered = brute_tiles(w, own, least)
+                if covered >= share * len(w):
+                    found.append((-covered / len(w), i))
+        if found:
+            cover, i = min(found)
+            out[x] = (i, round(-cover, 6))
+    return out
+
+
+def test_contamination_matches_brute_force(spark, sf):
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
+    w = max(items, key=lambda r: len(r[1]))[1].split()
+    docs += [(2**60 + 1, " ".join(w[9:] + ["x"] + w[:9])), (None, " ".join(w)), (None, "clean text of a few words"), (2**60 + 1, "clean text of a few words"), (None, None)]
+    want = brute_contaminated(docs, items)
+    assert 4 < len(want) < len(docs)
+    frame = spark.createDataFrame([(*r, 1, "x") for r in docs], "doc_id long, text string, t long, id string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.decontamination(frame, bench).collect()
+    assert sorted(((r["doc_id"], r["item_id"], r["coverage"]) for r in got), key=str) == sorted(((d, *want.get(x, (None, 0.0))) for x, (d, _) in enumerate(docs)), key=str)
+    clean = decontaminate.clean_documents(frame, bench)
+    assert clean.columns == frame.columns and sorted(((r["doc_id"], r["text"]) for r in clean.collect()), key=str) == sorted((d for x, d in enumerate(docs) if x not in want), key=str)
+
+
 def test_languages_on_held_out_documents(spark, odd, odd_rows, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = langid.languages(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
