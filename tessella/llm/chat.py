@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 @dataclass(frozen=True)
@@ -14,47 +15,45 @@ class Template:
 
     open: str = "<|im_start|>"
     close: str = "<|im_end|>"
-    #: Turn numbers that one rendered dialogue spans; a longer conversation gives several blocks.
-    turns: int = 256
+
+
+def plain(value: Column, template: Template) -> Column:
+    """value with a space within each mark of the template that it holds, so that no content can start or end a message."""
+    for mark in (template.open, template.close):
+        value = F.replace(value, F.lit(mark), F.lit(f"{mark[0]} {mark[1:]}"))
+    return value
 
 
 def perspectives(conversations: DataFrame, template: Template | None = None) -> DataFrame:
-    """(conv_id, block, perspective, text, mask, n_messages, n_trained): each dialogue once for each participant.
+    """(conv_id, perspective, text, mask, n_messages, n_trained): each whole dialogue once for each participant.
 
     The participant speaks as the assistant, all others as users with their names, and system messages stay. mask has
     start:end of the characters to train on, comma-joined: the assistant's contents with their end marks. Messages
-    come in order of turn, then speaker, then text. A conversation is rendered `template.turns` turn numbers at a
-    time, so that a long one isn't held in one row; its participants are those of the whole conversation.
+    come in order of turn, then speaker, then text. Marks of the template within contents and names get a space, and
+    line breaks in names become spaces. Places come from running sums in which everyone is a user: a participant's own
+    earlier messages shorten or lengthen them by the difference of the two heads, each by the same number of characters.
 
-    A null text is empty, a null role is the participant `unknown`, null turns come last in block -1, and a null
+    A dialogue is a row, as long as it may be, and so are a conversation's messages in one task, for each of its rows
+    holds them all. A null text is empty, a null role is the participant `unknown`, null turns come last, and a null
     conv_id is a conversation. Repeated rows are repeated messages. Conversations of system messages alone have no
     perspective and give no row; an empty table gives none. Other columns are ignored.
     """
     template = template or Template()
-    speaker = F.coalesce("role", F.lit("unknown"))
-    messages = conversations.select(
-        "conv_id",
-        F.coalesce(F.expr(f"turn div {template.turns}"), F.lit(-1)).cast("long").alias("block"),
-        F.struct(F.coalesce("turn", F.lit(2**63 - 1)).alias("turn"), speaker.alias("speaker"), F.coalesce("text", F.lit("")).alias("content")).alias("m"),
-    )
-    speakers = messages.select("conv_id", F.col("m.speaker").alias("perspective")).where("perspective <> 'system'").distinct()
-    blocks = messages.groupBy("conv_id", "block").agg(F.array_sort(F.collect_list("m")).alias("ms"))
-    each = blocks.alias("b").join(speakers.alias("s"), F.expr("b.conv_id <=> s.conv_id")).selectExpr("b.conv_id", "block", "perspective", "ms")
-    tail = len(template.close)
-    head = lambda m: F.concat(
-        F.lit(template.open),
-        F.when(m["speaker"] == "system", F.lit("system")).when(m["speaker"] == F.col("perspective"), F.lit("assistant")).otherwise(F.concat(F.lit("user name="), m["speaker"])),
-        F.lit("\n"),
-    )
-    parts = each.withColumn("parts", F.transform("ms", lambda m: F.struct(head(m).alias("head"), m["content"].alias("content"), (m["speaker"] == F.col("perspective")).alias("own"))))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("spans"), F.lit(0).cast("long").alias("n"))
-
-    def step(acc, p):
-        begin = acc["at"] + F.length(p["head"])
-        end = begin + F.length(p["content"]) + tail
-        span = F.when(p["own"], F.array(F.concat_ws(":", begin.cast("string"), end.cast("string")))).otherwise(F.array().cast("array<string>"))
-        return F.struct((end + 1).alias("at"), F.concat(acc["spans"], span).alias("spans"), (acc["n"] + F.when(p["own"], end - begin).otherwise(0)).alias("n"))
-
-    made = parts.withColumn("acc", F.aggregate("parts", start, step))
-    text = F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["content"], F.lit(template.close + "\n"))), "")
-    return made.select("conv_id", "block", "perspective", text.alias("text"), F.array_join("acc.spans", ",").alias("mask"), F.size("ms").cast("long").alias("n_messages"), F.col("acc.n").alias("n_trained"))
+    name = F.regexp_replace(plain(F.coalesce("role", F.lit("unknown")), template), r"[\r\n]", " ")
+    messages = conversations.select("conv_id", F.coalesce("turn", F.lit(2**63 - 1)).alias("turn"), name.alias("speaker"), plain(F.coalesce("text", F.lit("")), template).alias("content"))
+    user = lambda who: F.when(who == "system", F.lit("system")).otherwise(F.concat(F.lit("user name="), who))
+    around = len(template.open) + 1 + len(template.close) + 1
+    order = ["turn", "speaker", "content"]
+    before = Window.partitionBy("conv_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = messages.withColumn("at", F.coalesce(F.sum(F.length(user(F.col("speaker"))) + F.length("content") + around).over(before), F.lit(0)).cast("long"))
+    placed = placed.withColumn("k", F.row_number().over(Window.partitionBy("conv_id", "speaker").orderBy(*order)) - 1)
+    begin = F.col("at") - F.col("k") * (F.length(user(F.col("speaker"))) - len("assistant")) + len(template.open) + len("assistant") + 1
+    end = begin + F.length("content") + len(template.close)
+    spans = placed.where("speaker <> 'system'").select("conv_id", "speaker", begin.alias("begin"), end.alias("end"))
+    spans = spans.groupBy("conv_id", F.col("speaker").alias("perspective")).agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("spans"), F.sum(F.col("end") - F.col("begin")).alias("n_trained"))
+    dialogues = messages.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("ms"))
+    each = dialogues.alias("d").join(spans.alias("s"), F.expr("d.conv_id <=> s.conv_id")).selectExpr("d.conv_id", "perspective", "ms", "spans", "n_trained")
+    role = lambda m: F.when(m["speaker"] == F.col("perspective"), F.lit("assistant")).otherwise(user(m["speaker"]))
+    text = F.array_join(F.transform("ms", lambda m: F.concat(F.lit(template.open), role(m), F.lit("\n"), m["content"], F.lit(template.close + "\n"))), "")
+    mask = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["begin"].cast("string"), x["end"].cast("string"))), ",")
+    return each.select("conv_id", "perspective", text.alias("text"), mask.alias("mask"), F.size("ms").cast("long").alias("n_messages"), "n_trained")

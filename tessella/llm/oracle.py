@@ -72,22 +72,23 @@ select doc_id, size, source_size, target,
 
 OP3_CHAT_PERSPECTIVES = r"""
 with m as (
-  select conv_id, coalesce(turn // 256, -1)::bigint as block, coalesce(turn, 9223372036854775807) as turn,
-    coalesce(role, 'unknown') as speaker, coalesce(text, '') as content from conversations
+  select conv_id, coalesce(turn, 9223372036854775807) as turn,
+    regexp_replace(replace(replace(coalesce(role, 'unknown'), '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>'), '[\r\n]', ' ', 'g') as speaker,
+    replace(replace(coalesce(text, ''), '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') as content from conversations
 ), p as (select distinct conv_id, speaker as perspective from m where speaker <> 'system'
 ), r as (
-  select m.conv_id, block, perspective, turn, speaker, content,
+  select m.conv_id, perspective, turn, speaker, content,
     case when speaker = 'system' then '<|im_start|>system' || chr(10) when speaker = perspective then '<|im_start|>assistant' || chr(10)
       else '<|im_start|>user name=' || speaker || chr(10) end as head from m join p on m.conv_id is not distinct from p.conv_id
 ), o as (
   select *, coalesce(sum(length(head) + length(content) + 11) over w, 0) + length(head) as start,
-    row_number() over (partition by conv_id, block, perspective order by turn, speaker, content) as i from r
-  window w as (partition by conv_id, block, perspective order by turn, speaker, content rows between unbounded preceding and 1 preceding)
+    row_number() over (partition by conv_id, perspective order by turn, speaker, content) as i from r
+  window w as (partition by conv_id, perspective order by turn, speaker, content rows between unbounded preceding and 1 preceding)
 )
-select conv_id, block, perspective, string_agg(head || content || '<|im_end|>' || chr(10), '' order by i) as text,
+select conv_id, perspective, string_agg(head || content || '<|im_end|>' || chr(10), '' order by i) as text,
   coalesce(string_agg(start::bigint || ':' || (start + length(content) + 10)::bigint, ',' order by i) filter (speaker = perspective), '') as mask,
   count(*) as n_messages, coalesce(sum(length(content) + 10) filter (speaker = perspective), 0)::bigint as n_trained
-from o group by conv_id, block, perspective
+from o group by conv_id, perspective
 """
 
 OP9_LEGACY_ARCHIVE = """
