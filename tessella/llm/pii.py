@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.shared import materialize
+from tessella.llm.shared import free_name, materialize
 from tessella.llm.weak import fit_reliabilities, sigmoid
 
 #: What a text must contain, and the pattern, of each kind. All are written so that matching takes linear time and no
@@ -64,6 +64,10 @@ NEAR = {
 }
 AGAINST = "version|page|chapter|isbn|issn|figure|section"
 VOTERS = ("shape", "known", "near", "edge", "sum")
+#: Kinds that have no octets, digits or checksum to check: the labeler `sum` does not vote on them.
+UNCHECKED = ("email", "tel", "id")
+#: What the classifier sees besides the votes: classes of length and of digits, how parts are divided, and what leads up to a span.
+SHAPES = ("long", "digits", "parts", "lead")
 
 
 @dataclass(frozen=True)
@@ -102,36 +106,70 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+#: Elements of an array that are added up at a time: appending one by one to a long array would copy it each time.
+CHUNK = 256
+
+
+def running(items: Column, kind: str, step) -> Column:
+    """The results of step(place before, item) -> struct(place after, result as `kind`), for items in order, from place 0.
+
+    Items are taken in chunks, so that appending costs little however many there are.
+    """
+    chunks = F.when(F.size(items) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / CHUNK).cast("int")), lambda c: F.slice(items, c * CHUNK + 1, F.lit(CHUNK)))).otherwise(F.array())
+    empty = F.array().cast(f"array<{kind}>")
+    pair = lambda at, got: F.struct(at.cast("int").alias("at"), got.alias("got"))
+
+    def one(acc, item):
+        made = step(acc["at"], item)
+        return pair(made["at"], F.concat(acc["got"], F.array(made["got"])))
+
+    def chunk(acc, own):
+        start = F.coalesce(F.try_element_at(acc, F.lit(-1))["at"], F.lit(0))
+        return F.concat(acc, F.array(F.aggregate(own, pair(start, empty), one)))
+
+    parts = F.aggregate(chunks, F.array().cast(f"array<struct<at:int,got:array<{kind}>>>"), chunk)
+    return F.flatten(F.transform(parts, lambda p: p["got"]))
+
+
 def _found(docs: DataFrame, kind: str, need: str, pattern: str) -> DataFrame:
     """Adds the column `kind`: start, end, value, before, after of each leftmost match, and whether it passes the kind's check.
 
     The starts are sums of the lengths of what split() leaves between the matches and of the matches, in code points.
+    before has the last forty signs of what stands since the match before the last, after the next sign.
     """
     text = F.col("text")
     has = F.contains(text, F.lit(need)) if need else text.rlike("[0-9]")
     none = F.array().cast("array<string>")
     docs = docs.withColumn("m", F.when(has, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none))
     docs = docs.withColumn("g", F.when(F.size("m") > 0, F.split(text, pattern, -1)).otherwise(none))
-    pairs = F.zip_with(F.slice("g", F.lit(1), F.size("m")), F.col("m"), lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("value")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("got"))
+    at = lambda name, i: F.coalesce(F.try_element_at(F.col(name), i), F.lit(""))
 
-    def step(acc, p):
-        start = acc["at"] + p["gap"]
+    def around(i):
+        gap, value = at("g", i), at("m", i)
+        earlier = F.when(i > 1, F.concat(at("g", F.greatest(i - 1, F.lit(1))), at("m", F.greatest(i - 1, F.lit(1))))).otherwise(F.lit(""))
+        before = F.right(F.when(F.length(gap) >= 40, gap).otherwise(F.concat(earlier, gap)), F.lit(40))
+        after = F.left(F.concat(F.left(at("g", i + 1), F.lit(1)), at("m", i + 1)), F.lit(1))
+        return F.struct(F.length(gap).alias("gap"), value.alias("value"), before.alias("before"), after.alias("after"))
+
+    def step(place, p):
+        start = place + p["gap"]
         end = start + F.length(p["value"])
-        return F.struct(end.alias("at"), F.concat(acc["got"], F.array(F.struct(start.alias("start"), end.alias("end"), p["value"].alias("value")))).alias("got"))
+        return F.struct(end.alias("at"), F.struct(start.alias("start"), end.alias("end"), p["value"].alias("value"), p["before"].alias("before"), p["after"].alias("after")).alias("got"))
 
-    spans = F.aggregate(pairs, zero, step, lambda acc: acc["got"])
-    before = lambda s: F.substr(text, F.greatest(s["start"] - 39, F.lit(1)), F.least(s["start"], F.lit(40)))
-    full = F.transform(spans, lambda s: F.struct(s["start"], s["end"], s["value"], before(s).alias("before"), F.substr(text, s["end"] + 1, F.lit(1)).alias("after"), _valid(kind, s["value"]).alias("valid")))
+    items = F.when(F.size("m") > 0, F.transform(F.sequence(F.lit(1), F.size("m")), around)).otherwise(F.array())
+    spans = running(items, "struct<start:int,end:int,value:string,before:string,after:string>", step)
+    full = F.transform(spans, lambda s: F.struct(s["start"], s["end"], s["value"], s["before"], s["after"], _valid(kind, s["value"]).alias("valid")))
     return docs.withColumn(kind, F.when(F.size("m") > 0, full)).drop("m", "g")
 
 
 _SPAN = "start:int,end:int,value:string,before:string,after:string,valid:boolean"
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, cands) of docs(doc_id, text): all spans of all kinds, those of the base patterns with base = valid."""
-    out = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+def candidates(docs: DataFrame, name: str = "cands") -> DataFrame:
+    """docs(doc_id, text) with `name`: all spans of all kinds, those of the base patterns with base = valid."""
+    kept = docs.columns
+    whole = F.struct(*[F.col(c) for c in kept]).alias("doc")
+    out = docs.select(whole, F.coalesce("text", F.lit("")).alias("text"))
     for kind, (need, pattern) in {**BASE, **MORE}.items():
         out = _found(out, kind, need, pattern)
     empty = F.array().cast(f"array<struct<{_SPAN}>>")
@@ -141,7 +179,7 @@ def candidates(docs: DataFrame) -> DataFrame:
         base = lambda s: s["valid"] if kind in BASE else F.lit(False)
         return F.transform(F.coalesce(F.col(kind), empty), lambda s: F.struct(F.lit(kind).alias("kind"), *[s[x].alias(x) for x in fields], base(s).alias("base")))
 
-    return out.select("doc_id", F.concat(*map(named, KINDS)).alias("cands"))
+    return out.select(*[F.col("doc").getField(c).alias(c) for c in kept], F.concat(*map(named, KINDS)).alias(name))
 
 
 def _by_kind(kind: Column, make) -> Column:
@@ -164,9 +202,11 @@ def _votes(s: Column) -> Column:
         _by_kind(s["kind"], known).alias("known"),
         F.when(near.rlike(AGAINST), -1).otherwise(_by_kind(s["kind"], lambda k: F.when(near.rlike(NEAR[k]), 1).otherwise(0))).alias("near"),
         (-yes(edge)).alias("edge"),
-        yes(s["valid"]).alias("sum"),
+        F.when(s["kind"].isin(*UNCHECKED), 0).otherwise(yes(s["valid"])).alias("sum"),
         F.least(F.floor(F.length(value) / 8), F.lit(5)).cast("int").alias("long"),
         F.floor(digits * 4 / F.length(value)).cast("int").alias("digits"),
+        F.when(value.rlike(r"[0-9] [0-9]"), 1).when(value.rlike("[0-9]-[0-9]"), 2).when(value.rlike("[^A-Za-z0-9]"), 3).otherwise(0).alias("parts"),
+        F.when(s["before"].rlike(r"[:=#] ?$"), 2).when(s["before"].rlike(r"^$|[.!?\n] ?$"), 1).otherwise(0).alias("lead"),
     )
 
 
@@ -186,17 +226,17 @@ def fit_classifier(rows: list[tuple[list[str], float, int]], steps: int, rate: f
 
 
 def _features(row: dict) -> list[str]:
-    return ["bias", f"kind={row['kind']}", *(f"{v}={row[v]}" for v in VOTERS), f"long={row['long']}", f"digits={row['digits']}"]
+    return ["bias", f"kind={row['kind']}", *(f"{v}={row[v]}" for v in VOTERS), *(f"{v}={row[v]}" for v in SHAPES), *(f"{row['kind']}:{v}={row[v]}" for v in SHAPES)]
 
 
-def fit(cands: DataFrame, how: Supervision) -> dict[str, float]:
+def fit(cands: DataFrame, how: Supervision, name: str = "cands") -> dict[str, float]:
     """The span classifier's weights from the counts of all vote patterns of all documents.
 
-    A row for each pattern of kind, votes and length and digit classes comes to the driver: at most
-    8 * 3 ** 5 * 6 * 5 of them, whatever the input.
+    A row for each pattern of kind, votes and classes comes to the driver: at most 8 * 3 ** 5 * 6 * 5 * 4 * 3 of them,
+    whatever the input, and a few hundred as a rule.
     """
-    keys = ["kind", *VOTERS, "long", "digits"]
-    votes = cands.select(F.explode("cands").alias("s")).select(_votes(F.col("s")).alias("v")).groupBy("v").agg(F.count("*").alias("n"))
+    keys = ["kind", *VOTERS, *SHAPES]
+    votes = cands.select(F.explode(name).alias("s")).select(_votes(F.col("s")).alias("v")).groupBy("v").agg(F.count("*").alias("n"))
     rows = sorted((r.asDict() for r in votes.select(*[F.col(f"v.{k}").alias(k) for k in keys], "n").collect()), key=lambda r: [str(r[k]) for k in keys])
     if not rows:
         return {}
@@ -207,13 +247,29 @@ def fit(cands: DataFrame, how: Supervision) -> dict[str, float]:
 def _score(s: Column, weights: dict[str, float]) -> Column:
     table = F.create_map(*[F.lit(x) for k, w in weights.items() for x in (k, float(w))])
     vote = _votes(s)
-    names = ["kind", *VOTERS, "long", "digits"]
+    weight = lambda key: F.coalesce(F.element_at(table, key), F.lit(0.0))
     total = F.lit(float(weights.get("bias", 0.0)))
-    for name in names:
-        total = total + F.coalesce(F.element_at(table, F.concat(F.lit(f"{name}="), vote[name].cast("string"))), F.lit(0.0))
+    for name in ["kind", *VOTERS, *SHAPES]:
+        total = total + weight(F.concat(F.lit(f"{name}="), vote[name].cast("string")))
+    for name in SHAPES:
+        total = total + weight(F.concat(vote["kind"], F.lit(f":{name}="), vote[name].cast("string")))
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
+def _judged(docs: DataFrame, how: Supervision, name: str, *drop: str) -> DataFrame:
+    """docs, written without `drop`, with the spans of private_spans() in the column `name`."""
+    cands = materialize(candidates(docs, name).drop(*drop), "spans")
+    weights = fit(cands, how, name)
+    sure = F.filter(name, lambda s: s["base"])
+    apart = lambda s: ~F.exists(sure, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    more = F.filter(name, lambda s: ~s["base"] & (_score(s, weights) >= how.least) & apart(s)) if weights else F.filter(name, lambda s: F.lit(False))
+    slim = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base"))
+    place = F.array(*map(F.lit, KINDS))
+    rank = lambda s: F.array_position(place, s["kind"]).cast("int")
+    order = lambda a, b: F.when(a["kind"] != b["kind"], rank(a) - rank(b)).when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["end"] - b["end"])
+    return cands.withColumn(name, F.array_sort(F.concat(F.transform(sure, slim), F.transform(more, slim)), order))
+
+
 def private_spans(docs: DataFrame, how: Supervision | None = None) -> DataFrame:
     """(doc_id, spans) of every document of docs(doc_id, text): array of kind, start, end, base, in order of kind and start.
 
@@ -224,24 +280,9 @@ def private_spans(docs: DataFrame, how: Supervision | None = None) -> DataFrame:
     classifier. Positions are code points, the end exclusive.
 
     Null texts are empty and have no spans; equal matches repeat at their own positions; each row is judged by
-    itself where doc_ids repeat; an empty table gives an empty result; other columns are ignored.
+    itself, whatever its doc_id; an empty table gives an empty result; other columns are ignored.
     """
-    how = how or Supervision()
-    cands = materialize(candidates(docs), "spans")
-    weights = fit(cands, how)
-    base = F.filter("cands", lambda s: s["base"])
-    cands = cands.withColumn("sure", base)
-    if not weights:
-        more = F.filter("cands", lambda s: F.lit(False))
-    else:
-        apart = lambda s: ~F.exists("sure", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        more = F.filter("cands", lambda s: ~s["base"] & (_score(s, weights) >= how.least) & apart(s))
-    slim = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base"))
-    both = cands.select("doc_id", F.concat(F.transform("sure", slim), F.transform(more, slim)).alias("all"))
-    place = F.array(*map(F.lit, KINDS))
-    rank = lambda s: F.array_position(place, s["kind"]).cast("int")
-    order = lambda a, b: F.when(a["kind"] != b["kind"], rank(a) - rank(b)).when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["end"] - b["end"])
-    return both.select("doc_id", F.array_sort("all", order).alias("spans"))
+    return _judged(docs.select("doc_id", "text"), how or Supervision(), "spans", "text")
 
 
 def span_digests(found: DataFrame) -> DataFrame:
@@ -253,24 +294,39 @@ def span_digests(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
 
+#: Code points of a block of a text: a piece of it is cut from its blocks, so that a piece far from the start costs no more.
+BLOCK = 1024
+
+
+def _piece(blocks: Column, start: Column, end: Column) -> Column:
+    """The code points from start to end, exclusive, of a text in blocks."""
+    cut = lambda b: F.substr(F.element_at(blocks, (b + 1).cast("int")), F.greatest(start - b * BLOCK, F.lit(0)) + 1, F.least(end - b * BLOCK, F.lit(BLOCK)) - F.greatest(start - b * BLOCK, F.lit(0)))
+    numbers = F.sequence(F.floor(start / BLOCK).cast("int"), F.floor((end - 1) / BLOCK).cast("int"))
+    return F.when(end > start, F.array_join(F.transform(numbers, cut), "")).otherwise(F.lit(""))
+
+
 def redact(docs: DataFrame, how: Supervision | None = None) -> DataFrame:
     """docs with every span in the text replaced by its kind in brackets, and n_chars, if there, by the new length.
 
-    Where spans overlap, the first (then the longest) is replaced, and the rest of the others with it. doc_id must
-    identify a row.
+    Where spans overlap, the first (then the longest) is replaced, and the rest of the others with it. Each row is
+    judged and replaced by itself, whatever its doc_id; null texts stay null; an empty table gives an empty result.
     """
-    found = private_spans(docs, how).where("size(spans) > 0").withColumnRenamed("spans", "__spans")
-    first = F.array_sort("__spans", lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
-    text = F.col("text")
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc, s):
-        piece = F.array(F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-        new = s["start"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(new, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
-
-    made = F.aggregate(first, zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1, F.length(text))))
-    out = docs.join(found, "doc_id", "left").withColumn("text", F.when(F.col("__spans").isNotNull(), made).otherwise(text))
+    name = free_name(docs, "spans")
+    found, text = _judged(docs, how or Supervision(), name), F.col("text")
+    spans = F.array_sort(name, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
+
+    def step(place, s):
+        new = s["start"] >= place
+        gap = F.struct(F.when(new, place).alias("from"), s["start"].alias("start"), s["kind"].alias("kind"))
+        return F.struct(F.greatest(place, s["end"]).alias("at"), gap.alias("got"))
+
+    blocks, gaps, last = (free_name(found, c) for c in ("blocks", "gaps", "last"))
+    found = found.withColumn(blocks, F.when(F.size(name) > 0, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))))
+    found = found.withColumn(gaps, F.filter(running(spans, "struct<from:int,start:int,kind:string>", step), lambda g: g["from"].isNotNull()))
+    found = found.withColumn(last, F.array_max(F.transform(name, lambda s: s["end"])))
+    kept = F.transform(gaps, lambda g: F.concat(_piece(F.col(blocks), g["from"], g["start"]), F.lit("["), F.upper(g["kind"]), F.lit("]")))
+    made = F.concat(F.array_join(kept, ""), _piece(F.col(blocks), F.col(last), F.length(text)))
+    out = found.withColumn("text", F.when(F.size(name) > 0, made).otherwise(text))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size(name) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
