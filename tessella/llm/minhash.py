@@ -35,8 +35,8 @@ class Banding:
     least_agreeing: int = 68
     #: Heads of buckets, and neighbours within buckets, that a document is compared with first: those of most of its
     #: buckets. They only save comparisons; what they leave out is compared afterwards.
-    heads: int = 16
-    neighbours: int = 24
+    heads: int = 4
+    neighbours: int = 8
     #: Documents, and bytes of their sets, on either side of a block in which documents of several components are compared.
     block: int = 2048
     block_bytes: int = 64_000_000
