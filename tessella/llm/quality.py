@@ -8,12 +8,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
-from tessella.llm.shared import small_batches
+from tessella.llm.shared import free_name, materialize
 from tessella.llm.text import words_of
 from tessella.llm.weak import fit_reliabilities
 
@@ -28,13 +29,17 @@ PIECE = 40
 
 @dataclass(frozen=True)
 class Quality:
-    """sample: documents of the least hashes on which the scorer is trained; all documents count in the labelers' reliabilities."""
+    """sample: documents, of the least hashes, on which the scorer is trained; all documents count in the labelers' reliabilities.
+
+    span: words of a text among which variety is measured at a time: the mean over a text's spans is that of all its words.
+    """
 
     sample: int = 8000
     log2_features: int = 12  # 17 at most
     rounds: int = 60
     steps: int = 400
     least: float = 0.5
+    span: int = 2000
 
 
 class _Classes(dict):
@@ -89,10 +94,17 @@ class Reader:
     """Votes and hashed features of texts."""
 
     def __init__(self, how: Quality):
-        self.shapes, self.size = _Shapes(how.log2_features), 1 << how.log2_features
+        self.shapes, self.size, self.span = _Shapes(how.log2_features), 1 << how.log2_features, how.span
+
+    def variety(self, words: list[bytes]) -> float:
+        """The share of distinct words, a mean over even spans of about `span` words."""
+        n = len(words)
+        spans = max(1, round(n / self.span))
+        cuts = [n * i // spans for i in range(spans + 1)]
+        return sum(len(set(words[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)) / n
 
-    def read(self, text: str | None, features: bool = True) -> tuple[tuple[int, ...], np.ndarray | None, np.ndarray | None] | None:
-        """The labelers' votes and, if asked for, indices and square roots of the shares of the features; None for a text without words."""
+    def read(self, text: str | None) -> tuple[tuple[int, ...], np.ndarray, np.ndarray] | None:
+        """The labelers' votes, and indices and counts of the features; None for a text without words."""
         words = words_of(text)
         if not words:
             return None
@@ -104,7 +116,7 @@ class Reader:
         signs, capitals, stops = ((flags >> bit & 1).sum() / n for bit in range(3))
         letters = (codes >> 32).sum() / (codes >> 20 & 4095).sum()
         same = np.fromiter(map(operator.eq, words[1:], words), np.int64, n - 1)
-        repetition, variety = same.sum() / n, len(set(words)) / min(n, 2000)
+        repetition, variety = same.sum() / n, self.variety(words)
         few = n < 8
         votes = (
             _vote(signs, 0.02, 0.1),
@@ -114,70 +126,92 @@ class Reader:
             0 if few else 1 if variety >= 0.35 else -1 if variety < 0.2 else 0,
             0 if few else 1 if 0.03 <= stops <= 0.4 else -1 if stops < 0.01 or stops > 0.7 else 0,
         )
-        if not features:
-            return votes, None, None
         if long:
             same = np.fromiter(map(operator.eq, parts[1:], parts), np.int64, len(parts) - 1)
         shape = codes >> 3 & (self.size - 1)
         pair = (shape[1:] * 31 + shape[:-1] * 17 + same * 7 + 1) & (self.size - 1)
         counts = np.bincount(np.concatenate([shape, pair]), minlength=self.size)
         at = np.flatnonzero(counts)
-        return votes, at, np.sqrt(counts[at] / (2 * len(parts) - 1))
+        return votes, at, counts[at]
 
 
 @dataclass(frozen=True)
 class Scorer:
-    """posterior: of each vote pattern; weights and bias: of the linear scorer."""
+    """posterior: of each vote pattern; weights and bias: of the linear scorer over the square roots of the features' shares."""
 
     posterior: dict[tuple[int, ...], float]
     weights: np.ndarray
     bias: float
 
-    def score(self, at: np.ndarray, share: np.ndarray) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.weights[at] @ share + self.bias, -40, 40))))
+    def score(self, at: Column, counts: Column) -> Column:
+        weights = F.split(F.lit(",".join(map(repr, self.weights.tolist()))), ",").cast("array<double>")
+        products = F.zip_with(at, counts, lambda i, n: F.element_at(weights, i + 1) * F.sqrt(n.cast("double")))
+        total = F.aggregate(counts, F.lit(0).cast("long"), lambda acc, n: acc + n).cast("double")
+        logit = F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x) / F.sqrt(total) + self.bias
+        return F.when(at.isNotNull(), F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), logit)))))
+
+    def likely(self, marks: Column) -> Column:
+        """The posterior of votes written as +, 0 and -."""
+        if not self.posterior:
+            return F.lit(None).cast("double")
+        keys, values = (",".join(x) for x in zip(*((_marks(k), repr(float(p))) for k, p in self.posterior.items()), strict=True))
+        return F.element_at(F.map_from_arrays(F.split(F.lit(keys), ","), F.split(F.lit(values), ",").cast("array<double>")), marks)
 
 
-def vote_counts(docs: DataFrame, how: Quality) -> dict[tuple[int, ...], int]:
-    """How many documents have each vote pattern: 3 ** 6 rows at most come to the driver."""
+def _marks(votes) -> str:
+    return "".join("-0+"[v + 1] for v in votes)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader, counts = Reader(how), {}
-        for pdf in batches:
-            for text in pdf["text"]:
-                if (got := reader.read(text, features=False)) is not None:
-                    counts[got[0]] = counts.get(got[0], 0) + 1
-        yield pd.DataFrame([(list(k), n) for k, n in counts.items()], columns=["votes", "n"])
 
-    counted = docs.select("text").mapInPandas(run, "votes array<int>, n long").groupBy("votes").agg(F.sum("n").alias("n"))
-    with small_batches(docs.sparkSession):
-        rows = counted.collect()
-    return {tuple(r["votes"]): r["n"] for r in sorted(rows, key=lambda r: r["votes"])}
+@dataclass(frozen=True)
+class Names:
+    """Columns that read_documents() adds, with names that docs does not have."""
+
+    votes: str
+    at: str
+    counts: str
+
+
+def read_documents(docs: DataFrame, how: Quality, *drop: str) -> tuple[DataFrame, Names]:
+    """docs(text, ...), written without the columns `drop`, with the votes (+, 0, -) and features of each text, null without words: each text is read once."""
+    names = Names(*(free_name(docs, c) for c in ("votes", "at", "counts")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(how)
+        for batch in batches:
+            read = [reader.read(text) or (None, None, None) for text in batch.column("text").to_pylist()]
+            votes = pa.array([x[0] and _marks(x[0]) for x in read], pa.string())
+            at, counts = (pa.array([x[i] for x in read], pa.list_(pa.int32())) for i in (1, 2))
+            yield pa.RecordBatch.from_arrays([*batch.columns, votes, at, counts], names=[*batch.schema.names, names.votes, names.at, names.counts])
 
+    more = DataType.fromDDL(f"`{names.votes}` string, `{names.at}` array<int>, `{names.counts}` array<int>")
+    schema = StructType([*docs.schema.fields, *more.fields])
+    return materialize(docs.mapInArrow(run, schema).drop(*drop), "read"), names
 
-def fit(docs: DataFrame, how: Quality) -> Scorer:
-    """Estimate the labelers' reliabilities over all documents, and train the scorer on the posteriors of a sample."""
-    counts = vote_counts(docs, how)
-    if not counts:
+
+def fit(read: DataFrame, names: Names, how: Quality) -> Scorer:
+    """Estimate the labelers' reliabilities over all rows of read_documents(), and train the scorer on the posteriors of a sample.
+
+    Of vote patterns, 3 ** 6 rows at most come to the driver; of features, `how.sample` rows of the least hashes.
+    """
+    read = read.select("doc_id", *(F.col(c).alias(n) for c, n in ((names.votes, "votes"), (names.at, "at"), (names.counts, "counts")))).where("votes is not null")
+    read = read.withColumn("h", F.xxhash64("doc_id", "at", "counts"))
+    rows = read.groupBy("votes").agg(F.count("*").alias("n")).collect()
+    if not rows:
         return Scorer({}, np.zeros(1 << how.log2_features), 0.0)
+    counts = {tuple("-0+".index(v) - 1 for v in r["votes"]): r["n"] for r in sorted(rows, key=lambda r: r["votes"])}
     doubt = [0.2 if min(votes) < 0 else 0.9 for votes in counts]  # any vote against speaks against a document at first
     post, _ = fit_reliabilities([("document", votes, n) for votes, n in counts.items()], how.rounds, doubt, silent=True)
     posterior = dict(zip(counts, post, strict=True))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader(how)
-        for pdf in batches:
-            read = [x for x in map(reader.read, pdf["text"]) if x is not None]
-            yield pd.DataFrame({"p": [posterior.get(x[0], 0.5) for x in read], "at": [x[1] for x in read], "share": [x[2] for x in read]})
-
-    chosen = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(how.sample).distinct()
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text").mapInPandas(run, "p double, at array<int>, share array<double>")
-    with small_batches(docs.sparkSession):
-        rows = rows.collect()
-    p = np.array([r["p"] for r in rows])
-    row = np.repeat(np.arange(len(rows)), [len(r["at"]) for r in rows])
-    at, share = (np.concatenate([r[c] for r in rows]) for c in ("at", "share"))
-    order = np.lexsort((at, p[row]))  # the same sums whatever the order of the rows
-    row, at, share = row[order], at[order].astype(np.int64), share[order]
+    last = read.select("h").orderBy("h").limit(how.sample).agg(F.max("h")).first()[0]
+    rows = read.where(F.col("h") <= last).orderBy("h").limit(how.sample).select("votes", "at", "counts").collect()
+    rows = [(tuple("-0+".index(v) - 1 for v in r["votes"]), np.array(r["at"], np.int64), np.array(r["counts"])) for r in rows]
+    p = np.array([posterior[votes] for votes, _, _ in rows])
+    row = np.repeat(np.arange(len(rows)), [len(at) for _, at, _ in rows])
+    at = np.concatenate([x for _, x, _ in rows])
+    share = np.concatenate([np.sqrt(x / x.sum()) for _, _, x in rows])
+    order = np.lexsort((share, at, p[row]))  # the same sums whatever the order of the rows
+    row, at, share = row[order], at[order], share[order]
     # The bias is the last weight; gradient descent with momentum.
     row = np.concatenate([row, np.arange(len(rows))])
     at, share = np.concatenate([at, np.full(len(rows), 1 << how.log2_features)]), np.concatenate([share, np.ones(len(rows))])
@@ -191,21 +225,6 @@ def fit(docs: DataFrame, how: Quality) -> Scorer:
     return Scorer(posterior, weights, bias)
 
 
-def _each(docs: DataFrame, how: Quality, scorer: Scorer, make, schema) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(scorer)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader, model = Reader(how), shared.value
-        for pdf in batches:
-            out = []
-            for text in pdf["text"]:
-                got = reader.read(text)
-                out.append((None, 0.0, 0.0) if got is None else ("".join("-0+"[v + 1] for v in got[0]), model.posterior.get(got[0], 0.5), model.score(*got[1:])))
-            yield make(pdf, pd.DataFrame(out, columns=["votes", "posterior", "score"], index=pdf.index))
-
-    return docs.mapInPandas(run, schema)
-
-
 def quality_scores(docs: DataFrame, how: Quality | None = None) -> DataFrame:
     """(doc_id, votes, posterior, score, kept) of every document of docs(doc_id, text).
 
@@ -213,21 +232,22 @@ def quality_scores(docs: DataFrame, how: Quality | None = None) -> DataFrame:
     words that repeat the one before, variety, and share of words that end in a stop. Expectation-maximisation over all documents
     estimates how reliable each is; the posteriors label a bounded sample, on which a linear scorer over hashed word
     shapes and pairs of them is trained; it scores all. Words of more than PIECE characters are scored by all their pieces. kept: the score is `how.least` or more. votes has +, 0 or -
-    of each labeler.
+    of each labeler. Texts are read once: a table of the shared folder keeps their votes and features.
 
-    Null, empty and wordless texts have null votes and the score 0, and are rejected. Rows are judged by themselves,
-    so repeated rows and ids give equal values; an empty table gives an empty result; other columns are ignored.
+    Null, empty and wordless texts have null votes and posterior and the score 0, and are rejected. Rows are judged by themselves,
+    so repeated rows and ids give equal values, and null ids stay null; an empty table gives an empty result; other
+    columns are ignored.
     """
     how = how or Quality()
-    docs = docs.select("doc_id", "text")
-
-    def make(pdf: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"doc_id": pdf["doc_id"], "votes": got["votes"], "posterior": got["posterior"].round(6), "score": got["score"].round(6), "kept": got["score"] >= how.least})
-
-    return _each(docs, how, fit(docs, how), make, "doc_id long, votes string, posterior double, score double, kept boolean")
+    read, names = read_documents(docs.select("doc_id", "text"), how, "text")
+    scorer = fit(read, names, how)
+    score = F.coalesce(scorer.score(F.col(names.at), F.col(names.counts)), F.lit(0.0))
+    return read.select("doc_id", names.votes, F.round(scorer.likely(F.col(names.votes)), 6).alias("posterior"), F.round(score, 6).alias("score"), (F.col(names.votes).isNotNull() & (score >= how.least)).alias("kept"))
 
 
 def good_documents(docs: DataFrame, how: Quality | None = None) -> DataFrame:
-    """The rows of docs whose text quality_scores() keeps, with all columns."""
+    """The rows of docs whose text quality_scores() keeps, with all columns. Each row is judged by itself."""
     how = how or Quality()
-    return _each(docs, how, fit(docs, how), lambda pdf, got: pdf[got["score"] >= how.least], docs.schema)
+    read, names = read_documents(docs, how)
+    score = fit(read, names, how).score(F.col(names.at), F.col(names.counts))
+    return read.where(F.col(names.votes).isNotNull() & (score >= how.least)).select(*docs.columns)

@@ -1,8 +1,10 @@
 import hashlib
+import math
 import re
 import zlib
 
 import numpy as np
+import xxhash
 
 from tessella.llm import decontaminate, langid, pii, quality
 from tessella.llm.weak import fit_reliabilities
@@ -124,6 +126,82 @@ def test_all_of_a_long_word_counts():
     assert len({str(features(start + rest)) for rest in ("", "=" * 40, "b" * 80 + "=" * 40, "Zz9" * 3000)}) == 4
 
 
+def test_variety_is_of_whole_texts():
+    reader = quality.Reader(quality.Quality(span=100))
+    fresh = [b"%d" % i for i in range(1000)]
+    assert reader.variety(fresh) == 1 and reader.variety(fresh[:10] * 100) == 0.1
+    assert abs(reader.variety(fresh[:500] + [b"x"] * 500) - 0.505) < 1e-9  # what follows counts as much as what leads
+
+
+def brute_quality(docs, how):
+    """Votes by their definitions, expectation-maximisation over documents one by one, and the scorer by dense arrays."""
+    def shape(word):
+        kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
+        return kinds, re.sub(r"(.)\1+", r"\1", kinds)
+
+    size, read = 1 << how.log2_features, []
+    for _, text in docs:
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        if not words:
+            read.append(None)
+            continue
+        n = len(words)
+        parts = [w[i : i + 40] for w in words for i in range(0, len(w), 40)]
+        kinds, shapes = zip(*map(shape, parts), strict=True)
+        signs = sum(bool(re.search(r"[%&$#*|@=<>{}\\^~_]|!!|\?\?", w)) for w in words) / n
+        letters = sum(c in "aA0" for k in kinds for c in k) / sum(map(len, parts))
+        capitals = sum(len(w) > 1 and w.isupper() for w in words) / n
+        stops = sum(w[-1] in ".,;:!?" for w in words) / n
+        repetition = sum(a == b for a, b in zip(words, words[1:])) / n
+        k = max(1, round(n / how.span))
+        variety = sum(len(set(words[n * i // k : n * (i + 1) // k])) for i in range(k)) / n
+        two = lambda x, good, bad: 1 if x <= good else -1 if x >= bad else 0
+        few = n < 8
+        votes = (two(signs, 0.02, 0.1), 0 if few else 1 if letters >= 0.93 else -1 if letters < 0.9 else 0, two(capitals, 0.2, 0.5), two(repetition, 0.05, 0.15),
+                 0 if few else 1 if variety >= 0.35 else -1 if variety < 0.2 else 0, 0 if few else 1 if 0.03 <= stops <= 0.4 else -1 if stops < 0.01 or stops > 0.7 else 0)
+        hashed = [xxhash.xxh3_64_intdigest(s.encode()) % size for s in shapes]
+        x = np.zeros(size)
+        for h in hashed:
+            x[h] += 1
+        for i in range(1, len(parts)):
+            x[(hashed[i] * 31 + hashed[i - 1] * 17 + (parts[i] == parts[i - 1]) * 7 + 1) % size] += 1
+        read.append((votes, np.sqrt(x / x.sum())))
+    known = [r for r in read if r]
+    post = [0.2 if min(v) < 0 else 0.9 for v, _ in known]
+    for _ in range(how.rounds):
+        prior = (1 + sum(post)) / (2 + len(post))
+        odds = [math.log(prior / (1 - prior))] * len(post)
+        for j in range(6):
+            given = {}
+            for c in (0, 1):
+                mass = {v: 1 + sum((p if c else 1 - p) for p, (votes, _) in zip(post, known) if votes[j] == v) for v in (-1, 1)}
+                given[c] = {v: m / sum(mass.values()) for v, m in mass.items()}
+            odds = [o + (math.log(given[1][votes[j]] / given[0][votes[j]]) if votes[j] else 0) for o, (votes, _) in zip(odds, known)]
+        post = [1 / (1 + math.exp(-max(-40, min(40, o)))) for o in odds]
+    x, p = np.stack([r[1] for r in known] ), np.array(post)
+    x = np.column_stack([x, np.ones(len(p))])
+    w, pace = np.zeros(x.shape[1]), np.zeros(x.shape[1])
+    for _ in range(how.steps):
+        error = (1 / (1 + np.exp(-np.clip(x @ w, -40, 40))) - p) / len(p)
+        pace = 0.9 * pace - 3 * (x.T @ error + 1e-6 * w)
+        w += pace
+    scores, at = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40))), iter(range(len(known)))
+    return [(None, None, 0.0) if r is None else ("".join("-0+"[v + 1] for v in r[0]), post[i := next(at)], scores[i]) for r in read]
+
+
+def test_quality_matches_brute_force(spark, sf, odd_rows):
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()] + [(10_000 + i, r[1]) for i, r in enumerate(odd_rows)] + [(2**60 + 1, "a few plain words"), (None, "### $$$ %%%")]
+    how = quality.Quality()
+    got = {(r["doc_id"], i): r for i, r in enumerate(sorted(quality.quality_scores(spark.createDataFrame(docs, "doc_id long, text string")).collect(), key=lambda r: str(r["doc_id"])))}
+    order = sorted(range(len(docs)), key=lambda i: str(docs[i][0]))
+    want = brute_quality(docs, how)
+    for (doc_id, _), r, i in zip(got, got.values(), order, strict=True):
+        votes, posterior, score = want[i]
+        assert doc_id == docs[i][0] and r["votes"] == votes
+        assert r["posterior"] is posterior is None or abs(r["posterior"] - posterior) < 1e-5
+        assert abs(r["score"] - score) < 1e-5 and r["kept"] == (votes is not None and score >= how.least)
+
+
 def brute_tiles(pattern, text, least):
     """Greedy string tiling by comparing every pair of positions."""
     p_free, t_free, out = [True] * len(pattern), [True] * len(text), 0
