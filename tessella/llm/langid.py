@@ -10,17 +10,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.shared import small_batches
+from tessella.llm.shared import map_frames, small_batches, type_of
 
 
 @dataclass(frozen=True)
 class Languages:
-    """sample: labelled documents of the least hashes that are learned from. centroids: of each language.
+    """sample: labelled documents of each language, about, that its centroids are learned from, all where it has fewer. centroids: of each language.
 
     reject: times the lower percentile of the sample's similarities to their nearest centroids; predictions below are marked.
     """
 
-    sample: int = 3000
+    sample: int = 1000
     centroids: int = 3
     log2_features: int = 12
     rounds: int = 10
@@ -65,8 +65,37 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
+def document_frequencies(docs: DataFrame, how: Languages) -> tuple[int, np.ndarray]:
+    """How many of docs(text) have a letter, and how many of these have each feature: each task sends one row of sums."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, found = 0, np.zeros(1 << how.log2_features, np.int64)
+        for pdf in batches:
+            for text in pdf["text"]:
+                if has_letter(text):
+                    n += 1
+                    found += ngram_counts(text, how) > 0
+        at = np.flatnonzero(found)
+        yield pd.DataFrame({"at": np.append(at, -1), "n": np.append(found[at], n)})
+
+    with small_batches(docs.sparkSession):
+        rows = docs.select("text").mapInPandas(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    out, total = np.zeros(1 << how.log2_features), 0
+    for r in rows:
+        if r["at"] < 0:
+            total = r["n"]
+        else:
+            out[r["at"]] = r["n"]
+    return total, out
+
+
 def fit(docs: DataFrame, how: Languages) -> Model | None:
-    """Learn from docs(doc_id, text, lang) without null texts and langs: a bounded sample's TF-IDF vectors, clustered for each language."""
+    """Learn from docs(doc_id, text, lang) without null texts and langs.
+
+    Document frequencies are of all of them. Of each language, documents are drawn by a hash, each with a probability
+    that gives about `how.sample`, and their TF-IDF vectors are clustered; so a rare language is learned as well. What
+    comes to the driver grows with the number of languages alone.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -78,17 +107,20 @@ def fit(docs: DataFrame, how: Languages) -> Model | None:
                     rows.append((lang, at.astype(np.int32), counts[at]))
             yield pd.DataFrame(rows, columns=["lang", "at", "n"])
 
-    chosen = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(how.sample).distinct()
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("lang", "text").mapInPandas(run, "lang string, at array<int>, n array<long>")
+    shares = docs.groupBy("lang").agg((F.lit(float(how.sample)) / F.count("*")).alias("share"))
+    drawn = (F.xxhash64("doc_id", "text").bitwiseAND(F.lit(2**52 - 1)) / float(2**52)) < F.col("share")
+    chosen = docs.join(F.broadcast(shares), "lang").where(drawn)
+    rows = chosen.select("lang", "text").mapInPandas(run, "lang string, at array<int>, n array<long>")
     with small_batches(docs.sparkSession):
         rows = rows.collect()
     if not rows:
         return None
+    total, found = document_frequencies(docs, how)
     rows.sort(key=lambda r: (r["lang"], r["at"], r["n"]))
     x = np.zeros((len(rows), 1 << how.log2_features), np.float32)
     for i, r in enumerate(rows):
         x[i, r["at"]] = r["n"]
-    idf = (np.log((1 + len(rows)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
+    idf = (np.log((1 + total) / (1 + found)) + 1).astype(np.float32)
     x = np.sqrt(x) * idf
     x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
     langs = np.array([r["lang"] for r in rows])
@@ -124,8 +156,8 @@ def languages(docs: DataFrame, how: Languages | None = None) -> DataFrame:
     nearest centroid is too large to trust, by the distances in the sample; lang_pred is still the nearest one's.
 
     A null text, or one without a letter, is `und` with the score 0, and so is all text if nothing can be learned. A
-    null doc_id is learned from and not held out. Rows are judged by themselves; equal similarities go to the language
-    that sorts first; an empty table gives an empty result; other columns are ignored.
+    null doc_id is learned from and not held out. Rows are judged by themselves, whatever their doc_id; equal
+    similarities go to the language that sorts first; an empty table gives an empty result; other columns are ignored.
     """
     how = how or Languages()
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -146,4 +178,4 @@ def languages(docs: DataFrame, how: Languages | None = None) -> DataFrame:
             got = pd.DataFrame(out, columns=["lang_pred", "score", "rejected"], index=pdf.index)
             yield pd.concat([pdf[["doc_id", "held_out"]], got], axis=1)
 
-    return docs.select("doc_id", "text", "held_out").mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    return map_frames(docs.select("doc_id", "text", "held_out"), run, f"doc_id {type_of(docs, 'doc_id')}, held_out boolean, lang_pred string, score double, rejected boolean")

@@ -302,3 +302,73 @@ def test_languages_do_not_depend_on_the_labels_of_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     other = docs.selectExpr("doc_id", "text", "case when crc32(cast(doc_id as string)) % 3 = 1 then 'zz' else lang end as lang")
     assert sorted(map(tuple, langid.languages(docs).collect())) == sorted(map(tuple, langid.languages(other).collect()))
+
+
+def brute_languages(docs, how):
+    """The model learned and applied text by text: n-grams as byte strings, dense vectors, the same draw of documents left out by learning from all."""
+    def vector(text):
+        data = (" " + " ".join(re.sub(r"[\x20\x09-\x0D]+", " ", text.lower()).split(" ")).strip(" ") + " ").encode()
+        x = np.zeros(1 << how.log2_features)
+        for n, salt in ((1, 0x9E3779B1), (2, 0x85EBCA77), (3, 0xC2B2AE3D)):
+            for i in range(len(data) - n + 1):
+                x[((int.from_bytes(data[i : i + n], "little") + n) * salt % 2**32) >> (32 - how.log2_features)] += 1
+        return x
+
+    usable = lambda t: t is not None and any(c.isalpha() for c in t)
+    counts = {i: vector(t) for i, (_, t, _) in enumerate(docs) if usable(t)}
+    learn = [i for i in counts if docs[i][2] is not None and (docs[i][0] is None or zlib.crc32(str(docs[i][0]).encode()) % 3 != 1)]
+    idf = np.log((1 + len(learn)) / (1 + sum((counts[i] > 0).astype(int) for i in learn))) + 1
+    unit = lambda x: x / np.sqrt(x @ x)
+    x = {i: unit(np.sqrt(c) * idf) for i, c in counts.items()}
+    centres = []
+    for lang in sorted({docs[i][2] for i in learn}):
+        own = np.stack([x[i] for i in learn if docs[i][2] == lang])
+        c = [own[np.argmax(own @ own.mean(axis=0))]]
+        while len(c) < min(how.centroids, len(own)):
+            c.append(own[np.argmin(np.max([own @ k for k in c], axis=0))])
+        for _ in range(how.rounds):
+            near = np.argmax([own @ k for k in c], axis=0)
+            c = [unit(own[near == k].sum(axis=0)) if (near == k).any() else c[k] for k in range(len(c))]
+        centres += [(lang, k) for k in c]
+    out = []
+    for i in range(len(docs)):
+        if i not in x:
+            out.append(("und", 0.0))
+        else:
+            sims = [float(k @ x[i]) for _, k in centres]
+            out.append((centres[int(np.argmax(sims))][0], max(sims)))
+    return out
+
+
+def test_languages_match_brute_force(spark, sf, odd_rows):
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    docs = [d for d in docs if d[1] is None or len(d[1]) < 3000] + [(10_000 + i, r[1], r[2]) for i, r in enumerate(odd_rows) if len(r[1] or "") < 3000] + [(2**60 + 1, "eine seltene Sprache", "xx"), (None, "une autre phrase", None)]
+    how = langid.Languages(sample=100_000)
+    got = langid.languages(spark.createDataFrame(docs, "doc_id long, text string, lang string"), how).collect()
+    want = brute_languages(docs, how)
+    key = lambda r: (str(r[0]), r[1])
+    pairs = zip(sorted(((r["doc_id"], r["lang_pred"], r["score"]) for r in got), key=key), sorted(((d[0], *w) for d, w in zip(docs, want)), key=key), strict=True)
+    for a, b in pairs:
+        assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-3
+
+
+def test_a_rare_language_is_learned(spark):
+    rng = np.random.default_rng(6)
+    common = lambda: " ".join(rng.choice(["the", "river", "of", "stone", "and", "light", "under", "water"], 30))
+    rare = lambda: " ".join(rng.choice(["żółw", "ślimak", "gęś", "źrebię", "łoś", "dąb"], 30))
+    rows = [(i, common(), "en") for i in range(3000)] + [(5000 + i, rare(), "pl") for i in range(9)]
+    got = langid.languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), langid.Languages(sample=50)).where("doc_id >= 5000").collect()
+    assert {r["lang_pred"] for r in got} == {"pl"}
+
+
+def test_ids_beside_nulls_stay_whole(spark):
+    rows = [(2**60 + 1, "some plain words of a text, as they come.", "en"), (None, "mehr Worte eines Textes, wie sie kommen.", "de"), (5, "x y z", "en")]
+    docs = spark.createDataFrame([(*r, 2**60 + 3, None) for r in rows] + [(None, None, None, None, 2**60 + 5)], "doc_id long, text string, lang string, votes long, at long").coalesce(1)
+    items = spark.createDataFrame([(2**60 + 7, "x y z")], "item_id long, text string")
+    ids = [2**60 + 1, 5, None, None]
+    for made in (langid.languages(docs), quality.quality_scores(docs), decontaminate.decontamination(docs, items), pii.private_spans(docs)):
+        assert sorted((r["doc_id"] for r in made.collect()), key=str) == sorted(ids, key=str)
+    for made in (quality.good_documents(docs, quality.Quality(least=0.0)), decontaminate.clean_documents(docs, items), pii.redact(docs)):
+        assert made.schema == docs.schema
+        got = {(r["doc_id"], r["votes"], r["at"]) for r in made.collect()}
+        assert (2**60 + 1, 2**60 + 3, None) in got and (None, 2**60 + 3, None) in got
