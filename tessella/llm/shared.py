@@ -85,7 +85,7 @@ def map_frames(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[p
 
     def arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for out in run(_frame(b) for b in batches):
-            yield pa.RecordBatch.from_pandas(out, schema=made, preserve_index=False)
+            yield from pa.Table.from_pandas(out, schema=made, preserve_index=False).to_batches()
 
     return df.mapInArrow(arrow, schema)
 

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import BinaryIO
 
 import pandas as pd
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.shared import join_by_class, materialize, new_path
+from tessella.llm.shared import delete, discard, join_by_class, map_frames, materialize, new_path
 
 #: Names of the fields of a record's header line, of each version of the format.
 ARC_FIELDS = {
@@ -23,54 +27,110 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-dig
 
 @dataclass(frozen=True)
 class Archive:
-    """date: of the captures, 14 digits. records: in a file. least: bytes from which equal payloads are told apart."""
+    """date: of the captures, 14 digits. bytes: compressed, from which a file is closed. least: bytes from which equal payloads are told apart."""
 
     date: str = "20240101000000"
-    records: int = 4096
+    bytes: int = 64_000_000
     least: int = 100
+    level: int = 5
+    #: Bytes of payloads that a reader hands on at once.
+    at_once: int = 8_000_000
 
 
-def write_arc(pages: DataFrame, path: str, archive: Archive) -> None:
-    """Write a record of each row of pages(page_id, url, html) into gzipped ARC files, of version 1 and 2 by turns of partitions.
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with its scheme, as Arrow's file systems (local, HDFS, S3, GCS) open it on any machine."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return str(where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString())
 
-    A record's document is a stored HTTP response; its header carries the page_id. Each file starts with a version
-    block, which is a row of the writer like a record, so that files roll exactly where a new block stands.
+
+def _write(values: DataFrame, path: str, ending: str, heads: dict[int, bytes], end: bytes, archive: Archive) -> DataFrame:
+    """Write values(version, value) into files of one gzip member for each record, and return the table of their names.
+
+    Each file starts with the head of its version. A file is named for the attempt that writes it, and only files of
+    attempts that ended well are in the table, which is written last; so a lost executor leaves none that are read.
+    """
+    root = qualified(values.sparkSession, path)
+    member = lambda data: (made := zlib.compressobj(archive.level, zlib.DEFLATED, 31)).compress(data) + made.flush()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = pyarrow.fs.FileSystem.from_uri(root)
+        fs.create_dir(base, recursive=True)
+        attempt, file, done, size = uuid.uuid4().hex, None, [], 0
+        for pdf in batches:
+            for version, value in zip(pdf["version"], pdf["value"], strict=True):
+                if file is None:
+                    done.append(f"{root}/{attempt}-{len(done):05d}{ending}")
+                    file, size = fs.open_output_stream(f"{base}/{done[-1].rpartition('/')[2]}", compression=None), 0
+                    file.write(member(heads[version]))
+                data = member(value.encode() + end)
+                file.write(data)
+                size += len(data)
+                if size >= archive.bytes:
+                    file.close()
+                    file = None
+        if file is not None:
+            file.close()
+        yield pd.DataFrame({"path": done})
+
+    return materialize(map_frames(values.select("version", "value"), run, "path string"), "files")
+
+
+def _each_file(files: DataFrame, read, schema: str, archive: Archive) -> DataFrame:
+    """The rows that read(stream) gives, with the bytes that each holds, of every file; a task holds a record and a batch at a time."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path in pdf["path"]:
+                fs, at = pyarrow.fs.FileSystem.from_uri(path)
+                out, held = [], 0
+                with fs.open_input_stream(at, compression=None) as raw, gzip.GzipFile(fileobj=raw) as stream:
+                    for row, size in read(stream):
+                        out.append(row)
+                        held += size
+                        if held >= archive.at_once or len(out) >= 5000:
+                            yield pd.DataFrame(out, columns=names, dtype=object)
+                            out, held = [], 0
+                yield pd.DataFrame(out, columns=names, dtype=object)
+
+    tasks = max(1, min(files.count(), 10_000))
+    return map_frames(files.repartition(tasks, "path"), run, schema)
+
+
+def write_arc(pages: DataFrame, path: str, archive: Archive) -> DataFrame:
+    """Write a record of each row of pages(page_id, url, html) into ARC files, of version 1 and 2 by turns of partitions; their names.
+
+    A record's document is a stored HTTP response; its header carries the page_id. Each file starts with a version block.
     """
     html = F.coalesce("html", F.lit(""))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("\r\nContent-Length: "), F.octet_length(html).cast("string"), F.lit("\r\n\r\n"))
     url = F.regexp_replace(F.coalesce("url", F.lit("http://unknown.invalid/")), r"[\x00-\x20\x7f]", "%20")
-    rows = pages.select(url.alias("url"), http.alias("http"), html.alias("html"), (F.spark_partition_id() % 2 + 1).alias("version"), F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1)).alias("n"))
+    rows = pages.select(url.alias("url"), http.alias("http"), html.alias("html"), (F.spark_partition_id() % 2 + 1).alias("version"))
     length = (F.octet_length("http") + F.octet_length("html")).cast("string")
     line = F.concat_ws(" ", "url", F.lit("0.0.0.0"), F.lit(archive.date), F.lit("text/html"), F.when(F.col("version") == 2, F.lit("200 - - 0 -")), length)
-    record = F.concat(line, F.lit("\n"), "http", "html")
+    values = rows.select("version", F.concat(line, F.lit("\n"), "http", "html").alias("value"))
     blocks = {v: f"{v} 0 tessella\n{names}\n" for v, names in ARC_FIELDS.items()}
-    opened = {v: f"filedesc://tessella.arc 0.0.0.0 {archive.date} text/plain {'200 - - 0 - ' if v == 2 else ''}{len(b)}\n{b}" for v, b in blocks.items()}
-    first = F.when(F.col("version") == 1, F.lit(opened[1])).otherwise(F.lit(opened[2]))
-    values = rows.select(F.explode(F.when(F.col("n") % (archive.records - 1) == 0, F.array(first, record)).otherwise(F.array(record))).alias("value"))
-    values.write.option("compression", "gzip").option("lineSep", "\n").option("maxRecordsPerFile", archive.records).text(path)
+    heads = {v: f"filedesc://tessella.arc 0.0.0.0 {archive.date} text/plain {'200 - - 0 - ' if v == 2 else ''}{len(b)}\n{b}\n".encode() for v, b in blocks.items()}
+    return _write(values, path, ".arc.gz", heads, b"\n", archive)
 
 
-def arc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+def arc_records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
     """(fields, document) of each record of an ARC file but the version block, whose definition line names the fields.
 
     A header line is divided from its right end, by the number of fields that the version has; the document is as
     long as the line declares, whatever it contains. Raises ValueError at a broken line or a short document.
     """
-    at, names = 0, None
-    while True:
-        while data[at : at + 1] in (b"\n", b"\r"):
-            at += 1
-        if at >= len(data):
-            return
-        end = data.find(b"\n", at)
-        if end < 0:
-            raise ValueError(f"ARC header line without an end at {at}")
-        line = data[at:end].rstrip(b"\r").decode("utf-8", "replace")
+    names = None
+    while line := stream.readline():
+        if line in (b"\n", b"\r\n"):
+            continue
+        if not line.endswith(b"\n"):
+            raise ValueError("ARC header line without an end")
+        line = line.rstrip(b"\r\n").decode("utf-8", "replace")
         length = int(line.rpartition(" ")[2])
-        document = data[end + 1 : end + 1 + length]
+        document = stream.read(length)
         if len(document) < length:
-            raise ValueError(f"ARC record at {at} declares {length} bytes and has {len(document)}")
-        at = end + 1 + length
+            raise ValueError(f"ARC record declares {length} bytes and has {len(document)}: {line[:200]}")
         if names is None:
             names = document.split(b"\n")[1].decode().split()
             if int(document.split(b" ")[0]) not in ARC_FIELDS or names[-1] != "Archive-length":
@@ -96,21 +156,16 @@ def _number(text: str | None) -> int | None:
     return int(text) if text else None
 
 
-def read_arc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """(page_id, url, ip, date, content_type, digest, n, http, payload) of each record of the gzipped ARC files below path."""
+def read_arc(files: DataFrame, archive: Archive, payload: bool = True) -> DataFrame:
+    """(page_id, url, ip, date, content_type, digest, n, http, payload) of each record of the ARC files(path)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for content in pdf["content"]:
-                out = []
-                for f, document in arc_records(zlib.decompress(content, 31)):
-                    fields, head, body = http_parts(document)
-                    out.append((_number(fields.get("x-page-id")), f["URL"], f["IP-address"], f["Archive-date"], f["Content-type"], hashlib.sha256(body).hexdigest(), len(body), *((head.decode(), body.decode()) if payload else (None, None))))
-                made = pd.DataFrame(out, columns=["page_id", "url", "ip", "date", "content_type", "digest", "n", "http", "payload"])
-                yield made.astype({"page_id": "Int64"})
+    def read(stream: BinaryIO) -> Iterator[tuple[tuple, int]]:
+        for f, document in arc_records(stream):
+            fields, head, body = http_parts(document)
+            row = (_number(fields.get("x-page-id")), f["URL"], f["IP-address"], f["Archive-date"], f["Content-type"], hashlib.sha256(body).hexdigest(), len(body))
+            yield row + ((head.decode(), body.decode()) if payload else (None, None)), len(body) if payload else 0
 
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInPandas(run, "page_id long, url string, ip string, date string, content_type string, digest string, n long, http string, payload string")
+    return _each_file(files, read, "page_id long, url string, ip string, date string, content_type string, digest string, n long, http string, payload string", archive)
 
 
 def _urn(page_id: Column, digest: Column) -> Column:
@@ -144,74 +199,81 @@ def warc_values(records: DataFrame) -> DataFrame:
     return records.withColumn("block", block).select(F.concat(lines, "block").alias("value"))
 
 
-def convert(spark: SparkSession, arc_path: str, warc_path: str, archive: Archive) -> None:
-    """Convert the ARC files below arc_path to WARC files below warc_path.
+def warcinfo(archive: Archive) -> bytes:
+    """The record at the start of each WARC file: its software and format."""
+    body = b"software: tessella\r\nformat: WARC File Format 1.0\r\n"
+    d = archive.date
+    date = f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
+    return f"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, 'tessella ' + d)}>\r\nWARC-Date: {date}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+
+
+def convert(arc: DataFrame, warc_path: str, archive: Archive) -> DataFrame:
+    """Convert the ARC files arc(path) to WARC files below warc_path; their names.
 
     Identifiers come from page and payload, timestamps from the 14 digits, types from the comparison of digests, and
     digests from the payloads. Of equal payloads of `archive.least` bytes or more, the record of the smallest page_id
     is a response and the others are revisits of it; only digests are grouped.
     """
-    small = read_arc(spark, arc_path, payload=False).select("page_id", "digest", "n")
+    small = read_arc(arc, archive, payload=False).select("page_id", "digest", "n")
     first = materialize(small.groupBy("digest", F.col("n").alias("bytes")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")), "payloads")
     total = first.agg(F.sum("n")).first()[0] or 0
-    first = first.where((F.col("bytes") >= archive.least) & (F.col("n") > 1)).select("digest", "first", "n")
-    records = join_by_class(read_arc(spark, arc_path).withColumnRenamed("n", "bytes"), first, ["digest"], total).withColumnRenamed("bytes", "n")
-    warc_values(records).write.option("compression", "gzip").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", archive.records).text(warc_path)
+    several = first.where((F.col("bytes") >= archive.least) & (F.col("n") > 1)).select("digest", "first", "n")
+    records = join_by_class(read_arc(arc, archive).withColumnRenamed("n", "bytes"), several, ["digest"], total).withColumnRenamed("bytes", "n")
+    files = _write(warc_values(records).withColumn("version", F.lit(1)), warc_path, ".warc.gz", {1: warcinfo(archive)}, b"\r\n\r\n", archive)
+    discard(first)
+    return files
 
 
-def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+def warc_records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
     """(fields by lower-case name, block) of each record of a WARC file, by declared lengths."""
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if not data.startswith(b"WARC/", at) or end < 0:
-            raise ValueError(f"no WARC record at {at}")
+    while line := stream.readline():
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record: {line[:80]!r}")
         fields = {}
-        for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
-            name, _, value = line.partition(":")
+        while (line := stream.readline()) not in (b"\r\n", b""):
+            name, _, value = line.decode("utf-8", "replace").partition(":")
             fields[name.strip().lower()] = value.strip()
-        start = end + 4
-        stop = start + int(fields["content-length"])
-        if data[stop : stop + 4] != b"\r\n\r\n":
-            raise ValueError(f"the WARC record at {at} does not end where it declares")
-        yield fields, data[start:stop]
-        at = stop + 4
+        block = stream.read(int(fields["content-length"]))
+        if stream.read(4) != b"\r\n\r\n":
+            raise ValueError(f"the WARC record {fields.get('warc-record-id')} does not end where it declares")
+        yield fields, block
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each record of the gzipped WARC files below path.
+def read_warc(files: DataFrame, archive: Archive) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each response and revisit of the WARC files(path).
 
     The payloads of responses are hashed again and must have the digest that their header declares.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for content in pdf["content"]:
-                out = []
-                for f, block in warc_records(zlib.decompress(content, 31)):
-                    digest, n = f["warc-payload-digest"].removeprefix("sha256:"), int(f["x-payload-length"])
-                    if f["warc-type"] == "response":
-                        payload = http_parts(block)[2]
-                        n = len(payload)
-                        if hashlib.sha256(payload).hexdigest() != digest:
-                            raise ValueError(f"payload of {f['warc-record-id']} has another digest")
-                    out.append((_number(f.get("x-page-id")), n, digest, f["warc-type"], _number(f.get("x-refers-to-page"))))
-                made = pd.DataFrame(out, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-                yield made.astype({"page_id": "Int64", "refers_to": "Int64"})
-
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInPandas(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-
-
-def archive_pages(pages: DataFrame, archive: Archive | None = None) -> DataFrame:
+    def read(stream: BinaryIO) -> Iterator[tuple[tuple, int]]:
+        for f, block in warc_records(stream):
+            if f["warc-type"] == "warcinfo":
+                continue
+            digest, n = f["warc-payload-digest"].removeprefix("sha256:"), int(f["x-payload-length"])
+            if f["warc-type"] == "response":
+                payload = http_parts(block)[2]
+                n = len(payload)
+                if hashlib.sha256(payload).hexdigest() != digest:
+                    raise ValueError(f"payload of {f['warc-record-id']} has another digest")
+            yield (_number(f.get("x-page-id")), n, digest, f["warc-type"], _number(f.get("x-refers-to-page"))), 0
+
+    return _each_file(files, read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long", archive)
+
+
+def archive_pages(pages: DataFrame, archive: Archive | None = None, keep: str | None = None) -> DataFrame:
     """Write pages(page_id, url, html) as ARC, convert the archives to WARC, and read these: a row for each page.
 
-    A null html is an empty payload, a null url a placeholder, and whitespace in a url is escaped. A null page_id stays
-    null and is never the first of equal payloads while another has an id; rows that repeat the smallest page_id with
-    its payload are all responses. An empty table gives an empty result. Other columns are ignored.
+    The WARC files stay in the folder `keep`; without one they are deleted when they have been read. A null html is an
+    empty payload, a null url a placeholder, and whitespace in a url is escaped. A null page_id stays null and is never
+    the first of equal payloads while another has an id; rows that repeat the smallest page_id with its payload are all
+    responses. An empty table gives an empty result. Other columns are ignored.
     """
     archive, spark = archive or Archive(), pages.sparkSession
-    arc, warc = new_path(spark, "arc"), new_path(spark, "warc")
-    write_arc(pages, arc, archive)
-    convert(spark, arc, warc, archive)
-    return read_warc(spark, warc)
+    arc, warc = new_path(spark, "arc"), keep or new_path(spark, "warc")
+    written = write_arc(pages, arc, archive)
+    files = convert(written, warc, archive)
+    out = materialize(read_warc(files, archive), "pages")
+    delete(spark, arc)
+    if not keep:
+        delete(spark, warc)
+    return out

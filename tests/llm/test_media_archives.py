@@ -1,4 +1,5 @@
 import hashlib
+import io
 import math
 import zlib
 from fractions import Fraction
@@ -124,10 +125,10 @@ def test_arc_versions_and_broken_records():
         block = f"{version} 0 test\n{names}\n"
         more = "200 - - 0 - " if version == 2 else ""
         data = f"filedesc://x 0.0.0.0 20240101000000 text/plain {more}{len(block)}\n{block}\nhttp://a/ b 0.0.0.0 20240102030405 text/html {more}5\na\nb\nc\n\nhttp://c/ 0.0.0.0 20240102030405 text/html {more}0\n\n".encode()
-        got = list(warc.arc_records(data))
+        got = list(warc.arc_records(io.BytesIO(data)))
         assert [(f["URL"], f["Archive-date"], d) for f, d in got] == [("http://a/ b", "20240102030405", b"a\nb\nc"), ("http://c/", "20240102030405", b"")]
     with pytest.raises(ValueError):
-        list(warc.arc_records(data[:-20]))
+        list(warc.arc_records(io.BytesIO(data[:-3])))
 
 
 PAGES = "page_id long, url string, html string, digest string, n long, first long"
@@ -145,7 +146,7 @@ def test_archives_match_brute_force(spark, sf):
     long = "<p>é😀\r\n\r\nWARC/1.0\n</p>" * 20
     rows = [(5, long), (3, long), (9, long), (1, "short"), (2, "short"), (4, None), (6, ""), (7, "x" * 99), (8, "x" * 99), (10, "y" * 100), (11, "y" * 100), (12, "\n\n" * 60), (11, "y" * 100), (13, "z" * 300_000)]
     frame = spark.createDataFrame([(i, None if i == 4 else f"http://h/{i} \n", h, "d", 1, 1) for i, h in rows], PAGES).repartition(3)
-    got = warc.archive_pages(frame, warc.Archive(records=4))
+    got = warc.archive_pages(frame, warc.Archive(bytes=300, at_once=1000))
     assert sorted(map(tuple, got.collect())) == brute_archive(rows)
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     assert sorted(map(tuple, warc.archive_pages(pages).collect())) == brute_archive([(r["page_id"], r["html"]) for r in pages.collect()])
@@ -154,6 +155,28 @@ def test_archives_match_brute_force(spark, sf):
     assert {r["page_id"]: r["record_type"] for r in null} == {None: "revisit", 3: "response"}
 
 
+def test_archives_are_standard_gzip_of_one_member_a_record(spark, tmp_path):
+    rows = [(2**60 + i, f"http://h/{i}", f"<p>{i % 3}</p>" * 30) for i in range(9)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    got = warc.archive_pages(pages, warc.Archive(bytes=1500), keep=f"file://{tmp_path}/kept")
+    assert sorted(map(tuple, got.collect())) == brute_archive([(i, h) for i, _, h in rows])
+    kinds, ids = [], []
+    for path in (tmp_path / "kept").iterdir():
+        if path.name.startswith("."):
+            continue
+        data, members = path.read_bytes(), 0
+        while data:
+            one = zlib.decompressobj(31)
+            record = one.decompress(data)
+            data, members = one.unused_data, members + 1
+            fields, block = next(warc.warc_records(io.BytesIO(record)))
+            assert record.startswith(b"WARC/1.0\r\n") and record.endswith(b"\r\n\r\n") and len(block) == int(fields["content-length"])
+            kinds.append(fields["warc-type"])
+            ids.append(fields["warc-record-id"])
+            assert (members == 1) == (kinds[-1] == "warcinfo")
+    assert kinds.count("response") == 3 and kinds.count("revisit") == 6 and len(set(ids)) == 10
+
+
 def test_stored_pcm(spark):
     how = audio.Telephony(target_rate=8000)
     docs = spark.createDataFrame([(i, chr(97 + i) * 700) for i in range(6)], "doc_id long, text string")
