@@ -105,16 +105,15 @@ def tensored_tables(nodes: DataFrame, banding: Banding) -> DataFrame:
     """(node, n_shingles, sketch, first, second): per node the half keys of either collection that another node shares.
 
     A table's key needs both its halves to be shared, so that half keys which one node alone has are dropped before the
-    halves ** 2 combinations are formed.
+    halves ** 2 combinations are formed. Half keys that very many nodes share make skewed partitions, which Spark's
+    adaptive execution splits in a merge join.
     """
     half = nodes.select("node", F.posexplode("halves").alias("i", "half"))
-    shared = materialize(half.groupBy("half").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    kept = join_by_class(half, shared, ["half"], 2 * banding.halves * nodes.count(), "inner")
+    shared = half.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
+    kept = half.join(shared.hint("merge"), "half")
     side = lambda first: F.collect_list(F.when((F.col("i") < banding.halves) == F.lit(first), F.col("half")))
     both = kept.groupBy("node").agg(side(True).alias("first"), side(False).alias("second"))
-    out = materialize(both.where("size(first) > 0 and size(second) > 0").join(nodes.select("node", "n_shingles", "sketch"), "node"), "half-keys")
-    discard(shared)
-    return out
+    return materialize(both.where("size(first) > 0 and size(second) > 0").join(nodes.select("node", "n_shingles", "sketch"), "node"), "half-keys")
 
 
 def _keys(tables: DataFrame, *columns: str) -> DataFrame:
@@ -291,10 +290,8 @@ def links_across(tables: DataFrame, labels: DataFrame, nodes: DataFrame, docs: D
     n nodes, m of them outside, costs n * m comparisons of sketches.
     """
     held = _with_components(tables, labels)
-    several = _keys(held, "component").groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high")
-    several = materialize(several.select("key", "n"), "several")
-    total = tables.agg(F.sum(F.size("first").cast("long") * F.size("second"))).first()[0] or 0
-    mixed = materialize(join_by_class(_keys(tables, "node"), several, ["key"], total, "inner").select("node", "half").distinct(), "mixed")
+    several = _keys(held, "component").groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    mixed = materialize(_keys(tables, "node").join(several.hint("merge"), "key").select("node", "half").distinct(), "mixed")
     sizes = mixed.groupBy("half").agg(F.count("*").alias("size"), F.expr("bit_xor(xxhash64(node))").alias("r1"), F.expr("bit_xor(xxhash64(node, 1))").alias("r2"))
     chosen = materialize(sizes.groupBy("size", "r1", "r2").agg(F.min("half").alias("half")).select("half", F.col("size").alias("n")), "chosen")
     rows = join_by_class(mixed, chosen, ["half"], mixed.count(), "inner")
@@ -338,7 +335,7 @@ def links_across(tables: DataFrame, labels: DataFrame, nodes: DataFrame, docs: D
 
     dealt = _blocks(left, about.join(sets, "node"), banding).select(*columns, "shingles")
     found = materialize(_by_block(dealt, confirmed, "a long, b long"), "links")
-    for table in (several, mixed, chosen, rows, about, left, sets):
+    for table in (mixed, chosen, rows, about, left, sets):
         discard(table)
     return found
 
