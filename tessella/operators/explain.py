@@ -68,29 +68,92 @@ def tree_predict(nodes: list[dict], x: np.ndarray, known: frozenset[int] | None
     return share * left + (1 - share) * right
 
 
-def tree_shap(df: DataFrame, key: str, features: list[str], nodes: list[dict], most: int = 12) -> DataFrame:
-    """(key, feature, phi) of path-dependent Shapley values of class 1, exact over the features that the tree uses."""
-    used = sorted({n["feature"] for n in nodes if n["feature"] >= 0})
-    if len(used) > most:
-        raise ValueError(f"the tree uses {len(used)} features; exact values are for {most} at most")
+def leaf_paths(nodes: list[dict]) -> list[tuple[float, dict[int, tuple[float, float, float]]]]:
+    """(value, {feature: (low, high, share)}) of each leaf: the range low < x <= high of a feature on its path, and the share of training weight that its splits let through."""
+    found = []
+
+    def walk(at: int, path: dict[int, tuple[float, float, float]]) -> None:
+        node = nodes[at]
+        if node["feature"] < 0:
+            found.append((node["value"], path))
+            return
+        f = node["feature"]
+        low, high, share = path.get(f, (-np.inf, np.inf, 1.0))
+        for side, ends in (("left", (low, min(high, node["threshold"]))), ("right", (max(low, node["threshold"]), high))):
+            walk(node[side], path | {f: (*ends, share * nodes[node[side]]["weight"] / node["weight"])})
+
+    walk(0, {})
+    return found
+
+
+def tree_phi(x: np.ndarray, leaves: list[tuple[float, dict[int, tuple[float, float, float]]]]) -> np.ndarray:
+    """Path-dependent Shapley values of rows x, leaf by leaf.
+
+    A leaf's expected value with the features S known is its value times a product over its features: whether x is in
+    the range, for those in S, or the share, for the others. Such a product game has the Shapley value of a feature
+    from the coefficients of the product of the others' (share + inside * t): the one of t ** k weighs
+    k! (m - 1 - k)! / m!. So the cost grows with the leaves and the squares of their depths, for any number of features.
+    """
+    phi = np.zeros_like(x)
+    for value, path in leaves:
+        m = len(path)
+        inside = {f: ((x[:, f] > low) & (x[:, f] <= high)).astype(float) for f, (low, high, _) in path.items()}
+        for f, (_, _, share) in path.items():
+            terms = np.zeros((len(x), m))
+            terms[:, 0] = 1
+            for g, (_, _, other) in path.items():
+                if g != f:
+                    terms[:, 1:] = terms[:, 1:] * other + terms[:, :-1] * inside[g][:, None]
+                    terms[:, 0] *= other
+            weights = np.array([factorial(k) * factorial(m - 1 - k) / factorial(m) for k in range(m)])
+            phi[:, f] += value * (inside[f] - share) * (terms @ weights)
+    return phi
+
+
+def _long_phi(df: DataFrame, key: str, features: list[str], phi_of: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(key, feature, phi) of phi_of(rows of the features); null features count as NaN."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x = pdf[features].to_numpy(np.float64)
-            value = {s: tree_predict(nodes, x, frozenset(s)) for n in range(len(used) + 1) for s in combinations(used, n)}
+            phi = phi_of(pdf[features].to_numpy(np.float64))
             for j, name in enumerate(features):
-                phi = np.zeros(len(x))
-                if j in used:
-                    rest = [f for f in used if f != j]
-                    for n in range(len(rest) + 1):
-                        w = factorial(n) * factorial(len(used) - n - 1) / factorial(len(used))
-                        for s in combinations(rest, n):
-                            phi += w * (value[tuple(sorted((*s, j)))] - value[s])
-                yield pd.DataFrame({key: pdf[key], "feature": name, "phi": phi})
+                yield pd.DataFrame({key: pdf[key], "feature": name, "phi": phi[:, j]})
 
     return df.select(key, *[F.col(c).cast("double").alias(c) for c in features]).mapInPandas(run, f"{key} long, feature string, phi double")
 
 
+def tree_shap(df: DataFrame, key: str, features: list[str], nodes: list[dict]) -> DataFrame:
+    """(key, feature, phi) of exact path-dependent Shapley values of class 1."""
+    leaves = leaf_paths(nodes)
+    return _long_phi(df, key, features, lambda x: tree_phi(x, leaves))
+
+
+def kernel_phi(x: np.ndarray, predict: Callable[[np.ndarray], np.ndarray], background: np.ndarray) -> np.ndarray:
+    """Exact Shapley values of any predictor: all coalitions of the features, the others from every row of the background."""
+    m, b = x.shape[1], len(background)
+    value = {}
+    for n in range(m + 1):
+        for s in combinations(range(m), n):
+            rows = np.tile(background, (len(x), 1))
+            rows[:, list(s)] = np.repeat(x[:, list(s)], b, axis=0)
+            value[s] = predict(rows).reshape(len(x), b).mean(axis=1)
+    phi = np.zeros_like(x)
+    for j in range(m):
+        rest = [f for f in range(m) if f != j]
+        for n in range(m):
+            w = factorial(n) * factorial(m - n - 1) / factorial(m)
+            for s in combinations(rest, n):
+                phi[:, j] += w * (value[tuple(sorted((*s, j)))] - value[s])
+    return phi
+
+
+def kernel_shap(df: DataFrame, key: str, features: list[str], predict: Callable[[np.ndarray], np.ndarray], background: np.ndarray, most: int = 12, at_once: int = 64) -> DataFrame:
+    """(key, feature, phi) of any predictor against a bounded background: exact up to `most` features, by random orders of them beyond."""
+    if len(features) > most:
+        return sampled_shap(df, key, features, predict, background)
+    return _long_phi(df, key, features, lambda x: np.concatenate([kernel_phi(x[i : i + at_once], predict, background) for i in range(0, len(x), at_once)] or [x]))
+
+
 def sampled_shap(df: DataFrame, key: str, features: list[str], predict: Callable[[np.ndarray], np.ndarray], background: np.ndarray, orders: int = 64, seed: int = 42) -> DataFrame:
     """(key, feature, phi) of any predictor by random orders of the features, against rows of a bounded background.
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.functions.scalar import clip, uniform
+from tessella.operators.running import running
 from tessella.operators.solver import balanced, fit_logistic, predict_logistic
 
 #: Weights of recall, specificity, F1 and (subtracted) disparity.
@@ -123,12 +124,11 @@ def elitism(parents: DataFrame, offspring: DataFrame, n: int) -> DataFrame:
 
 def early_stop_trace(history: DataFrame, patience: int) -> DataFrame:
     """(gen, best, best_so_far, stagnation, stopped) of history(gen, best), a row for each generation."""
-    before = F.max("best").over(Window.orderBy("gen").rowsBetween(Window.unboundedPreceding, -1))
-    marked = history.withColumn("before", before).withColumn("better", F.col("before").isNull() | (F.col("best") > F.col("before") + LEAST_GAIN))
-    upto = Window.orderBy("gen").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.max(F.when(F.col("better"), F.col("gen"))).over(upto)
-    stale = F.col("gen") - last
-    return marked.select("gen", "best", F.max("best").over(upto).alias("best_so_far"), stale.alias("stagnation"), (stale >= patience).alias("stopped"))
+    marked = running(history.select("gen", "best"), [], "gen", highs={"best_so_far": F.col("best")}, earlier={"before": F.col("best")})
+    better = F.col("before").isNull() | (F.col("best") > F.col("before") + LEAST_GAIN)
+    traced = running(marked, [], "gen", highs={"last": F.when(better, F.col("gen"))})
+    stale = F.col("gen") - F.col("last")
+    return traced.select("gen", "best", "best_so_far", stale.alias("stagnation"), (stale >= patience).alias("stopped"))
 
 
 # The search itself. A population is some hundred rows of four numbers, so it evolves on the driver; fits are dealt out.
@@ -235,7 +235,7 @@ def evolve(search: Search, how: Experiment, seed: int = 42) -> tuple[np.ndarray,
 
 
 def run_experiment(spark: SparkSession, rows: DataFrame, features: list[str], label: str, group: str, key: str, how: Experiment, most: int = 20_000) -> dict:
-    """Search on training rows, refit the winner on all of them, and score it on all test rows.
+    """Search on training rows, refit the winner on all of them, and score it on all test rows; `model` is what models.save_linear() saves.
 
     rows has columns split and fold. The search alone sees the `most` first training rows in the random order at most;
     the refit and the scores are distributed, and the metrics those of a baseline scored in the same way.
@@ -254,6 +254,7 @@ def run_experiment(spark: SparkSession, rows: DataFrame, features: list[str], la
     z = [f + "_z" for f in features]
     scaled = scale(rows, features, F.col("split") == "train")
     whole = scaled.where("split = 'train'")
+    stats = rows.where("split = 'train'").agg(F.count("*").alias("n"), *[f(F.col(x).cast("double")).alias(f"{n}{i}") for i, x in enumerate(features) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     weights, intercept = models.fit_lr(whole, z, label, c, penalty, balanced=weighted, penalize_intercept=True)
     scored = scaled.where("split = 'test'").select(F.lit(how.exp_id).alias("model"), F.col(label).cast("int").alias("y"), models.logit(weights, intercept).alias("p"), F.col(group).cast("double").alias("grp"))
     judged = models.threshold_predict(scored, threshold)
@@ -261,5 +262,9 @@ def run_experiment(spark: SparkSession, rows: DataFrame, features: list[str], la
     recall, specificity, f1, gap = (rate["recall"], rate["specificity"], rate["f1"], gap["disparity"]) if rate else (0.0, 0.0, 0.0, 0.0)
     return {
         "exp_id": how.exp_id, "generations_run": len(history) - 1, "best_fitness": best, "best_C": c, "best_penalty": penalty, "best_class_weight": "balanced" if weighted else "None",
-        "best_threshold": threshold, "test_recall": recall, "test_specificity": specificity, "test_f1": f1, "test_disparity": gap, "n_train": whole.count(), "runtime_seconds": round(time.time() - start, 2),
+        "best_threshold": threshold, "test_recall": recall, "test_specificity": specificity, "test_f1": f1, "test_disparity": gap, "n_train": stats["n"], "runtime_seconds": round(time.time() - start, 2),
+        "model": {
+            "name": how.exp_id, "features": features, "means": [stats[f"m{i}"] for i in range(len(features))], "deviations": [stats[f"s{i}"] or 1.0 for i in range(len(features))],
+            "weights": [weights[f + "_z"] for f in features], "intercept": intercept, "threshold": threshold, "C": c, "penalty": penalty, "class_weight": "balanced" if weighted else None, "fitness": best,
+        },
     }

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,53 +11,53 @@ from pyspark.sql.window import Window
 from tessella.functions.scalar import ratio
 
 
-def _query_blocks(queries: DataFrame, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    ids, vectors = [], []
-    for row in queries.select("qid", "vector").orderBy("qid").toLocalIterator():
-        ids.append(row["qid"])
-        vectors.append(row["vector"])
-        if len(ids) == size:
-            yield np.array(ids), np.array(vectors, np.float64)
-            ids, vectors = [], []
-    if ids:
-        yield np.array(ids), np.array(vectors, np.float64)
+#: Rows of a block of queries and of training rows, about.
+QUERY_ROWS, TRAIN_ROWS = 4096, 16_384
+#: Numbers of a matrix of distances that a task holds at once.
+AT_ONCE = 4_000_000
+
+
+def nearest(qid: np.ndarray, q: np.ndarray, tid: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
+    """(qid, tid, dist) of the k rows of x nearest to each row of q: rough distances by products, then exact ones of all that may be among them."""
+    k, found = min(k, len(x)), []
+    square = (x * x).sum(axis=1)
+    step = max(1, AT_ONCE // max(len(x), 1))
+    for at in range(0, len(q), step):
+        own = q[at : at + step]
+        size = (own * own).sum(axis=1)[:, None]
+        rough = size + square[None, :] - 2 * own @ x.T
+        slack = 1e-9 * (size[:, 0] + square.max(initial=0.0) + 1)
+        limit = np.partition(rough, k - 1, axis=1)[:, k - 1] + slack
+        for i in range(len(own)):
+            may = np.flatnonzero(rough[i] <= limit[i])
+            exact = np.sqrt(((x[may] - own[i]) ** 2).sum(axis=1))
+            best = np.lexsort((tid[may], exact))[:k]
+            found.append((np.full(k, qid[at + i]), tid[may][best], exact[best]))
+    return pd.DataFrame(dict(zip(("qid", "tid", "dist"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
 
 
-def knn(queries: DataFrame, train: DataFrame, k: int, block: int = 1024) -> DataFrame:
+def knn(queries: DataFrame, train: DataFrame, k: int) -> DataFrame:
     """(qid, tid, dist, rank) of the k nearest train(tid, vector) of each queries(qid, vector), by Euclidean distance.
 
-    Queries go out in blocks of a fixed number of rows. Each task of the training table finds its own k nearest by
-    matrix products, takes their distances again by differences, and sends k rows a query on; these are merged. So
-    the training table of any size is read once a block and never broadcast or paired. Ties go to the smaller tid.
+    Both sides are dealt into blocks by their ids; a task has one block of either, and sends k rows a query on, of which
+    the k best are kept. Nothing passes through the driver but the two counts, no side is broadcast, and the plan is the
+    same for any size. Ties go to the smaller tid. qid and tid are not null and tell rows apart.
     """
-    spark, out = train.sparkSession, None
-    for ids, vectors in _query_blocks(queries, block):
-        shared = spark.sparkContext.broadcast((ids, vectors))
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, q = shared.value
-            best_d, best_t = np.full((len(q), 0), np.inf), np.zeros((len(q), 0), np.int64)
-            square = (q * q).sum(axis=1)[:, None]
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                tid, x = pdf["tid"].to_numpy(np.int64), np.array(pdf["vector"].tolist(), np.float64)
-                near = min(k + 8, len(x))
-                rough = square + (x * x).sum(axis=1)[None, :] - 2 * q @ x.T
-                at = np.argpartition(rough, near - 1, axis=1)[:, :near]
-                exact = np.sqrt(((x[at] - q[:, None, :]) ** 2).sum(axis=2))
-                best_d, best_t = np.concatenate([best_d, exact], axis=1), np.concatenate([best_t, tid[at]], axis=1)
-                order = np.lexsort((best_t, best_d), axis=1)[:, :k]
-                best_d, best_t = np.take_along_axis(best_d, order, axis=1), np.take_along_axis(best_t, order, axis=1)
-            n = best_d.shape[1]
-            yield pd.DataFrame({"qid": np.repeat(ids, n), "tid": best_t.ravel(), "dist": best_d.ravel()})
-
-        found = train.select("tid", "vector").mapInPandas(run, "qid long, tid long, dist double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = spark.createDataFrame([], "qid long, tid long, dist double")
+    sizes = [max(1, -(-df.count() // n)) for df, n in ((queries, QUERY_ROWS), (train, TRAIN_ROWS))]
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    place = lambda c, n: F.expr(f"cast(pmod(xxhash64({c}, vector), {n}) as int)")
+    left = queries.select(F.col("qid").cast("long").alias("qid"), "vector", place("qid", sizes[0]).alias("i"), each(sizes[1]).alias("j"))
+    right = train.select(F.col("tid").cast("long").alias("tid"), "vector", place("tid", sizes[1]).alias("j"), each(sizes[0]).alias("i"))
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"qid": [], "tid": [], "dist": []})
+        q, x = (np.array(side["vector"].tolist(), np.float64) for side in (a, b))
+        return nearest(a["qid"].to_numpy(np.int64), q, b["tid"].to_numpy(np.int64), x, k)
+
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(run, "qid long, tid long, dist double")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("dist", "tid")).cast("long")
-    return out.select("qid", "tid", "dist", rank.alias("rank")).where(F.col("rank") <= k)
+    return found.select("qid", "tid", "dist", rank.alias("rank")).where(F.col("rank") <= k)
 
 
 def votes(neighbours: DataFrame, labels: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.functions.scalar import ratio
+from tessella.operators.running import running
 
 
 def _cell(y: int, yhat: int) -> Column:
@@ -90,7 +91,11 @@ def auc(scores: DataFrame, digits: int = 6) -> DataFrame:
 
 def disparity(predictions: DataFrame, digits: int = 6) -> DataFrame:
     """(model, median, recall_low, recall_high, disparity): gap of recalls of grp <= its median and above; 0 if a side has no rows."""
-    middle = predictions.groupBy("model").agg(F.median(F.col("grp").cast("double")).alias("median"))
+    counted = predictions.where(F.col("grp").isNotNull()).groupBy("model", F.col("grp").cast("double").alias("v")).agg(F.count("*").alias("c"))
+    placed = running(counted, ["model"], "v", sums={"upto": F.col("c")}).join(F.broadcast(counted.groupBy("model").agg(F.sum("c").alias("total"))), "model")
+    holds = lambda k: (F.col("upto") > k) & (F.col("upto") - F.col("c") <= k)
+    at = lambda k: F.max(F.when(holds(k), F.col("v")))
+    middle = placed.groupBy("model").agg(((at(F.floor((F.col("total") - 1) / 2)) + at(F.ceil((F.col("total") - 1) / 2))) / 2).alias("median"))
     high = F.col("grp") > F.col("median")
     joined = predictions.join(F.broadcast(middle), "model").where(F.col("grp").isNotNull())
     n = lambda c: F.count_if(c)

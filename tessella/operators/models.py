@@ -13,6 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions.scalar import ratio
 from tessella.operators.features import balanced_weights, scale
 from tessella.operators.metrics import confusion, rates
 from tessella.operators.solver import fit_logistic, predict_logistic
@@ -129,31 +130,129 @@ def f1_score(y: np.ndarray, yhat: np.ndarray) -> float:
     return 2 * tp / (2 * tp + wrong) if tp else 0.0
 
 
-def learning_curve(df: DataFrame, features: list[str], label: str, key: str, folds: int = 5, steps: int = 10, most: int = 20_000) -> DataFrame:
-    """(step, fold, n_train, f1_train, f1_val) of logistic regressions on growing prefixes of each fold's training rows.
-
-    A cell of the size x fold grid is one task's work. The rows are the `most` first in the random order at most: a
-    learning curve needs no more, and the bound keeps a cell in memory. df has a column fold.
+def fit_tree(x: np.ndarray, y: np.ndarray, depth: int) -> list[dict]:
+    """Nodes, as explain.tree_nodes() gives them, of a Gini tree over all midpoints of values; ties go to the first feature, then the smaller threshold."""
+    nodes: list[dict] = []
+
+    def grow(rows: np.ndarray, left: int) -> int:
+        at, n, pos = len(nodes), len(rows), int(y[rows].sum())
+        nodes.append({"weight": float(n), "value": pos / n if n else 0.0, "feature": -1})
+        best = None
+        for f in range(x.shape[1]) if left and 0 < pos < n else ():
+            order = rows[np.argsort(x[rows, f], kind="stable")]
+            v, up = x[order, f], np.cumsum(y[order])[:-1]
+            cuts = np.flatnonzero(v[1:] > v[:-1])
+            if len(cuts):
+                nl, pl = cuts + 1.0, up[cuts].astype(float)
+                nr, pr = n - nl, pos - pl
+                cost = 2 * (pl * (1 - pl / nl) + pr * (1 - pr / nr)) / n
+                k = int(np.argmin(cost))
+                if best is None or cost[k] < best[0] - 1e-12:
+                    best = (float(cost[k]), f, float((v[cuts[k]] + v[cuts[k] + 1]) / 2))
+        if best is not None and best[0] < 2 * pos / n * (1 - pos / n) - 1e-12:
+            low = x[rows, best[1]] <= best[2]
+            nodes[at] |= {"feature": best[1], "threshold": best[2]}
+            nodes[at] |= {"left": grow(rows[low], left - 1), "right": grow(rows[~low], left - 1)}
+        return at
+
+    grow(np.arange(len(x)), depth)
+    return nodes
+
+
+def learning_curve(df: DataFrame, features: list[str], label: str, key: str, folds: int = 5, steps: int = 10, most: int = 4000, k: int = 7, depth: int = 4) -> DataFrame:
+    """(model, step, fold, n_train, f1_train, f1_val) of logistic regression, neighbours and tree on growing prefixes of each fold's training rows.
+
+    Models are fit on the `most` first rows in the random order at most, whose prefixes the steps are; each is one
+    task's work. f1_train is over the rows that a model is fit on, and f1_val over all rows of the fold in df, scored
+    where they are by all models in one pass. df has a column fold.
     """
+    from tessella.operators import explain
     from tessella.operators.split import order_key
 
-    rows = df.select(key, *[F.col(c).cast("double").alias(c) for c in features], F.col(label).cast("int").alias("y"), "fold").orderBy(order_key(F.col(key)), key).limit(most)
-    cells = rows.sparkSession.range(1, steps + 1).select(F.col("id").alias("step")).join(rows.sparkSession.range(folds).select(F.col("id").alias("part")))
-    spread = rows.join(F.broadcast(cells))
-
-    def fit(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        step, part = k
-        pdf = pdf.sort_values(key)
-        train, val = pdf[pdf["fold"] != part], pdf[pdf["fold"] == part]
-        train = train.iloc[: max(2, len(train) * int(step) // steps)]
-        x, y = train[features].to_numpy(), train["y"].to_numpy()
-        mean, std = x.mean(axis=0), x.std(axis=0)
-        std[std == 0] = 1
-        w = fit_logistic((x - mean) / std, y, 1.0, "l2")
-        f1 = lambda part: f1_score(part["y"].to_numpy(), (predict_logistic((part[features].to_numpy() - mean) / std, w) >= 0.5).astype(int)) if len(part) else 0.0
-        return pd.DataFrame([(step, part, len(train), f1(train), f1(val))], columns=["step", "fold", "n_train", "f1_train", "f1_val"])
-
-    return spread.groupBy("step", "part").applyInPandas(fit, "step long, fold long, n_train long, f1_train double, f1_val double")
+    spark = df.sparkSession
+    rows = df.select(key, *[F.col(c).cast("double").alias(c) for c in features], F.col(label).cast("int").alias("y"), F.col("fold").cast("long").alias("fold"))
+    sample = rows.orderBy(order_key(F.col(key)), key).limit(most).toPandas().sort_values(key, kind="stable")
+    parts = {}
+    for part in range(folds):
+        own = sample[sample["fold"] != part]
+        parts[part] = (own[features].to_numpy(np.float64), own["y"].to_numpy(np.int64))
+    cells = [(model, step, part) for model in ("lr", "knn", "tree") for step in range(1, steps + 1) for part in range(folds)]
+    shared = spark.sparkContext.broadcast(parts)
+
+    def prefix(step: int, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        x, y = shared.value[part]
+        n = min(len(x), max(2, len(x) * step // steps))
+        x, y = x[:n], y[:n]
+        mean, std = (x.mean(axis=0), x.std(axis=0)) if n else (np.zeros(len(features)), np.ones(len(features)))
+        return x, y, mean, np.where(std > 0, std, 1.0)
+
+    def fitted(model: str, step: int, part: int):
+        x, y, mean, std = prefix(step, part)
+        if not len(x) or model == "knn":
+            return None
+        return fit_tree(x, y, depth) if model == "tree" else fit_logistic((x - mean) / std, y, 1.0, "l2").tolist()
+
+    def predict(model: str, step: int, part: int, own, x: np.ndarray) -> np.ndarray:
+        train, y, mean, std = prefix(step, part)
+        if not len(train):
+            return np.zeros(len(x), int)
+        if model == "tree":
+            return (explain.tree_predict(own, x) >= 0.5).astype(int)
+        if model == "lr":
+            return (predict_logistic((x - mean) / std, np.array(own)) >= 0.5).astype(int)
+        return knn_predictor((train - mean) / std, y, min(k, len(train)))((x - mean) / std).astype(int)
+
+    def fit_cells(batches):
+        for pdf in batches:
+            out = []
+            for model, step, part in pdf.itertuples(index=False):
+                x, y, _, _ = prefix(step, part)
+                own = fitted(model, step, part)
+                out.append((model, step, part, len(x), f1_score(y, predict(model, step, part, own, x)) if len(x) else 0.0, json.dumps(own)))
+            yield pd.DataFrame(out, columns=["model", "step", "fold", "n_train", "f1_train", "made"])
+
+    tasks = spark.createDataFrame(cells, "model string, step long, fold long").repartition(spark.sparkContext.defaultParallelism * 2)
+    made = tasks.mapInPandas(fit_cells, "model string, step long, fold long, n_train long, f1_train double, made string").collect()
+    ready = spark.sparkContext.broadcast({(r["model"], r["step"], r["fold"]): json.loads(r["made"]) for r in made})
+
+    def score_rows(batches):
+        counts = np.zeros((len(cells), 3), np.int64)
+        for pdf in batches:
+            for c, (model, step, part) in enumerate(cells):
+                inside = (pdf["fold"] == part).to_numpy()
+                if inside.any():
+                    x, y = pdf.loc[inside, features].to_numpy(np.float64), pdf.loc[inside, "y"].to_numpy(np.int64)
+                    yhat = predict(model, step, part, ready.value[model, step, part], x)
+                    counts[c] += ((y == 1) & (yhat == 1)).sum(), ((y == 0) & (yhat == 1)).sum(), ((y == 1) & (yhat == 0)).sum()
+        yield pd.DataFrame([(*cell, *map(int, n)) for cell, n in zip(cells, counts, strict=True)], columns=["model", "step", "fold", "tp", "fp", "fn"])
+
+    scored = rows.drop(key).mapInPandas(score_rows, "model string, step long, fold long, tp long, fp long, fn long")
+    sums = scored.groupBy("model", "step", "fold").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    found = spark.createDataFrame([tuple(r)[:5] for r in made], "model string, step long, fold long, n_train long, f1_train double")
+    f1 = ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))
+    return found.join(sums, ["model", "step", "fold"], "left").select("model", "step", "fold", "n_train", "f1_train", F.coalesce(f1, F.lit(0.0)).alias("f1_val"))
+
+
+def cross_validate(df: DataFrame, features: list[str], label: str, key: str, folds: int = 5, k: int = 7, depth: int = 4) -> DataFrame:
+    """(model, metric, mean, std) of accuracy, recall and F1 over the folds: logistic regression, neighbours and tree, fit anew on the rows outside each fold.
+
+    Scaling is learned outside the fold as well. df has a column fold.
+    """
+    from tessella.operators.metrics import fold_summary
+
+    out = None
+    for part in range(folds):
+        scaled = scale(df, features, F.col("fold") != part)
+        z = [f + "_z" for f in features]
+        train, val = scaled.where(F.col("fold") != part), scaled.where(F.col("fold") == part)
+        weights, intercept = fit_lr(train, z, label)
+        columns = ["model", "row_id", "y", "yhat"]
+        linear = threshold_predict(val.select(F.lit("lr").alias("model"), F.col(key).alias("row_id"), F.col(label).cast("int").alias("y"), logit(weights, intercept).alias("p"))).select(*columns)
+        tree = predictions(tree_pipeline(features, label, depth).fit(train), val, "tree", key, label, key).select(*columns)
+        near = knn_predictions(train, val, key, label, z, k).select(*columns)
+        each = linear.unionByName(tree).unionByName(near).withColumn("fold", F.lit(part))
+        out = each if out is None else out.unionByName(each)
+    return fold_summary(rates(confusion(out, "model", "fold")), ["accuracy", "recall", "f1"])
 
 
 def _vectors(df: DataFrame, key: str, z: list[str], name: str) -> DataFrame:
@@ -217,12 +316,50 @@ def export_baselines(df: DataFrame, features: list[str], label: str, key: str, p
     return run_metadata(42, path, [], k, depth, scores)
 
 
-def knn_predictor(train: np.ndarray, y: np.ndarray, k: int):
-    """A predictor of KNN labels over a bounded training array, for sampled explanations."""
+def validate_baselines(spark: SparkSession, path: str, best_k: int, rows: DataFrame, features: list[str], label: str, key: str, n: int = 5) -> DataFrame:
+    """(model, row_id, y, p, yhat) of the n first rows by key, from the three artifacts of export_baselines() loaded anew.
+
+    rows has the scaled columns too. Raises FileNotFoundError where an artifact is missing.
+    """
+    z = [f + "_z" for f in features]
+    required = [f"{path}/{x}" for x in ("lr/model", "tree/model", f"knn_k{best_k}")]
+    there = [(x,) for x in required if (where := spark._jvm.org.apache.hadoop.fs.Path(x)).getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)]
+    lost = missing_artifacts(spark.createDataFrame([(x,) for x in required], "name string"), spark.createDataFrame(there, "name string")).collect()
+    if lost:
+        raise FileNotFoundError(", ".join(r["name"] for r in lost))
+    first = rows.orderBy(key).limit(n)
+    made = [predictions(load_model(spark, f"{path}/{name}")[0], first, name, key, label, key).drop("grp") for name in ("lr", "tree")]
+    made.append(knn_predictions(spark.read.parquet(f"{path}/knn_k{best_k}"), first, key, label, z, best_k))
+    columns = ["model", "row_id", "y", "p", "yhat"]
+    return made[0].select(*columns).unionByName(made[1].select(*columns)).unionByName(made[2].select(*columns))
+
+
+def save_linear(spark: SparkSession, path: str, model: dict) -> None:
+    """A linear model over raw features as one JSON document: features, means, deviations, weights, intercept, threshold, settings."""
+    from tessella.sources.files import write_document
+
+    write_document(spark, path, model)
+
+
+def load_linear(spark: SparkSession, path: str) -> dict:
+    return json.loads("\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()))
+
+
+def scale_as(df: DataFrame, model: dict, suffix: str = "_z") -> DataFrame:
+    """Adds the features of df scaled by the means and deviations of a saved model."""
+    return df.withColumns({f + suffix: (F.col(f).cast("double") - F.lit(m)) / F.lit(d) for f, m, d in zip(model["features"], model["means"], model["deviations"], strict=True)})
+
+
+def knn_predictor(train: np.ndarray, y: np.ndarray, k: int, at_once: int = 4_000_000):
+    """A predictor of KNN labels over a bounded training array; ties go to the first rows."""
+    square = (train * train).sum(axis=1)
 
     def predict(x: np.ndarray) -> np.ndarray:
-        d = ((x[:, None, :] - train[None, :, :]) ** 2).sum(axis=2)
-        near = np.argsort(d, axis=1, kind="stable")[:, :k]
-        return (2 * y[near].sum(axis=1) > k).astype(float)
+        out, step = np.zeros(len(x)), max(1, at_once // max(len(train), 1))
+        for i in range(0, len(x), step):
+            d = square[None, :] - 2 * x[i : i + step] @ train.T
+            near = np.argpartition(d, k - 1, axis=1)[:, :k] if k < len(train) else np.broadcast_to(np.arange(len(train)), d.shape)
+            out[i : i + step] = 2 * y[near].sum(axis=1) > near.shape[1]
+        return out
 
     return predict

@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 from tessella.operators.quantiles import exact_quantiles
 
 
+#: Rows of a table of groups that is broadcast; a larger one is joined by its keys.
+SMALL = 100_000
+
+
+def small(groups: DataFrame) -> DataFrame:
+    """groups, to be broadcast if it has SMALL rows at most, so that no task receives a large group's rows."""
+    return F.broadcast(groups) if groups.limit(SMALL + 1).count() <= SMALL else groups
+
+
 def _long(row: DataFrame, items: list[tuple[str, list[Column]]], names: list[str]) -> DataFrame:
     """One aggregated row turned into a row for each item: (first name: the item, the others its values)."""
     structs = [F.struct(F.lit(key).alias(names[0]), *[v.alias(n) for v, n in zip(values, names[1:], strict=True)]) for key, values in items]
@@ -77,9 +86,10 @@ def histogram(df: DataFrame, column: str, by: str, bins: int = 10) -> DataFrame:
     """(by, bin, n) of equal bins over each group's own range; the last bin holds the maximum."""
     x = F.col(column).cast("double")
     rows = df.where(x.isNotNull()).select(F.col(by), x.alias("x"))
-    ranges = rows.groupBy(by).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    ranges = small(rows.groupBy(by).agg(F.min("x").alias("lo"), F.max("x").alias("hi")))
     place = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))).otherwise(0)
-    return rows.join(ranges, by).groupBy(by, place.cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    joined = rows.alias("r").join(ranges.alias("g"), F.col(f"r.{by}").eqNullSafe(F.col(f"g.{by}"))).select(F.col(f"r.{by}").alias(by), "x", "lo", "hi")
+    return joined.groupBy(by, place.cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 
 def correlations(df: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:

@@ -152,7 +152,7 @@ def coerce_numeric(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def filter_conjunction(spark: SparkSession, sf: str) -> DataFrame:
     """P8"""
-    return load_table(spark, sf, "orders").where((F.col("o_totalprice") > 100000) & (F.col("o_orderstatus") == "O") & (F.col("o_orderkey") % 2 == 1)).select("o_orderkey", "o_totalprice")
+    return load_table(spark, sf, "orders").where((F.col("o_totalprice") > 100000) & (F.col("o_orderstatus") == "O") & (F.col("o_orderpriority") < "4")).select("o_orderkey", "o_totalprice")
 
 
 @query
@@ -568,7 +568,7 @@ def ga_elitism(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def early_stop_trace(spark: SparkSession, sf: str) -> DataFrame:
     """G12 W3"""
-    history = load_table(spark, sf, "orders").where("o_orderkey <= 400").select(F.col("o_orderkey").alias("gen"), F.round("o_totalprice", 2).alias("best"))
+    history = load_table(spark, sf, "orders").select(F.col("o_orderkey").alias("gen"), F.round("o_totalprice", 2).alias("best"))
     return ga.early_stop_trace(history, 4)
 
 

@@ -115,7 +115,7 @@ ORACLE: dict[str, str] = {
     "coerce_numeric": r"""with d as (select event_id, json_extract_string(props, '$.k') as raw from events), e as (
   select event_id, case when event_id % 13 = 0 then 'a' when event_id % 17 = 0 then raw || '.5.' when event_id % 19 = 0 then ' ' || raw || 'e1 ' else raw end as s from d)
 select event_id, case when regexp_full_match(s, '\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*') then try_cast(trim(s) as double) end as k from e""",
-    "filter_conjunction": "select o_orderkey, o_totalprice from orders where o_totalprice > 100000 and o_orderstatus = 'O' and o_orderkey % 2 = 1",
+    "filter_conjunction": "select o_orderkey, o_totalprice from orders where o_totalprice > 100000 and o_orderstatus = 'O' and o_orderpriority < '4'",
     "filter_isin": "select c_custkey, c_mktsegment from customer where c_mktsegment in ('BUILDING', 'MACHINERY')",
     "label_recode": "select doc_id, case quality when 1 then 'good' when 0 then 'poor' end as quality_name from labels",
     "risk_band": f"with {_SCORED} select model, row_id, case when p >= 0.7 then 'high' when p >= 0.4 then 'medium' else 'low' end as band from scored",
@@ -191,7 +191,7 @@ select ind_id, round(case when gate and {_u("mut:c:hit", "ind_id")} < 0.4 then l
   case when gate and {_u("mut:w:hit", "ind_id")} < 0.4 then 1 - class_weight else class_weight end as class_weight,
   round(case when gate and {_u("mut:t:hit", "ind_id")} < 0.4 then least(greatest(threshold + ({_u("mut:t:step", "ind_id")} * 0.2::double - 0.1::double), 0.3::double), 0.7::double) else threshold end, 6) as threshold from g""",
     "ga_elitism": f"with {_FIT}, child as (select vec_id as ind_id, round({_u('child', 'vec_id')}, 3) as fitness from embeddings), c as (select *, row_number() over (order by fitness, ind_id desc) as k from child), f as (select *, row_number() over (order by fitness desc, ind_id) as k from fit) select ind_id, fitness, 'offspring' as origin from c where k > 2 union all select ind_id, fitness, 'elite' from f where k <= 2",
-    "early_stop_trace": "with h as (select o_orderkey as gen, round(o_totalprice, 2) as best from orders where o_orderkey <= 400), b as (select *, max(best) over (order by gen rows between unbounded preceding and 1 preceding) as before from h), m as (select gen, best, max(best) over (order by gen) as best_so_far, gen - max(case when before is null or best > before + 1e-12 then gen end) over (order by gen) as stagnation from b) select *, stagnation >= 4 as stopped from m",
+    "early_stop_trace": "with h as (select o_orderkey as gen, round(o_totalprice, 2) as best from orders), b as (select *, max(best) over (order by gen rows between unbounded preceding and 1 preceding) as before from h), m as (select gen, best, max(best) over (order by gen) as best_so_far, gen - max(case when before is null or best > before + 1e-12 then gen end) over (order by gen) as stagnation from b) select *, stagnation >= 4 as stopped from m",
     "best_experiment": f"with {_PREDICTED}, c as (select model, {_CELLS} from predicted group by 1) select model, f1 from (select model, {_rates()} from c) order by f1 desc, model limit 1",
     "union_accumulate": "select o_orderkey, o_orderstatus, o_orderstatus as part from orders where o_orderstatus in ('O', 'F', 'P')",
     "anonymize": """select c_nationkey::double as c_nationkey, c_acctbal, c_mktsegment, md5('salt:' || c_custkey::varchar) as "key" from customer""",

@@ -9,6 +9,7 @@ from tessella.operators import ga, models, narrate
 from tessella.operators.metrics import confusion, disparity, rates
 from tessella.sources import files
 
+# The columns of the two tables.
 RESPONSE_SCHEMA = (
     "timestamp_utc string, patient_id string, sample_index long, mode string, model_file string, predicted_label int, predicted_probability_pcos double, ground_truth_label int, "
     "top_features string, llm_response string, medical_precision int, cultural_sensitivity int, language_adequacy int, overall int"
@@ -62,10 +63,11 @@ def write_cases(cases: DataFrame, path: str) -> None:
     held.unpersist()
 
 
-def run_search(spark: SparkSession, rows: DataFrame, features: list[str], label: str, group: str, key: str, hows: list[ga.Experiment], path: str, most: int = 20_000) -> None:
-    """Run the experiments, compare each with a baseline fit on the same training rows, and write the table and a summary.
+def run_search(spark: SparkSession, rows: DataFrame, features: list[str], label: str, group: str, key: str, hows: list[ga.Experiment], path: str, most: int = 20_000) -> str:
+    """Run the experiments, compare each with a baseline, and write the winners' models, the table and a summary; the path of the best model.
 
-    rows has the columns split and fold. Both sides of a comparison are fit on the rows of split train.
+    rows has the columns split and fold. Both sides of a comparison are fit on all rows of split train and scored on
+    all of split test; a search itself sees `most` training rows at most.
     """
     from tessella.operators.features import scale
 
@@ -79,10 +81,19 @@ def run_search(spark: SparkSession, rows: DataFrame, features: list[str], label:
     for how in hows:
         r = ga.run_experiment(spark, rows, features, label, group, key, how, most)
         saved = f"{path}/{how.exp_id}"
-        files.write_document(spark, saved, {k: r[k] for k in ("exp_id", "best_C", "best_penalty", "best_class_weight", "best_threshold", "best_fitness")})
+        models.save_linear(spark, saved, r["model"])
         out.append((how.exp_id, how.population_size, how.generations, how.mutpb, how.cxpb, how.crossover, r["best_fitness"], r["best_C"], r["best_penalty"], r["best_class_weight"], r["best_threshold"],
                     r["test_recall"], r["test_specificity"], r["test_f1"], r["test_disparity"], r["runtime_seconds"], saved, base["recall"], base["specificity"], base["f1"], gap, r["test_f1"] - base["f1"], r["test_recall"] - base["recall"]))
     table = spark.createDataFrame(out, SEARCH_SCHEMA)
     files.write_table(table.coalesce(1), f"{path}/experiments", "csv")
     best = max(out, key=lambda r: r[6])[0]
     files.write_document(spark, f"{path}/summary", {"results_csv": f"{path}/experiments", "experiments_run": len(out), "best_experiment_by_fitness": best})
+    return f"{path}/{best}"
+
+
+def explain_saved(spark: SparkSession, rows: DataFrame, model_file: str, key: str, label: str, n: int, path: str, run_key: str, call=None) -> None:
+    """Explain the n first rows by key with a saved model and its threshold, and write the responses' files."""
+    model = models.load_linear(spark, model_file)
+    weights = dict(zip(model["features"], model["weights"], strict=True))
+    cases = build_cases(models.scale_as(rows, model), key, label, {f: f + "_z" for f in weights}, weights, model["intercept"], n)
+    write_cases(explain_cases(cases, model["threshold"], model_file, run_key, call), path)
