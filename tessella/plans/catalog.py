@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessella.functions.scalar import snake, to_number, uniform
 from tessella.operators import clean, explain, features, ga, gini, knn, metrics, models, narrate, profile, split
 from tessella.session import load_table
-from tessella.sources import files
+from tessella.sources import files, sheets
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -94,6 +94,15 @@ def jsonl_documents(spark: SparkSession, sf: str) -> DataFrame:
     return files.read_table(spark, path, "jsonl", rows.schema).select("doc_id", "lang", F.length("text").cast("long").alias("n"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
+@query
+def scan_sheet_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """A workbook written and read, numbers inferred"""
+    rows = load_table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_acctbal").orderBy("s_suppkey")
+    path = files.scratch_path(spark, "sheet") + ".xlsx"
+    sheets.write_sheet(rows, path, "Full_new")
+    return sheets.read_sheet(spark, path, "Full_new").select(F.col("s_suppkey").cast("long").alias("s_suppkey"), "s_name", "s_acctbal")
+
+
 @query
 def latest_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     """S4"""

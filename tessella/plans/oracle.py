@@ -107,6 +107,7 @@ ORACLE: dict[str, str] = {
   ('low_mut_onepoint', 100, 10, 0.8::double, 0.2::double, 3, 'one_point', 0.2::double, 2, 5),
   ('balanced_config', 100, 20, 0.75::double, 0.3::double, 3, 'uniform', 0.3::double, 2, 5)
 ) t(exp_id, population_size, generations, cxpb, mutpb, tournament_size, crossover, mutation_indpb, elitism_count, early_stop_patience)""",
+    "scan_sheet_roundtrip": "select s_suppkey, s_name, s_acctbal from supplier",
     "drop_columns": "select * exclude (p_name, p_type) from part",
     "project_columns": "select o_orderkey, o_orderstatus, o_totalprice from orders",
     "rename_columns": "select p_partkey as part_id, p_size as size from part",

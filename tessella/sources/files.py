@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import uuid
 
@@ -14,9 +15,11 @@ _unset: list[str] = []
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir, or below a temporary folder where that is unset (tests, one machine)."""
+    """A new path below spark.checkpoint.dir; where that is unset, below a temporary folder on a single machine, and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _unset:
             _unset.append("file://" + tempfile.mkdtemp(prefix="tessella-"))
         base = _unset[0]
@@ -24,9 +27,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def read_table(spark: SparkSession, path: str, fmt: str, schema: StructType | str | None = None) -> DataFrame:
-    """A table in csv, json (one document), jsonl, parquet or orc. Spreadsheets must be converted before."""
-    if fmt in ("xlsx", "xls"):
-        raise ValueError("no spreadsheet reader: convert the sheet to CSV or Parquet first")
+    """A table in csv, json (one document), jsonl, parquet, orc or xlsx (the first sheet)."""
+    if fmt == "xls":
+        raise ValueError("no reader of the old binary sheets: convert them to XLSX, CSV or Parquet first")
+    if fmt == "xlsx":
+        from tessella.sources.sheets import read_sheet
+
+        table = read_sheet(spark, path)
+        return table if schema is None else table.to(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
     reader = spark.read if schema is None else spark.read.schema(schema)
     if fmt == "csv":
         return reader.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
