@@ -8,6 +8,8 @@ from __future__ import annotations
 import argparse
 import logging
 
+from pyspark.sql import DataFrame
+
 from tessella.plans import catalog, fits, report
 from tessella.session import local_session
 from tessella.sources import files, settings
@@ -28,16 +30,8 @@ def explain_cases(args: argparse.Namespace) -> None:
     report_table(files.read_table(spark, f"{out}/responses", "csv", report.RESPONSE_SCHEMA), args.rows)
 
 
-def report_table(df, rows: int) -> None:
-    """A table on the console, whole cells, with the number of rows that are not shown."""
-    shown = df.limit(rows + 1).collect()
-    widths = [max([len(c), *(len(str(r[c])) for r in shown[:rows])]) for c in df.columns]
-    line = lambda values: "  ".join(str(v).ljust(w) for v, w in zip(values, widths, strict=True)).rstrip()
-    print(line(df.columns))
-    for r in shown[:rows]:
-        print(line(r))
-    if len(shown) > rows:
-        print(f"... first {rows} rows")
+def report_table(df: DataFrame, rows: int) -> None:
+    print("\n".join(files.text_lines(df, rows)))
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -115,6 +115,12 @@ def mutate(population: DataFrame, mutpb: float, indpb: float, tag: str = "mut")
     )
 
 
+def changed(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(ind_id, changed): whether an individual's genes differ from before, so that its fitness must be found anew."""
+    same = F.expr(" and ".join(f"b.{g} <=> a.{g}" for g in GENES))
+    return after.alias("a").join(before.alias("b"), "ind_id", "left").select("ind_id", (~same).alias("changed"))
+
+
 def elitism(parents: DataFrame, offspring: DataFrame, n: int) -> DataFrame:
     """The n best parents in place of the n worst offspring."""
     worst = offspring.orderBy("fitness", F.col("ind_id").desc()).limit(n).select("ind_id")

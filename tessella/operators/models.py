@@ -233,6 +233,17 @@ def learning_curve(df: DataFrame, features: list[str], label: str, key: str, fol
     return found.join(sums, ["model", "step", "fold"], "left").select("model", "step", "fold", "n_train", "f1_train", F.coalesce(f1, F.lit(0.0)).alias("f1_val"))
 
 
+def cross_validate_logistic(df: DataFrame, features: list[str], label: str, key: str, folds: int = 5) -> DataFrame:
+    """(model, row_id, fold, y, p, yhat) of a logistic regression for each fold, scaled and fit on the other folds' rows."""
+    out, z = None, [f + "_z" for f in features]
+    for part in range(folds):
+        scaled = scale(df, features, F.col("fold") != part)
+        weights, intercept = fit_lr(scaled.where(F.col("fold") != part), z, label)
+        rows = scaled.where(F.col("fold") == part).select(F.lit("lr").alias("model"), F.col(key).alias("row_id"), "fold", F.col(label).cast("int").alias("y"), logit(weights, intercept).alias("p"))
+        out = threshold_predict(rows) if out is None else out.unionByName(threshold_predict(rows))
+    return out
+
+
 def cross_validate(df: DataFrame, features: list[str], label: str, key: str, folds: int = 5, k: int = 7, depth: int = 4) -> DataFrame:
     """(model, metric, mean, std) of accuracy, recall and F1 over the folds: logistic regression, neighbours and tree, fit anew on the rows outside each fold.
 
@@ -240,18 +251,14 @@ def cross_validate(df: DataFrame, features: list[str], label: str, key: str, fol
     """
     from tessella.operators.metrics import fold_summary
 
-    out = None
+    columns = ["model", "row_id", "y", "yhat"]
+    out = cross_validate_logistic(df, features, label, key, folds).select(*columns, "fold")
     for part in range(folds):
         scaled = scale(df, features, F.col("fold") != part)
-        z = [f + "_z" for f in features]
         train, val = scaled.where(F.col("fold") != part), scaled.where(F.col("fold") == part)
-        weights, intercept = fit_lr(train, z, label)
-        columns = ["model", "row_id", "y", "yhat"]
-        linear = threshold_predict(val.select(F.lit("lr").alias("model"), F.col(key).alias("row_id"), F.col(label).cast("int").alias("y"), logit(weights, intercept).alias("p"))).select(*columns)
         tree = predictions(tree_pipeline(features, label, depth).fit(train), val, "tree", key, label, key).select(*columns)
-        near = knn_predictions(train, val, key, label, z, k).select(*columns)
-        each = linear.unionByName(tree).unionByName(near).withColumn("fold", F.lit(part))
-        out = each if out is None else out.unionByName(each)
+        near = knn_predictions(train, val, key, label, [f + "_z" for f in features], k).select(*columns)
+        out = out.unionByName(tree.unionByName(near).withColumn("fold", F.lit(part).cast(out.schema["fold"].dataType)))
     return fold_summary(rates(confusion(out, "model", "fold")), ["accuracy", "recall", "f1"])
 
 

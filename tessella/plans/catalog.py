@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.scalar import snake, to_number, uniform
 from tessella.operators import clean, explain, features, ga, gini, knn, metrics, models, narrate, profile, split
 from tessella.session import load_table
-from tessella.sources import files, sheets
+from tessella.sources import files, settings, sheets
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -645,3 +646,139 @@ def rubric_summary(spark: SparkSession, sf: str) -> DataFrame:
     """A18 T6x"""
     marked = rubric_scores(spark, sf)
     return marked.agg(F.count("*").alias("n"), *[F.round(F.avg(c), 6).alias(f"mean_{c}") for c in (*narrate.RUBRIC, "overall")])
+
+
+# Models with fixed or closed-form fits, which SQL can follow.
+
+#: A fixed tree over n_chars and toxic.
+TREE = [
+    {"feature": 0, "threshold": 1500.0, "left": 1, "right": 2, "weight": 100.0, "value": 0.6}, {"feature": -1, "weight": 30.0, "value": 0.3},
+    {"feature": 1, "threshold": 0.5, "left": 3, "right": 4, "weight": 70.0, "value": 0.7}, {"feature": -1, "weight": 50.0, "value": 0.9}, {"feature": -1, "weight": 20.0, "value": 0.2},
+]
+#: A fixed linear model of raw features with its scaling and threshold.
+SAVED = {"name": "fixed", "features": ["n_chars", "toxic"], "means": [1800.0, 0.1], "deviations": [2400.0, 0.3], "weights": [-0.7, 0.4], "intercept": 0.25, "threshold": 0.55}
+#: Background rows (n_chars, toxic) of a Shapley value.
+BACKGROUND = [[200.0, 0.0], [5000.0, 1.0], [1200.0, 0.0]]
+
+
+@query
+def feature_target(spark: SparkSession, sf: str) -> DataFrame:
+    """Features and target apart, joined again by their key"""
+    rows = labelled(spark, sf)
+    target = rows.select("doc_id", F.col("quality").alias("target"))
+    return rows.drop("quality").join(target, "doc_id")
+
+
+@query
+def tree_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """A tree's scores as one expression"""
+    return labelled(spark, sf).select("doc_id", explain.tree_score(TREE, ["n_chars", "toxic"]).alias("p"))
+
+
+@query
+def tree_node_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows and positives of each node"""
+    return explain.tree_counts(labelled(spark, sf), ["n_chars", "toxic"], F.col("quality"), TREE)
+
+
+@query
+def tree_gini_gains(spark: SparkSession, sf: str) -> DataFrame:
+    """Importances by the decrease of impurity over the table"""
+    counts = explain.tree_counts(labelled(spark, sf), ["n_chars", "toxic"], F.col("quality"), TREE)
+    return explain.tree_gains(counts, ["n_chars", "toxic"], TREE)
+
+
+@query
+def tree_shap_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Path-dependent Shapley values of the fixed tree"""
+    return explain.tree_shap(labelled(spark, sf), "doc_id", ["n_chars", "toxic"], TREE).select("doc_id", "feature", F.round("phi", 6).alias("phi"))
+
+
+@query
+def kernel_shap_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Shapley values of a predictor of labels over all coalitions and background rows"""
+    predict = lambda x: ((x[:, 0] > 1500) & (x[:, 1] < 0.5)).astype(float)
+    return explain.kernel_shap(labelled(spark, sf), "doc_id", ["n_chars", "toxic"], predict, np.array(BACKGROUND)).select("doc_id", "feature", F.round("phi", 6).alias("phi"))
+
+
+@query
+def lr_fit_converged(spark: SparkSession, sf: str) -> DataFrame:
+    """Weight and intercept of a ridge logistic regression on one scaled feature"""
+    rows = features.scale(labelled(spark, sf), ["n_chars"], F.lit(True))
+    weights, intercept = models.fit_lr(rows, ["n_chars_z"], "quality")
+    return spark.createDataFrame([("n_chars_z", weights["n_chars_z"]), ("intercept", intercept)], "feature string, weight double").select("feature", F.round("weight", 3).alias("weight"))
+
+
+@query
+def cv_logistic(spark: SparkSession, sf: str) -> DataFrame:
+    """A logistic regression fit anew for each fold"""
+    rows = split.kfold(labelled(spark, sf), "quality", "doc_id")
+    judged = models.cross_validate_logistic(rows, ["n_chars"], "quality", "doc_id")
+    return metrics.fold_summary(metrics.rates(metrics.confusion(judged, "model", "fold")), ["accuracy", "recall", "f1"])
+
+
+@query
+def saved_model_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """A model saved below a new folder, loaded and applied"""
+    path = files.scratch_path(spark, "models") + "/new/folder"
+    models.save_linear(spark, path, SAVED)
+    model = models.load_linear(spark, path)
+    rows = models.scale_as(labelled(spark, sf), model)
+    p = models.logit({f + "_z": w for f, w in zip(model["features"], model["weights"], strict=True)}, model["intercept"])
+    return models.threshold_predict(rows.select("doc_id", p.alias("p")), model["threshold"]).select("doc_id", F.round("p", 6).alias("p"), "yhat")
+
+
+@query
+def artifact_check(spark: SparkSession, sf: str) -> DataFrame:
+    """A saved model, loaded anew, on the five first rows"""
+    return saved_model_scores(spark, sf).orderBy("doc_id").limit(5)
+
+
+@query
+def run_metadata_record(spark: SparkSession, sf: str) -> DataFrame:
+    """The record of a run as one pretty JSON document, read back"""
+    path = files.scratch_path(spark, "metadata")
+    counts = labelled(spark, sf).agg(F.count("*").alias("n"), F.sum("quality").alias("pos")).first()
+    files.write_document(spark, path, models.run_metadata(42, "documents", ["text"], 7, 3, {"rows": counts["n"], "positives": counts["pos"]}))
+    got = files.read_table(spark, path, "json", "random_state long, dataset_path string, dropped_columns array<string>, best_k long, best_depth long, test_metrics struct<rows:long,positives:long>")
+    return got.select("random_state", "dataset_path", F.array_join("dropped_columns", ",").alias("dropped"), "best_k", "best_depth", "test_metrics.rows", "test_metrics.positives")
+
+
+@query
+def run_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """timestamps as keys of runs, in UTC"""
+    return load_table(spark, sf, "events").select("event_id", F.date_format("ts", "yyyyMMdd'T'HHmmss'Z'").alias("run_key"))
+
+
+@query
+def ga_changed(spark: SparkSession, sf: str) -> DataFrame:
+    """Who must be evaluated again after mutation"""
+    before = _population(spark, sf)
+    return ga.changed(before, ga.mutate(before, 0.5, 0.4))
+
+
+@query
+def settings_modes(spark: SparkSession, sf: str) -> DataFrame:
+    """S14 T5x: settings of NAME=value lines, and the mode of texts that they choose"""
+    lines = {"key": "TEXT_API_KEY=k\nTEXT_API_URL='http://h'", "forced": "export TEXT_API_KEY=k # secret\nTEXT_API_URL=http://h\nTEXT_FORCE_LOCAL=true", "none": "# nothing\n"}
+    found = [(name, len(own := settings.parse_lines(text)), settings.text_mode(own)) for name, text in lines.items()]
+    return spark.createDataFrame(found, "name string, n_settings long, mode string")
+
+
+@query
+def generated_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """S13 T5x: texts of a client, and the marked template where the client fails"""
+    def call(prompt: str) -> str:
+        if prompt.endswith("7"):
+            raise TimeoutError
+        return prompt.upper()
+
+    texts = load_table(spark, sf, "customer").select("c_custkey", F.concat(F.lit("ask "), F.col("c_custkey").cast("string")).alias("prompt"), F.concat(F.lit("plain "), F.col("c_mktsegment")).alias("template"))
+    return narrate.generate(texts, call).select("c_custkey", "mode", "response")
+
+
+@query
+def console_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines that the console shows of a table"""
+    rows = load_table(spark, sf, "region").select("r_regionkey", "r_name").orderBy("r_regionkey")
+    return spark.createDataFrame(list(enumerate(files.text_lines(rows, 3))), "line long, text string")

@@ -97,6 +97,22 @@ _RUBRIC = """marks as (
     case when contains(t, 'recomendações') and contains(t, 'limites') then 4 else 3 end as language_adequacy from marks
 ), overall as (select *, case when medical_precision + cultural_sensitivity + language_adequacy >= 11 then 4 else 3 end as overall from marked)"""
 
+
+def _newton(rows: str, steps: int = 12) -> str:
+    """Steps s1 .. s{steps} (fold, w0, w1) of Newton's method for a ridge logistic regression with a free intercept over rows(fold, y, z)."""
+    out = [f"s0 as materialized (select distinct fold, 0.0::double as w0, 0.0::double as w1 from {rows})"]
+    for k in range(1, steps + 1):
+        p = f"(1.0::double / (1.0::double + exp(-(w0 + w1 * z))))"
+        out.append(f"""h{k} as materialized (select fold, any_value(w0) as w0, any_value(w1) as w1, sum({p} - y) as g0, sum(({p} - y) * z) + any_value(w1) as g1,
+  sum({p} * (1 - {p})) as a, sum({p} * (1 - {p}) * z) as b, sum({p} * (1 - {p}) * z * z) + 1 as c from {rows} join s{k - 1} using (fold) group by fold
+), s{k} as materialized (select fold, w0 - (c * g0 - b * g1) / (a * c - b * b) as w0, w1 - (a * g1 - b * g0) / (a * c - b * b) as w1 from h{k})""")
+    return ", ".join(out)
+
+
+_TREE_SIDES = "(n_chars <= 1500)::int as a, (n_chars > 1500)::int as b, (toxic <= 0.5)::int as c, (not (toxic <= 0.5))::int as d"
+_SAVED = "saved as (select doc_id, 1.0::double / (1.0::double + exp(-(0.25::double + (n_chars - 1800.0::double) / 2400.0::double * -0.7::double + (toxic - 0.1::double) / 0.3::double * 0.4::double))) as p from labelled)"
+_KERNEL = "((n_chars > 1500) and (toxic < 0.5))::int::double"
+
 ORACLE: dict[str, str] = {
     "scan_csv_roundtrip": "select o_orderkey, o_orderpriority, o_totalprice from orders",
     "scan_json_roundtrip": "select n_nationkey, n_name from nation",
@@ -107,6 +123,38 @@ ORACLE: dict[str, str] = {
   ('low_mut_onepoint', 100, 10, 0.8::double, 0.2::double, 3, 'one_point', 0.2::double, 2, 5),
   ('balanced_config', 100, 20, 0.75::double, 0.3::double, 3, 'uniform', 0.3::double, 2, 5)
 ) t(exp_id, population_size, generations, cxpb, mutpb, tournament_size, crossover, mutation_indpb, elitism_count, early_stop_patience)""",
+    "feature_target": f"with {_LABELLED} select doc_id, toxic, n_chars, quality as target from labelled",
+    "tree_scores": f"with {_LABELLED} select doc_id, case when n_chars <= 1500 then 0.3::double when toxic <= 0.5 then 0.9::double else 0.2::double end as p from labelled",
+    "tree_node_counts": f"with {_LABELLED}, s as (select quality, {_TREE_SIDES} from labelled) " + " union all ".join(f"select {i} as node, count(*) filter ({c}) as n, count(*) filter ({c} and quality = 1) as pos from s" for i, c in enumerate(("true", "a = 1", "b = 1", "b = 1 and c = 1", "b = 1 and d = 1"))),
+    "tree_gini_gains": f"""with {_LABELLED}, s as (select quality, {_TREE_SIDES} from labelled), g as (select {", ".join(f"count(*) filter ({c})::double as n{i}, count(*) filter ({c} and quality = 1)::double as p{i}" for i, c in enumerate(("true", "a = 1", "b = 1", "b = 1 and c = 1", "b = 1 and d = 1")))} from s),
+  m as (select {", ".join(f"2.0::double * p{i} * (1 - p{i} / greatest(n{i}, 1)) as m{i}" for i in range(5))} from g), f as (select m0 - m1 - m2 as x, m2 - m3 - m4 as y from m)
+  select 'n_chars' as feature, round(case when x + y > 0 then x / (x + y) else 0 end, 6) as importance from f union all select 'toxic', round(case when x + y > 0 then y / (x + y) else 0 end, 6) from f""",
+    "tree_shap_values": f"""with {_LABELLED}, s as (select doc_id, {_TREE_SIDES} from labelled), v as (select doc_id,
+  0.3::double * (a - 0.3::double) + 0.9::double * (b - 0.7::double) * (5.0::double / 7 + c) / 2 + 0.2::double * (b - 0.7::double) * (2.0::double / 7 + d) / 2 as x,
+  0.9::double * (c - 5.0::double / 7) * (0.7::double + b) / 2 + 0.2::double * (d - 2.0::double / 7) * (0.7::double + b) / 2 as y from s)
+  select doc_id, 'n_chars' as feature, round(x, 6) as phi from v union all select doc_id, 'toxic', round(y, 6) from v""",
+    "kernel_shap_values": f"""with {_LABELLED}, bg as (select * from (values (200.0::double, 0.0::double), (5000.0, 1.0), (1200.0, 0.0)) t(bn, bt)), v as (
+  select doc_id, any_value({_KERNEL}) as f, avg({_KERNEL.replace("toxic", "bt")}) as fn, avg({_KERNEL.replace("n_chars", "bn")}) as ft, avg({_KERNEL.replace("n_chars", "bn").replace("toxic", "bt")}) as f0 from labelled, bg group by doc_id)
+  select doc_id, 'n_chars' as feature, round((fn - f0 + f - ft) / 2, 6) as phi from v union all select doc_id, 'toxic', round((ft - f0 + f - fn) / 2, 6) from v""",
+    "lr_fit_converged": f"""with {_LABELLED}, r as (select 0 as fold, quality as y, (n_chars - (select avg(n_chars) from labelled)) / (select stddev_pop(n_chars) from labelled) as z from labelled), {_newton("r")}
+  select 'n_chars_z' as feature, round(w1, 3) as weight from s12 union all select 'intercept', round(w0, 3) from s12""",
+    "cv_logistic": f"""with {_LABELLED}, {_FOLDS}, k as (select fold as own, quality as y, n_chars, row_id from labelled join folds on row_id = doc_id), parts as (select distinct own as fold from k),
+  st as (select fold, avg(n_chars) as m, stddev_pop(n_chars) as s from parts join k on own <> fold group by fold), r as (select fold, y, (n_chars - m) / s as z from st join k on own <> fold), {_newton("r")},
+  predicted as (select 'lr' as model, st.fold, y, (1.0::double / (1.0::double + exp(-(w0 + w1 * (n_chars - m) / s))) >= 0.5)::int as yhat from k join st on st.fold = own join s12 on s12.fold = own),
+  c as (select model, fold, {_CELLS} from predicted group by 1, 2), q as (select model, {_rates()} from c) """ + _each("select model, '{c}' as metric, round(avg({c}), 6) as mean, round(stddev_pop({c}), 6) as std from q group by model", ("accuracy", "recall", "f1")),
+    "saved_model_scores": f"with {_LABELLED}, {_SAVED} select doc_id, round(p, 6) as p, (p >= 0.55)::int as yhat from saved",
+    "artifact_check": f"with {_LABELLED}, {_SAVED} select doc_id, round(p, 6) as p, (p >= 0.55)::int as yhat from saved order by doc_id limit 5",
+    "run_metadata_record": f"with {_LABELLED} select 42 as random_state, 'documents' as dataset_path, 'text' as dropped, 7 as best_k, 3 as best_depth, count(*) as rows, sum(quality)::bigint as positives from labelled",
+    "run_keys": "select event_id, strftime(ts, '%Y%m%dT%H%M%SZ') as run_key from events",
+    "ga_changed": f"""with {_POP}, g as (select *, {_u("mut:gate", "ind_id")} < 0.5 as gate from pop)
+select ind_id, gate and (({_u("mut:c:hit", "ind_id")} < 0.4 and least(greatest(log10_c + ({_u("mut:c:step", "ind_id")} * 0.8::double - 0.4::double), -2.0::double), 1.0::double) <> log10_c)
+  or {_u("mut:p:hit", "ind_id")} < 0.4 or {_u("mut:w:hit", "ind_id")} < 0.4
+  or ({_u("mut:t:hit", "ind_id")} < 0.4 and least(greatest(threshold + ({_u("mut:t:step", "ind_id")} * 0.2::double - 0.1::double), 0.3::double), 0.7::double) <> threshold)) as changed from g""",
+    "settings_modes": "select * from (values ('key', 2, 'api'), ('forced', 3, 'local_fallback'), ('none', 0, 'local_fallback')) t(name, n_settings, mode)",
+    "generated_texts": "select c_custkey, 'api' as mode, case when c_custkey % 10 = 7 then '[fallback] TimeoutError' || chr(10) || 'plain ' || c_mktsegment else 'ASK ' || c_custkey end as response from customer",
+    "console_report": """with w as (select greatest(length('r_regionkey'), max(length(r_regionkey::varchar))) as a, greatest(length('r_name'), max(length(r_name))) as b from (select * from region order by r_regionkey limit 3)),
+  l as (select 0 as line, 'r_regionkey' as x, 'r_name' as y union all select row_number() over (order by r_regionkey), r_regionkey::varchar, r_name from (select * from region order by r_regionkey limit 3))
+  select line::bigint as line, rtrim(rpad(x, a::int, ' ') || '  ' || rpad(y, b::int, ' ')) as text from l, w union all select 4, '... first 3 rows' where (select count(*) from region) > 3""",
     "scan_sheet_roundtrip": "select s_suppkey, s_name, s_acctbal from supplier",
     "drop_columns": "select * exclude (p_name, p_type) from part",
     "project_columns": "select o_orderkey, o_orderstatus, o_totalprice from orders",

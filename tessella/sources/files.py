@@ -68,3 +68,11 @@ def latest(df: DataFrame, run_key: str) -> DataFrame:
     """Rows of the greatest run key, the last snapshot. Over a partition column only that partition is read."""
     top = df.agg(F.max(run_key).alias("_top"))
     return df.join(F.broadcast(top), F.col(run_key) == F.col("_top")).drop("_top")
+
+
+def text_lines(df: DataFrame, rows: int) -> list[str]:
+    """The header and first rows of a table in columns as wide as their longest cell, and a line that tells if there are more."""
+    shown = df.limit(rows + 1).collect()
+    widths = [max([len(c), *(len(str(r[c])) for r in shown[:rows])]) for c in df.columns]
+    line = lambda values: "  ".join(str(v).ljust(w) for v, w in zip(values, widths, strict=True)).rstrip()
+    return [line(df.columns), *(line(r) for r in shown[:rows]), *([f"... first {rows} rows"] if len(shown) > rows else [])]
