@@ -19,10 +19,12 @@ def contributions(df: DataFrame, key: list[str], scaled: dict[str, str], weights
     return df.select(*key, F.explode(F.array(*structs)).alias("r")).select(*key, "r.*")
 
 
-def top_features(contribs: DataFrame, key: list[str], k: int) -> DataFrame:
-    """The k largest contributions of each row by absolute value, ranked."""
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.abs("contribution").desc(), "feature", "value")).cast("long")
-    return contribs.withColumn("rank", rank).where(F.col("rank") <= k)
+def top_contributions(df: DataFrame, key: list[str], scaled: dict[str, str], weights: dict[str, float], k: int, digits: int = 6) -> DataFrame:
+    """contributions() of the k largest by absolute value in each row, with their rank: each row sorts its own array, without a window."""
+    each = F.array(*[F.struct(F.lit(f).alias("feature"), F.round(c, digits).alias("value"), F.round(F.col(c) * weights[f], digits).alias("contribution")) for f, c in scaled.items()])
+    size = lambda x: F.abs(x["contribution"])
+    order = lambda a, b: F.when(size(a) > size(b), -1).when(size(a) < size(b), 1).when(a["feature"] < b["feature"], -1).when(a["feature"] > b["feature"], 1).when(a["value"] < b["value"], -1).otherwise(1)
+    return df.select(*key, F.posexplode(F.slice(F.array_sort(each, order), 1, k)).alias("at", "r")).select(*key, "r.*", (F.col("at") + 1).cast("long").alias("rank"))
 
 
 def linear_shap(df: DataFrame, key: list[str], weights: dict[str, float], background: DataFrame, digits: int = 6) -> DataFrame:

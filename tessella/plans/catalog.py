@@ -486,7 +486,7 @@ def local_top_features(spark: SparkSession, sf: str) -> DataFrame:
     """M35 W1"""
     z = {f: f"{f}_z" for f in WEIGHTS}
     made = features.scale(load_table(spark, sf, "lineitem"), list(WEIGHTS), F.col("l_orderkey") % 5 != 0)
-    return explain.top_features(explain.contributions(made, ["l_orderkey", "l_linenumber"], z, WEIGHTS, 4), ["l_orderkey", "l_linenumber"], 2)
+    return explain.top_contributions(made, ["l_orderkey", "l_linenumber"], z, WEIGHTS, 2, 4)
 
 
 @query
@@ -713,6 +713,9 @@ def lr_fit_converged(spark: SparkSession, sf: str) -> DataFrame:
 def cv_logistic(spark: SparkSession, sf: str) -> DataFrame:
     """A logistic regression fit anew for each fold"""
     rows = split.kfold(labelled(spark, sf), "quality", "doc_id")
+    path = files.scratch_path(spark, "folds")
+    rows.write.parquet(path)  # each fold's fit reads it
+    rows = spark.read.schema(rows.schema).parquet(path)
     judged = models.cross_validate_logistic(rows, ["n_chars"], "quality", "doc_id")
     return metrics.fold_summary(metrics.rates(metrics.confusion(judged, "model", "fold")), ["accuracy", "recall", "f1"])
 

@@ -224,7 +224,9 @@ select model, median, round({_div("tl", "pl")}, 6) as recall_low, round({_div("t
 select threshold, round(cost, 6) as impurity, nl::bigint as n_left, nr::bigint as n_right from c order by round(cost, 6), threshold limit 1""",
     "linear_shap": _shap("(select * from lineitem where l_orderkey % 5 <> 0)"),
     "shap_global": f"with p as ({_shap('lineitem')}) select feature, round(avg(abs(phi)), 4) as importance from p group by 1 order by 2 desc, 1 limit 3",
-    "local_top_features": "with s as (select " + ", ".join(f"avg({c}) as m_{c}, stddev_pop({c}) as s_{c}" for c in _W) + " from lineitem where l_orderkey % 5 <> 0), c as (" + " union all ".join(f"select l_orderkey, l_linenumber, '{c}' as feature, round(({c} - m_{c}) / s_{c}, 4) as value, round(({c} - m_{c}) / s_{c} * {w}::double, 4) as contribution from lineitem, s" for c, w in _W.items()) + "), r as (select *, row_number() over (partition by l_orderkey, l_linenumber order by abs(contribution) desc, feature, value) as rank from c) select * from r where rank <= 2",
+    "local_top_features": "with s as (select " + ", ".join(f"avg({c}) as m_{c}, stddev_pop({c}) as s_{c}" for c in _W) + " from lineitem where l_orderkey % 5 <> 0), c as (select l_orderkey, l_linenumber, list_sort([" + ", ".join(
+        f"{{'size': -abs(round(({c} - m_{c}) / s_{c} * {w}::double, 4)), 'feature': '{c}', 'value': round(({c} - m_{c}) / s_{c}, 4), 'contribution': round(({c} - m_{c}) / s_{c} * {w}::double, 4)}}" for c, w in sorted(_W.items())
+    ) + "]) as x from lineitem, s) " + " union all ".join(f"select l_orderkey, l_linenumber, x[{k}].feature as feature, x[{k}].value as value, x[{k}].contribution as contribution, {k} as rank from c" for k in (1, 2)),
     "case_ids": "select o_orderkey, printf('P_%03d', row_number() over (order by o_orderkey)) as case_id from (select o_orderkey from orders order by 1 limit 8)",
     "head_n": "select o_orderkey, o_custkey, o_totalprice from orders order by o_orderkey limit 5",
     "ga_init_population": f"with {_POP} select ind_id, round(log10_c, 6) as log10_c, penalty, class_weight, round(threshold, 6) as threshold from pop",
