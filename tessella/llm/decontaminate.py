@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.shared import map_frames, materialize, numbered, type_of
+from tessella.llm.shared import discard, map_frames, materialize, numbered, type_of
 from tessella.llm.text import WordHashes, mix, window_hashes
 
 
@@ -184,8 +184,8 @@ def contaminated(docs: DataFrame, items: DataFrame, how: Tiling | None = None) -
     known = item_seeds(items, how)
     seeds = known.select("item", F.size("words").alias("n"), F.posexplode("seeds").alias("at", "seed"))
     bits = seed_filter(seeds.select("seed"), how)
-    own = materialize(shared_seeds(docs, bits, how), "seeds").groupBy("doc_id", "t").agg(F.first("seeds").alias("seeds"))
-    own = own.select("doc_id", "t", F.explode("seeds").alias("seed"))
+    held = materialize(shared_seeds(docs, bits, how), "seeds")
+    own = held.groupBy("doc_id", "t").agg(F.first("seeds").alias("seeds")).select("doc_id", "t", F.explode("seeds").alias("seed"))
     both = own.join(seeds.hint("merge"), "seed").groupBy("doc_id", "t", "item", "n").agg(F.count("*").alias("hits"))
     pairs = both.where(F.col("hits") * how.tile >= F.col("n") * how.coverage).select("doc_id", "t", "item")
     pairs = pairs.withColumn("group", F.expr(f"(row_number() over (partition by doc_id, t order by item) - 1) div {how.group}"))
@@ -211,7 +211,10 @@ def contaminated(docs: DataFrame, items: DataFrame, how: Tiling | None = None) -
     least = F.struct(-F.col("coverage"), F.col("item_id").isNull(), "item_id")
     best = F.min_by(F.struct("item_id", "coverage", "tiles", "tiled_words", "longest_tile"), least)
     found = out.groupBy("doc_id", "t").agg(best.alias("b"))
-    return materialize(found.select("doc_id", "t", "b.item_id", F.round("b.coverage", 6).alias("coverage"), "b.tiles", "b.tiled_words", "b.longest_tile"), "contaminated")
+    found = materialize(found.select("doc_id", "t", "b.item_id", F.round("b.coverage", 6).alias("coverage"), "b.tiles", "b.tiled_words", "b.longest_tile"), "contaminated")
+    for table in (known, held, pairs):
+        discard(table)
+    return found
 
 
 def decontamination(docs: DataFrame, items: DataFrame, how: Tiling | None = None) -> DataFrame:
