@@ -122,7 +122,7 @@ def seed_filter(seeds: DataFrame, how: Tiling) -> np.ndarray:
 
 
 def shared_seeds(docs: DataFrame, bits: np.ndarray, how: Tiling) -> DataFrame:
-    """(doc_id, t, seeds): of documents, the distinct hashes of runs of `tile` words that the filter lets through; t is a hash of the text."""
+    """(doc_id, t, text, seeds): of documents, the distinct hashes of runs of `tile` words that the filter lets through, if any; t is a hash of the text."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -136,10 +136,10 @@ def shared_seeds(docs: DataFrame, bits: np.ndarray, how: Tiling) -> DataFrame:
                 if len(own):
                     keep.append(x)
                     found.append(np.unique(own).view(np.int64))
-            yield pdf[["doc_id", "t"]].iloc[keep].reset_index(drop=True).assign(seeds=pd.Series(found, dtype=object))
+            yield pdf[["doc_id", "t", "text"]].iloc[keep].reset_index(drop=True).assign(seeds=pd.Series(found, dtype=object))
 
     texts = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
-    return map_frames(texts, run, f"doc_id {type_of(docs, 'doc_id')}, t long, seeds array<long>")
+    return map_frames(texts, run, f"doc_id {type_of(docs, 'doc_id')}, t long, text string, seeds array<long>")
 
 
 def best_item(own: np.ndarray, items: list[tuple], how: Tiling) -> tuple | None:
@@ -175,7 +175,7 @@ def contaminated(docs: DataFrame, items: DataFrame, how: Tiling | None = None) -
     smallest id, null last.
 
     A filter of the benchmark's seeds, of a fixed size, is broadcast; the documents' seeds that pass it, few for clean
-    ones, are joined with the benchmark's, and only texts with a candidate are shuffled. Null and short texts, and items
+    ones, are joined with the benchmark's, and only texts with such a seed are kept and shuffled. Null and short texts, and items
     of fewer words than a tile, match nothing. Each row of items is an item. t is a hash of the text: rows that share
     doc_id and text give one row, others that share a doc_id are judged by themselves; null ids are as good as others.
     Empty tables give an empty result. Other columns are ignored.
@@ -191,8 +191,7 @@ def contaminated(docs: DataFrame, items: DataFrame, how: Tiling | None = None) -
     pairs = pairs.withColumn("group", F.expr(f"(row_number() over (partition by doc_id, t order by item) - 1) div {how.group}"))
     pairs = pairs.join(known.hint("merge"), "item").groupBy("doc_id", "t", "group").agg(F.collect_list(F.struct("item_id", "words", "seeds")).alias("items"))
     pairs = materialize(pairs.select(F.col("doc_id").alias("id"), F.col("t").alias("h"), "items"), "candidates")
-    texts = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
-    joined = texts.join(pairs.hint("merge"), F.expr("doc_id <=> id and t = h"))
+    joined = held.select("doc_id", "t", "text").join(pairs.hint("merge"), F.expr("doc_id <=> id and t = h"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
