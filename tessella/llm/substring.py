@@ -273,7 +273,10 @@ def remove_repeats(docs: DataFrame, window: int = 50, sketch: Sketch | None = No
     sketch = sketch or Sketch()
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = max(1, math.ceil(size / 6 * 2 / (window - min(sketch.run, window) + 2) / sketch.load))  # a word has some six bytes
-    seen = materialize(read_documents(docs, window, sketch, slices), "anchors", *["slice"] * (slices > 1))
+    read = read_documents(docs, window, sketch, slices)
+    if slices > 1:  # a slice is read alone, from few files
+        read = read.repartition("slice", F.expr("pmod(t, 64)"))
+    seen = materialize(read, "anchors", *["slice"] * (slices > 1))
     home = seen.where("slice = 0")
     keys = ["d1", "d2", "n_words"]
     first = home.groupBy(*keys).agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
