@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessella.operators.running import running
+
 
 def order_key(key: Column, seed: int = 42) -> Column:
     """A random order that is a function of seed and key alone."""
@@ -17,11 +19,12 @@ def stratum_ranks(df: DataFrame, label: str, key: str, seed: int | None = 42, bi
 
     The order is dealt out by its leading bits: a window holds one bin of one label, and the bins' counts, which are
     `bins` rows a label at most, give its start. So no task holds a whole label. Without a seed, rows are ordered by
-    the key itself, for which one window a label is needed.
+    the key itself, a number that tells them apart, and ranks are running counts in parts of it.
     """
     if seed is None:
-        w = Window.partitionBy(label)
-        return df.withColumn("_rank", F.row_number().over(w.orderBy(key)).cast("long")).withColumn("_n", F.count("*").over(w))
+        counts = df.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_n"))
+        ranked = running(df, [label], key, sums={"_rank": F.lit(1).cast("long")})
+        return ranked.join(F.broadcast(counts), F.col(label).eqNullSafe(F.col("_label"))).drop("_label")
     order = order_key(F.col(key), seed)
     width = len(f"{bins - 1:x}")
     df = df.withColumn("_order", order).withColumn("_bin", F.substring("_order", 1, width))

@@ -227,6 +227,15 @@ def test_splits_and_folds(spark):
         assert len(n) == 5 and max(n) - min(n) <= 1 and sum(n) == 177
 
 
+def test_folds_without_a_seed_follow_the_key(spark):
+    rng = np.random.default_rng(6)
+    ids = rng.choice(10**12, 700, replace=False)
+    rows = [(int(i), int(c)) for i, c in zip(ids, rng.integers(0, 3, 700), strict=True)]
+    got = {r["id"]: r["fold"] for r in split.kfold(spark.createDataFrame(rows, "id long, y int").repartition(5), "y", "id", 4, seed=None).collect()}
+    for label in range(3):
+        assert [got[i] for i in sorted(i for i, c in rows if c == label)] == [k % 4 for k in range(sum(c == label for _, c in rows))]
+
+
 def test_scaling_uses_training_rows_and_population_deviation(spark):
     df = spark.createDataFrame([(1, 1.0, 5.0), (2, 3.0, 5.0), (3, 100.0, 9.0)], "id int, x double, c double")
     got = {r["id"]: (r["x_z"], r["c_z"]) for r in features.scale(df, ["x", "c"], F.col("id") < 3).collect()}
