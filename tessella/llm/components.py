@@ -17,8 +17,9 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     Each round lets every node point at its smallest neighbour, follows the pointers to their roots, and goes on with
     the links between different roots. Pointers strictly decrease, so there are no cycles; every table is written to
-    the shared folder, and nothing but row counts reaches the driver. Null ends and self links are ignored; an empty
-    table gives an empty result.
+    the shared folder, and nothing but row counts reaches the driver. A node of very many links, or a component of very
+    many nodes, makes a skewed partition of a merge join, which Spark's adaptive execution splits; minima are taken in
+    each task before they are shuffled. Null ends and self links are ignored; an empty table gives an empty result.
     """
     links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
     links = materialize(links, "links")
