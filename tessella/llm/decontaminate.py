@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.shared import discard, map_frames, materialize, numbered, type_of
+from tessella.llm.shared import discard, few_files, map_frames, materialize, numbered, type_of
 from tessella.llm.text import WordHashes, mix, window_hashes
 
 
@@ -190,7 +190,7 @@ def contaminated(docs: DataFrame, items: DataFrame, how: Tiling | None = None) -
     pairs = both.where(F.col("hits") * how.tile >= F.col("n") * how.coverage).select("doc_id", "t", "item")
     pairs = pairs.withColumn("group", F.expr(f"(row_number() over (partition by doc_id, t order by item) - 1) div {how.group}"))
     pairs = pairs.join(known.hint("merge"), "item").groupBy("doc_id", "t", "group").agg(F.collect_list(F.struct("item_id", "words", "seeds")).alias("items"))
-    pairs = materialize(pairs.select(F.col("doc_id").alias("id"), F.col("t").alias("h"), "items"), "candidates")
+    pairs = materialize(few_files(pairs.select(F.col("doc_id").alias("id"), F.col("t").alias("h"), "items"), held.count()), "candidates")
     joined = held.select("doc_id", "t", "text").join(pairs.hint("merge"), F.expr("doc_id <=> id and t = h"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -210,7 +210,8 @@ def contaminated(docs: DataFrame, items: DataFrame, how: Tiling | None = None) -
     least = F.struct(-F.col("coverage"), F.col("item_id").isNull(), "item_id")
     best = F.min_by(F.struct("item_id", "coverage", "tiles", "tiled_words", "longest_tile"), least)
     found = out.groupBy("doc_id", "t").agg(best.alias("b"))
-    found = materialize(found.select("doc_id", "t", "b.item_id", F.round("b.coverage", 6).alias("coverage"), "b.tiles", "b.tiled_words", "b.longest_tile"), "contaminated")
+    found = found.select("doc_id", "t", "b.item_id", F.round("b.coverage", 6).alias("coverage"), "b.tiles", "b.tiled_words", "b.longest_tile")
+    found = materialize(few_files(found, pairs.count()), "contaminated")
     for table in (known, held, pairs):
         discard(table)
     return found

@@ -103,6 +103,15 @@ def materialize(df: DataFrame, name: str, *by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that a file of a table of few rows holds at least.
+FILE_ROWS = 50_000
+
+
+def few_files(df: DataFrame, rows: int) -> DataFrame:
+    """df of about so many rows in as few partitions as they need: few rows make few files, whatever the shuffle partitions."""
+    return df.coalesce(max(8, rows // FILE_ROWS))
+
+
 def numbered(df: DataFrame, name: str, label: str) -> DataFrame:
     """df, written, with a column `name` that tells its rows apart."""
     return materialize(df.withColumn(name, F.monotonically_increasing_id()), label)
