@@ -100,8 +100,8 @@ def scan_sheet_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """A workbook written and read, numbers inferred"""
     rows = load_table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_acctbal").orderBy("s_suppkey")
     path = files.scratch_path(spark, "sheet") + ".xlsx"
-    sheets.write_sheet(rows, path, "Full_new")
-    return sheets.read_sheet(spark, path, "Full_new").select(F.col("s_suppkey").cast("long").alias("s_suppkey"), "s_name", "s_acctbal")
+    sheets.write_sheet(rows, path, "Suppliers")
+    return sheets.read_sheet(spark, path, "Suppliers").select(F.col("s_suppkey").cast("long").alias("s_suppkey"), "s_name", "s_acctbal")
 
 
 @query
