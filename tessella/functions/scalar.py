@@ -29,6 +29,15 @@ def clip(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(float(low))), F.lit(float(high)))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """A double rounded as DuckDB and C do it: the scaled double to the nearest whole number, halves away from zero. F.round
+    rounds the double's shortest decimal text instead: 0.5035 times 1000 is 503.49999999999994 and gives 0.503 here, 0.504 there."""
+    scaled = x * F.lit(10.0**digits)
+    near = F.rint(scaled)  # halves to even
+    whole = F.when(F.abs(scaled - near) == 0.5, scaled + F.signum(scaled) * 0.5).otherwise(near)
+    return F.when(F.abs(scaled) < float("inf"), whole / F.lit(10.0**digits)).otherwise(x)
+
+
 def strip(text: Column) -> Column:
     """Without whitespace, line ends included, at both ends."""
     return F.regexp_replace(F.regexp_replace(text, r"^\s+", ""), r"\s+$", "")

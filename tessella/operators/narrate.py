@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from tessella.functions.scalar import percent
+from tessella.functions.scalar import percent, rounded
 
 # The words that earn the higher mark on each axis of the rubric (any of them, for the last axis all), and
 # the texts of the prompt and of the template.
@@ -112,7 +112,7 @@ def social_context(age: Column) -> Column:
 
 def prompt(case_id: Column, p: Column, label: Column, features: Column, top: Column, age: Column) -> Column:
     """The prompt of a case; features and top are JSON."""
-    return filled(PROMPT, case_id=case_id, p=F.format_string("%.3f", F.round(p, 3)), label=label, features=features, top=top, context=social_context(age))
+    return filled(PROMPT, case_id=case_id, p=F.format_string("%.3f", rounded(p, 3)), label=label, features=features, top=top, context=social_context(age))
 
 
 def template_text(p: Column, label: Column, factors: Column) -> Column:

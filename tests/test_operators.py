@@ -1,12 +1,14 @@
 """Known numbers, invariants and edge cases of the tabular operators."""
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 import __spark_entry__
-from tessella.functions.scalar import snake, to_number
+from tessella.functions.scalar import rounded, snake, to_number
 from tessella.operators import clean, explain, features, ga, metrics, models, narrate, profile, solver, split
 from tessella.operators.quantiles import exact_quantiles
 from tessella.plans import fits
@@ -32,6 +34,17 @@ def test_coercion_and_names(spark):
     assert spark.createDataFrame([("  I   beta-HCG(mIU/mL)\n",)], "t string").select(snake(F.col("t"))).first()[0] == "i_beta_hcg_miu_ml"
 
 
+def test_doubles_are_rounded_as_sql_rounds_them(spark):
+    edges = [0.5035, 0.5075, 0.4995, 0.0005, -0.0005, 0.0015, 0.0025, -2.5, 4.9999999999999994e-4, 5e-324, -0.0, 9007199254740.993, 4503599627370.4955, 1e300, 1.7e308, -1.7e308, float("inf"), float("-inf")]
+    values = edges + [k / 50000 for k in range(60000)]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select(*[rounded(F.col("v"), d) for d in (2, 3, 6)]).collect()
+    rows = pa.table({"i": range(len(values)), "v": pa.array(values, pa.float64())})  # noqa: F841
+    want = duckdb.sql("select round(v, 2), round(v, 3), round(v, 6) from rows order by i").fetchall()
+    assert [tuple(map(repr, r)) for r in got] == [tuple(map(repr, r)) for r in want]
+    odd = spark.createDataFrame([(None,), (float("nan"),)], "v double").select(rounded(F.col("v"), 3)).collect()
+    assert odd[0][0] is None and odd[1][0] != odd[1][0]
+
+
 def test_hormone_miniature(spark):
     rows = [(1, 0, "2.0", 1.5), (2, 1, "8.0", 2.5), (3, 0, "a", 1.5), (4, 1, "6.0", 90.0), (5, 0, "4.0", None), (6, 0, "1.99.", float("nan"))]
     df = clean.coerce(spark.createDataFrame(rows, "id int, y int, amh string, hcg double"), ["id", "y"])

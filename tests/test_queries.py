@@ -37,3 +37,11 @@ def test_query_matches_its_sql(spark, sf, duck, name):
 
 def test_every_query_of_the_catalogue_has_sql():
     assert set(catalog.queries()) == set(ORACLE)
+
+
+def test_prompts_match_their_sql_at_halves_of_a_thousandth(spark, tmp_path):
+    c = duckdb.connect()
+    c.execute("create table events as select k as event_id, k % 40 as user_id, 'view' as event_type, k / 100 as value from range(-2000, 60000) r(k)")
+    c.execute(f"copy events to '{tmp_path}/events.parquet' (format parquet)")
+    got = catalog.queries()["prompt_text"](spark, str(tmp_path)).select("event_id", "prompt").collect()
+    assert sorted(map(tuple, got)) == sorted(c.execute(f"select event_id, prompt from ({ORACLE['prompt_text']})").fetchall())
